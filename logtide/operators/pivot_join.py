@@ -1,0 +1,150 @@
+"""Exact k-nearest-neighbour join by cosine for two large sides.
+
+After Lu, Shen, Chen, Ooi 2012: patterns are assigned to the nearest of a few pivots; from
+the distances inside each cell a query knows an upper bound for its k-th best distance
+and visits only the cells whose radius can reach below it. On unit vectors the chord
+``sqrt(2 - 2 cos)`` is a metric, so the bounds are exact and nothing is approximated. Large
+cells are cut into blocks and their queries into chunks: no group grows with the data.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
+
+from ..session import materialize
+from .ranking import DIGITS, top_k, unit_rows
+
+PIVOTS = 256
+BLOCK_ROWS = 20_000
+CHUNK_ROWS = 20_000
+# Above rounding to DIGITS places and the error of a dot product, in chord length.
+_SLACK = 1e-4
+
+
+def _placed(vectors: pd.Series, is_query: bool) -> np.ndarray:
+    """Unit vectors with two more places, which keep zero vectors at cosine 0 to all."""
+    unit = unit_rows(np.stack(vectors.to_list()).astype(float))
+    extra = np.zeros((len(unit), 2))
+    extra[~unit.any(axis=1), 1 if is_query else 0] = 1.0
+    return np.hstack([unit, extra])
+
+
+def _chord(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2 - 2 * (a @ b.T)))
+
+
+def pivot_top_k(queries: DataFrame, patterns: DataFrame, k: int, id_type: str,
+                exclude_self: bool, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS,
+                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``(query_id, vector)`` and ``(pattern_id, pattern)`` to the best ``k`` of each query."""
+    spark = queries.sparkSession
+    context = spark.sparkContext
+    sized = patterns.filter(F.size("pattern") > 0).withColumn("_n", F.size("pattern"))
+    # As many cells as there are quarter blocks: even if no cell can be ruled out, a query
+    # is copied only a few times more often than in a plain block-by-block comparison.
+    pivots = min(pivots, max(2, -(-patterns.count() * 4 // block_rows)))
+    pick = Window.partitionBy("_n").orderBy(F.xxhash64("pattern_id"), "pattern_id")
+    chosen = (sized.withColumn("_r", F.row_number().over(pick))
+              .filter(F.col("_r") <= pivots).select("_n", "pattern").toPandas())
+    centres = {int(n): _placed(part["pattern"], False)
+               for n, part in chosen.groupby("_n")}
+    centres_b = context.broadcast(centres)
+
+    @F.pandas_udf("cell int, distance double")
+    def assign(vectors: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"cell": 0, "distance": 0.0}, index=range(len(vectors)))
+        sizes = vectors.map(len).to_numpy()
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            d = _chord(_placed(vectors.iloc[at], False), centres_b.value[int(n)])
+            out.loc[at, "cell"] = d.argmin(axis=1)
+            out.loc[at, "distance"] = d.min(axis=1)
+        return out
+
+    # The cell tables live as long as the result that is read from them, so this scratch
+    # table is left for the cluster's own cleaning of the shared folder.
+    cells, _ = materialize(
+        sized.withColumn("_a", assign("pattern")).select(
+            "pattern_id", "pattern", "_n", F.col("_a.cell").alias("cell"),
+            F.col("_a.distance").alias("distance")), "pattern-cells")
+    needed = k + (1 if exclude_self else 0)
+    nearest = Window.partitionBy("_n", "cell").orderBy("distance")
+    near = (cells.withColumn("_r", F.row_number().over(nearest))
+            .filter(F.col("_r") <= needed).groupBy("_n", "cell")
+            .agg(F.sort_array(F.collect_list("distance")).alias("near")))
+    stats = (cells.groupBy("_n", "cell")
+             .agg(F.count(F.lit(1)).alias("rows"), F.max("distance").alias("radius"))
+             .join(near, ["_n", "cell"]).toPandas())
+    known = {}
+    for n, part in stats.groupby("_n"):
+        lists = part["near"].to_list()
+        known[int(n)] = (
+            part["cell"].to_numpy(), part["radius"].to_numpy(),
+            np.concatenate(lists), np.repeat(np.arange(len(part)), [len(x) for x in lists]))
+    known_b = context.broadcast(known)
+
+    @F.pandas_udf("array<int>")
+    def visited(vectors: pd.Series) -> pd.Series:
+        out = [[] for _ in range(len(vectors))]
+        sizes = vectors.map(lambda v: 0 if v is None else len(v)).to_numpy()
+        for n in np.unique(sizes):
+            if int(n) not in known_b.value:
+                continue
+            cell, radius, inner, owner = known_b.value[int(n)]
+            at = np.flatnonzero(sizes == n)
+            q = _placed(vectors.iloc[at], True)
+            for lo in range(0, len(at), 1024):
+                d = _chord(q[lo:lo + 1024], centres_b.value[int(n)][cell])
+                upper = np.sort(d[:, owner] + inner, axis=1)
+                limit = upper[:, min(needed, upper.shape[1]) - 1]
+                reach = d - radius <= limit[:, None] + _SLACK
+                for i, row in enumerate(reach):
+                    out[at[lo + i]] = cell[row].tolist()
+        return pd.Series(out)
+
+    probes = (queries.withColumn("_n", F.size("vector"))
+              .withColumn("cell", F.explode(visited("vector"))))
+    visits = {(r["_n"], r["cell"]): r["c"] for r in
+              probes.groupBy("_n", "cell").agg(F.count(F.lit(1)).alias("c")).collect()}
+    layout = [(int(r["_n"]), int(r["cell"]), -(-int(r["rows"]) // block_rows),
+               max(1, -(-visits.get((r["_n"], r["cell"]), 0) // chunk_rows)))
+              for _, r in stats.iterrows()]
+    # At most PIVOTS rows per vector length.
+    layout = F.broadcast(spark.createDataFrame(
+        layout, "_n int, cell int, blocks int, chunks int"))
+    count = lambda name: F.sequence(F.lit(0), F.col(name) - 1)
+    left = (probes.join(layout, ["_n", "cell"])
+            .withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
+            .withColumn("block", F.explode(count("blocks")))
+            .select("_n", "cell", "block", "chunk", "query_id", "vector"))
+    right = (cells.join(layout, ["_n", "cell"])
+             .withColumn("block", F.pmod(F.xxhash64("pattern_id"), F.col("blocks")).cast("int"))
+             .withColumn("chunk", F.explode(count("chunks")))
+             .select("_n", "cell", "block", "chunk", "pattern_id", "pattern"))
+    query_type = queries.schema["query_id"].dataType.simpleString()
+
+    def compare(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        found = {"query_id": [], "pattern_id": [], "similarity": []}
+        if len(asked) and len(table):
+            table = table.sort_values("pattern_id", ignore_index=True)
+            names = table["pattern_id"].to_numpy()
+            ids = asked["query_id"].to_numpy()
+            for row, best, values in top_k(
+                    unit_rows(np.stack(asked["vector"].to_list()).astype(float)),
+                    unit_rows(np.stack(table["pattern"].to_list()).astype(float)),
+                    names, k, ids if exclude_self else None):
+                found["query_id"] += [ids[row]] * len(best)
+                found["pattern_id"] += names[best].tolist()
+                found["similarity"] += values.tolist()
+        return pd.DataFrame(found)
+
+    keys = ["_n", "cell", "block", "chunk"]
+    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        compare, f"query_id {query_type}, pattern_id {id_type}, similarity double")
+    best = Window.partitionBy("query_id").orderBy(
+        F.round("similarity", DIGITS).desc(), "pattern_id")
+    return (pairs.withColumn("rank", F.row_number().over(best))
+            .filter(F.col("rank") <= k)
+            .select("query_id", "pattern_id", "similarity", "rank"))
