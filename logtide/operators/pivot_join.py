@@ -14,12 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialize
-from .ranking import DIGITS, top_k, unit_rows
+from .ranking import top_k, unit_rows
 
 PIVOTS = 256
 BLOCK_ROWS = 20_000
 CHUNK_ROWS = 20_000
-# Above rounding to DIGITS places and the error of a dot product, in chord length.
+# Covers the rounding of similarities for ranking and of dot products, in chord length.
 _SLACK = 1e-4
 
 
@@ -126,25 +126,26 @@ def pivot_top_k(queries: DataFrame, patterns: DataFrame, k: int, id_type: str,
     query_type = queries.schema["query_id"].dataType.simpleString()
 
     def compare(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        found = {"query_id": [], "pattern_id": [], "similarity": []}
+        found = {"query_id": [], "pattern_id": [], "similarity": [], "place": []}
         if len(asked) and len(table):
             table = table.sort_values("pattern_id", ignore_index=True)
             names = table["pattern_id"].to_numpy()
             ids = asked["query_id"].to_numpy()
-            for row, best, values in top_k(
+            for row, best, values, places in top_k(
                     unit_rows(np.stack(asked["vector"].to_list()).astype(float)),
                     unit_rows(np.stack(table["pattern"].to_list()).astype(float)),
                     names, k, ids if exclude_self else None):
                 found["query_id"] += [ids[row]] * len(best)
                 found["pattern_id"] += names[best].tolist()
                 found["similarity"] += values.tolist()
+                found["place"] += places.tolist()
         return pd.DataFrame(found)
 
     keys = ["_n", "cell", "block", "chunk"]
     pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        compare, f"query_id {query_type}, pattern_id {id_type}, similarity double")
-    best = Window.partitionBy("query_id").orderBy(
-        F.round("similarity", DIGITS).desc(), "pattern_id")
+        compare, f"query_id {query_type}, pattern_id {id_type}, similarity double, "
+                 "place double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("place"), "pattern_id")
     return (pairs.withColumn("rank", F.row_number().over(best))
             .filter(F.col("rank") <= k)
             .select("query_id", "pattern_id", "similarity", "rank"))

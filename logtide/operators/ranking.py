@@ -16,16 +16,17 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 
 def top_k(queries: np.ndarray, table: np.ndarray, names: np.ndarray, k: int,
           skip: np.ndarray | None = None):
-    """Yield ``(row, positions, similarities)`` of the best ``k`` rows of ``table``.
+    """Yield ``(row, positions, similarities, ranks)`` of the best ``k`` rows of ``table``.
 
-    ``table`` is in order of ``names``, which settles ties. ``skip`` holds for each query
-    a name to leave out. Works through the queries in blocks of bounded memory.
+    ``ranks`` are the similarities to ``DIGITS`` places, which is what the order goes by;
+    ``table`` is in order of ``names``, which settles ties. ``skip`` holds for each query a
+    name to leave out. Works through the queries in blocks of bounded memory.
     """
     step = max(1, _CELLS // max(1, len(table)))
     for lo in range(0, len(queries), step):
+        sims = queries[lo:lo + step] @ table.T
         # + 0.0 turns -0.0 into 0.0, so that both count as equal everywhere.
-        sims = np.round(queries[lo:lo + step] @ table.T, DIGITS) + 0.0
-        for i, row in enumerate(sims):
+        for i, row in enumerate(np.round(sims, DIGITS) + 0.0):
             if skip is not None:
                 row = np.where(names == skip[lo + i], -np.inf, row)
             if len(row) > k:
@@ -35,4 +36,4 @@ def top_k(queries: np.ndarray, table: np.ndarray, names: np.ndarray, k: int,
                 candidates = np.arange(len(row))
             best = candidates[np.argsort(-row[candidates], kind="stable")[:k]]
             best = best[np.isfinite(row[best])]
-            yield lo + i, best, row[best]
+            yield lo + i, best, sims[i][best], row[best]

@@ -116,7 +116,7 @@ def _with_top_k(queries: DataFrame, rows: pd.DataFrame, id_type: str, query_vect
             at = np.flatnonzero(sizes == size)
             q = unit_rows(np.stack(vectors.iloc[at].to_list()).astype(float))
             skip = own.iloc[at].to_numpy() if exclude else None
-            for row, found, values in top_k(q, table, names, k, skip):
+            for row, found, values, _ in top_k(q, table, names, k, skip):
                 ids[at[row]], sims[at[row]] = names[found].tolist(), values.tolist()
         return pd.DataFrame({"ids": ids, "sims": sims})
 
