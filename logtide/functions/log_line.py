@@ -14,33 +14,24 @@ from ..constants import (
 )
 
 _SEP = "\u0001"
-_ESC = "\u0002"
+_EDGE = "\u0002"
 # Fields plus the unmatched rest of the line.
 SPLIT_SIZE = len(LINE_FIELDS) + 1
 
 
-def has_separator(line: Column) -> Column:
-    """Whether the line itself holds one of the two characters used for splitting."""
-    return line.contains(_SEP) | line.contains(_ESC)
-
-
-def _escape(line: Column) -> Column:
-    escaped = F.replace(F.replace(line, F.lit(_ESC), F.lit(_ESC + "e")),
-                        F.lit(_SEP), F.lit(_ESC + "s"))
-    return F.when(has_separator(line), escaped).otherwise(line)
-
-
-def unescape(field: Column, escaped: Column) -> Column:
-    """Undo the protection of separator characters, where the line was ``escaped``."""
-    plain = F.replace(F.replace(field, F.lit(_ESC + "s"), F.lit(_SEP)),
-                      F.lit(_ESC + "e"), F.lit(_ESC))
-    return F.when(escaped, plain).otherwise(field)
-
-
-def _rewrite(line: Column, pattern: str, groups: int) -> Column:
-    fields = [f"${i}" for i in range(1, groups + 1)]
-    fields += ["-"] * (len(LINE_FIELDS) - groups) + [f"${groups + 1}"]
-    return F.regexp_replace(line, rf"(?U)^\s*+{pattern}((?s:.*+))", _SEP.join(fields))
+def _fields(line: Column, pattern: str, groups: int) -> Column:
+    """Rewrite a matching line to its fields joined by a separator, and split there."""
+    whole = rf"(?U)^\s*+{pattern}((?s:.*+))"
+    parts = [f"${i}" for i in range(1, groups + 1)]
+    parts += ["-"] * (len(LINE_FIELDS) - groups) + [f"${groups + 1}"]
+    usual = F.split(F.regexp_replace(line, whole, _SEP.join(parts)), _SEP, -1)
+    # A line with the separator in it gets a longer one that it cannot contain: a run of
+    # more separator characters than the line has characters, closed at both ends.
+    longer = F.concat(F.lit(_EDGE), F.repeat(F.lit(_SEP), F.length(line) + 1), F.lit(_EDGE))
+    joined = F.concat_ws("", *[x for part in parts[:-1] for x in (F.lit(part), longer)],
+                         F.lit(parts[-1]))
+    special = F.split(F.regexp_replace(line, F.lit(whole), joined), longer, -1)
+    return F.when(line.contains(_SEP), special).otherwise(usual)
 
 
 def split_line(line: Column, is_common: Column | bool = False,
@@ -49,17 +40,14 @@ def split_line(line: Column, is_common: Column | bool = False,
 
     ``pattern`` replaces the built-in one; it must capture the same ten fields in order.
     """
-    safe = _escape(line)
     if pattern is not None:
-        rewritten = _rewrite(safe, pattern, len(LINE_FIELDS))
-    elif is_common is True:
-        rewritten = _rewrite(safe, COMMON_LINE, 8)
-    elif is_common is False:
-        rewritten = _rewrite(safe, COMBINED_LINE, 10)
-    else:
-        rewritten = F.when(is_common, _rewrite(safe, COMMON_LINE, 8)).otherwise(
-            _rewrite(safe, COMBINED_LINE, 10))
-    return F.split(rewritten, _SEP, -1)
+        return _fields(line, pattern, len(LINE_FIELDS))
+    if is_common is True:
+        return _fields(line, COMMON_LINE, 8)
+    if is_common is False:
+        return _fields(line, COMBINED_LINE, 10)
+    return F.when(is_common, _fields(line, COMMON_LINE, 8)).otherwise(
+        _fields(line, COMBINED_LINE, 10))
 
 
 def log_time(text: Column) -> Column:

@@ -114,10 +114,13 @@ def ae_fit(df: DataFrame, key_cols: Sequence[str], vector_col: str = "features",
            hidden: Sequence[int] = AUTOENCODER_HIDDEN, code: int = AUTOENCODER_CODE,
            activation: str = "relu", epochs: int = 50, batch_size: int = 32,
            learning_rate: float = 1e-3, seed: int = MODEL_SEED,
-           num_workers: int | None = None) -> AutoencoderModel:
-    """Fit on a vector column of normal data; ``key_cols`` order the rows of a worker."""
+           num_workers: int | None = None, stored: bool = False) -> AutoencoderModel:
+    """Fit on a vector column of normal data; ``key_cols`` order the rows of a worker.
+
+    The input is written to shared storage first, unless ``stored`` says it is a table.
+    """
     spark = df.sparkSession
-    with scratch_table(df.select(*key_cols, vector_col), "autoencoder-input") as rows:
+    with scratch_table(df.select(*key_cols, vector_col), "autoencoder-input", stored) as rows:
         low, high, n = vector_bounds(rows, vector_col)
         if n == 0:
             raise ValueError("no rows to train on")

@@ -88,10 +88,14 @@ def grow_tree(rows: np.ndarray, rng: np.random.Generator, max_depth: int) -> lis
 
 def iforest_fit(df: DataFrame, key_cols: Sequence[str], vector_col: str = "features",
                 n_estimators: int = FOREST_TREES, contamination: float = FOREST_CONTAMINATION,
-                seed: int = MODEL_SEED, max_samples: int = FOREST_SUBSAMPLE
-                ) -> IsolationForestModel:
-    """Fit on a vector column. ``key_cols`` must identify a row."""
-    with scratch_table(df.select(*key_cols, vector_col), "forest-input") as rows:
+                seed: int = MODEL_SEED, max_samples: int = FOREST_SUBSAMPLE,
+                stored: bool = False) -> IsolationForestModel:
+    """Fit on a vector column. ``key_cols`` must identify a row.
+
+    The input is read several times, so it is written to shared storage first, unless
+    ``stored`` says that it already is a table.
+    """
+    with scratch_table(df.select(*key_cols, vector_col), "forest-input", stored) as rows:
         n = rows.count()
         if n == 0:
             raise ValueError("no rows to train on")

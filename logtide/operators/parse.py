@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import LINE_FIELDS, REJECT_PREFIX
 from ..functions.log_line import (
-    SPLIT_SIZE, has_separator, log_time, null_dash, response_time_of_line,
-    response_time_of_rest, split_line, unescape, url_path,
+    SPLIT_SIZE, log_time, null_dash, response_time_of_line, response_time_of_rest,
+    split_line, url_path,
 )
 from ..schemas import PARSED_LOG
 
@@ -29,58 +29,65 @@ def parse_access_log(lines: DataFrame, log_type: str | Column = "nginx",
     is_common = _is_common(log_type, log_format)
     others = [c for c in lines.columns if c != value_col]
 
-    # Both steps that must run once per line sit in one-element explodes: the optimizer
-    # would otherwise copy the line pattern and the time parsing into every filter above.
-    # They stay inside the same generated stage.
-    split = lines.select(
-        *others, line.alias("raw_line"),
-        F.explode(F.array(F.struct(split_line(line, is_common, pattern).alias("fields"),
-                                   has_separator(line).alias("escaped")))).alias("_p"))
-
-    def field(position):
-        return unescape(F.get("_p.fields", F.lit(position)), F.col("_p.escaped"))
-
-    at = {name: field(i) for i, name in enumerate(LINE_FIELDS)}
-    status = at["status"].try_cast("int")
-    size = at["body_bytes_sent"].try_cast("bigint")
-    time = log_time(at["time_local"])
-    ok = ((F.size("_p.fields") == SPLIT_SIZE) & status.isNotNull() & size.isNotNull())
-    if on_bad_time == "reject":
-        ok = ok & time.isNotNull()
-    checked = split.withColumn("_v", F.explode(F.array(F.struct(
-        time.alias("time"), status.alias("status"), size.alias("size"), ok.alias("ok")))))
+    # What must be worked out once per line sits in one-element explodes: the optimizer
+    # would otherwise copy the line pattern and the time parsing into every filter and
+    # column above. The explodes stay inside the same generated stage, and the columns
+    # become plain look-ups, which keeps that stage small enough to be compiled.
+    def once(df, value, name):
+        return df.withColumn(name, F.explode(F.array(value)))
 
     raw = F.col("raw_line")
+    split = once(lines.select(*others, line.alias("raw_line")),
+                 split_line(raw, is_common, pattern), "_f")
+
+    def field(array, name):
+        return F.get(array, F.lit(LINE_FIELDS.index(name)))
+
+    typed = once(split, F.struct(
+        log_time(field("_f", "time_local")).alias("time"),
+        field("_f", "status").try_cast("int").alias("status"),
+        field("_f", "body_bytes_sent").try_cast("bigint").alias("size")), "_v")
+    ok = ((F.size("_f") == SPLIT_SIZE) & F.col("_v.status").isNotNull()
+          & F.col("_v.size").isNotNull())
+    if on_bad_time == "reject":
+        ok = ok & F.col("_v.time").isNotNull()
+    # Without fields and checked values every column of a rejected line is null.
+    checked = once(typed, F.struct(
+        ok.alias("ok"), F.when(ok, F.col("_f")).alias("fields"),
+        F.when(ok, F.col("_v")).alias("value")), "_c")
+
+    def text(name):
+        return field("_c.fields", name)
+
+    rest = F.get("_c.fields", F.lit(len(LINE_FIELDS)))
     if pattern is not None or is_common is True:
-        response_time = response_time_of_line(raw)
-    elif is_common is False:
-        response_time = response_time_of_rest(field(len(LINE_FIELDS)))
-    else:
-        response_time = F.when(is_common, response_time_of_line(raw)).otherwise(
-            response_time_of_rest(field(len(LINE_FIELDS))))
-    if is_common is True:
-        referer = at["http_referer"]
+        response_time = F.when(F.col("_c.ok"), response_time_of_line(raw))
     elif is_common is False:
-        referer = null_dash(at["http_referer"])
+        response_time = response_time_of_rest(rest)
     else:
-        referer = F.when(is_common, at["http_referer"]).otherwise(
-            null_dash(at["http_referer"]))
-    timestamp = F.col("_v.time")
+        response_time = F.when(F.col("_c.ok") & is_common, response_time_of_line(raw)).when(
+            ~is_common, response_time_of_rest(rest))
+    referer = text("http_referer")
+    if is_common is False:
+        referer = null_dash(referer)
+    elif is_common is not True:
+        referer = F.when(is_common, referer).otherwise(null_dash(referer))
+    timestamp = F.col("_c.value.time")
     if on_bad_time == "ingest":
         now = ingest_time if isinstance(ingest_time, Column) else (
             F.current_timestamp() if ingest_time is None
             else F.lit(ingest_time).cast("timestamp"))
-        timestamp = F.coalesce(timestamp, now)
+        timestamp = F.coalesce(timestamp, F.when(F.col("_c.ok"), now))
     values = {
-        "ip": at["ip"], "remote_user": null_dash(at["remote_user"]), "timestamp": timestamp,
-        "method": at["method"], "url": at["url"], "url_path": url_path(at["url"]),
-        "protocol": at["protocol"], "status_code": F.col("_v.status"),
-        "body_bytes_sent": F.col("_v.size"), "http_referer": referer,
-        "user_agent": at["user_agent"], "response_time": response_time,
+        "ip": text("ip"), "remote_user": null_dash(text("remote_user")),
+        "timestamp": timestamp, "method": text("method"), "url": text("url"),
+        "url_path": url_path(text("url")), "protocol": text("protocol"),
+        "status_code": F.col("_c.value.status"), "body_bytes_sent": F.col("_c.value.size"),
+        "http_referer": referer, "user_agent": text("user_agent"),
+        "response_time": response_time, "raw_line": raw,
     }
-    columns = [raw if name == "raw_line" else F.when(F.col("_v.ok"), values[name]).alias(name)
-               for name in PARSED_LOG.names]
-    return checked.select(*others, *columns, F.col("_v.ok").alias("parse_ok"))
+    return checked.select(*others, *[values[n].alias(n) for n in PARSED_LOG.names],
+                          F.col("_c.ok").alias("parse_ok"))
 
 
 def _is_common(log_type, log_format):

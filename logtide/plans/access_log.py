@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.parse import parse_access_log, parsed_only
 from ..operators.windows import window_features
+from ..session import spread
 
 # One-minute windows of this log are mostly empty; hours hold a useful number of rows.
 HOUR = 3600
@@ -40,7 +41,7 @@ def access_log_lines(events: DataFrame) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access_log_lines(read_table(spark, sf_dir, "events"))
+    return access_log_lines(spread(read_table(spark, sf_dir, "events")))
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:

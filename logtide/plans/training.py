@@ -27,7 +27,7 @@ def train(logs: DataFrame, kind: str = "isolation_forest",
         least = MIN_TRAINING_WINDOWS if kind != "isolation_forest" else 1
         if rows.limit(least).count() < least:
             return None
-        return fit(kind, rows, KEYS, **params)
+        return fit(kind, rows, KEYS, stored=True, **params)
 
 
 def retrain(logs: DataFrame, as_of, path: str, kind: str = "isolation_forest",

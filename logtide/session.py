@@ -52,8 +52,11 @@ def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
 
 
 @contextmanager
-def scratch_table(df: DataFrame, label: str):
-    """``materialize`` for the length of a ``with`` block."""
+def scratch_table(df: DataFrame, label: str, stored: bool = False):
+    """``materialize`` for the length of a ``with`` block; ``stored`` input is used as it is."""
+    if stored:
+        yield df
+        return
     table, path = materialize(df, label)
     try:
         yield table
@@ -65,3 +68,13 @@ def collect_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS):
     """Rows of ``df`` if there are at most ``max_rows``, else ``None``."""
     rows = df.limit(max_rows + 1).collect()
     return None if len(rows) > max_rows else rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute an input that comes in fewer partitions than there are cores.
+
+    A few small files, or files that cannot be split, would leave the parsing of their
+    lines to as many tasks. Inputs of cluster size have more partitions and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

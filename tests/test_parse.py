@@ -201,4 +201,5 @@ def test_line_pattern_runs_once(spark):
     frame = parsed_only(parse_access_log(
         spark.createDataFrame([(GOOD,)], "value string"))).filter("status_code >= 200")
     plan = frame._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("regexp_replace(") == 1
+    # Once for usual lines, and once in the other branch for lines with a separator.
+    assert plan.count("regexp_replace(") == 2 and plan.count("*(1)") == plan.count("+- ") + 1
