@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import PATTERN_MINUTES, PATTERN_NEIGHBOURS, PATTERN_SIMILARITY
 from ..functions.vectors import feature_vector, flatten_pattern
-from ..session import BROADCAST_BYTES
+from ..session import BROADCAST_BYTES, scratch_table
 from .pivot_join import pivot_top_k
 from .ranking import top_k, unit_rows
 
@@ -133,22 +133,26 @@ def pattern_bytes(patterns: DataFrame, vector_col: str = "pattern") -> int:
 def knn_topk(queries: DataFrame, patterns: DataFrame, k: int = PATTERN_NEIGHBOURS,
              query_id: str = "query_id", query_vector: str = "vector",
              pattern_id: str = "pattern_id", pattern_vector: str = "pattern",
-             exclude_self: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+             exclude_self: bool = False, broadcast_bytes: int = BROADCAST_BYTES,
+             stored: bool = False) -> DataFrame:
     """The ``k`` most similar patterns of equal length for every query, exactly.
 
     Returns ``query_id, pattern_id, similarity, rank``; equal similarities (to nine
     decimals) go to the smaller pattern id. Patterns measured to be small are held by every
-    task; beyond that both sides are joined by nearest pivots with exact bounds.
+    task; beyond that both sides are joined by nearest pivots with exact bounds. ``stored``
+    says that the patterns are read from a table, and need not be written to one first.
     """
     table = patterns.select(F.col(pattern_id).alias("pattern_id"),
                             F.col(pattern_vector).cast("array<double>").alias("pattern"))
     asked = queries.select(F.col(query_id).alias("query_id"),
                            F.col(query_vector).cast("array<double>").alias("vector"))
     id_type = table.schema["pattern_id"].dataType.simpleString()
-    if pattern_bytes(table) > broadcast_bytes:
-        return pivot_top_k(asked, table, k, id_type, exclude_self)
-    near = _with_top_k(asked, table.toPandas(), id_type, "vector", k,
-                       "query_id" if exclude_self else None)
+    # Measured and then read: written once, so that neither recomputes where they come from.
+    with scratch_table(table, "patterns", stored) as held:
+        if pattern_bytes(held) > broadcast_bytes:
+            return pivot_top_k(asked, held, k, id_type, exclude_self)
+        near = _with_top_k(asked, held.toPandas(), id_type, "vector", k,
+                           "query_id" if exclude_self else None)
     return near.select("query_id", F.posexplode(F.arrays_zip("_near.ids", "_near.sims"))
                        ).select("query_id", F.col("col.ids").alias("pattern_id"),
                                 F.col("col.sims").alias("similarity"),
@@ -158,7 +162,8 @@ def knn_topk(queries: DataFrame, patterns: DataFrame, k: int = PATTERN_NEIGHBOUR
 def failure_similarity(queries: DataFrame, patterns: DataFrame,
                        threshold: float = PATTERN_SIMILARITY, query_vector: str = "pattern",
                        query_id: str | list[str] = "query_id",
-                       broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                       broadcast_bytes: int = BROADCAST_BYTES, stored: bool = False
+                       ) -> DataFrame:
     """Add ``similarity`` to the nearest failure pattern, ``pattern_id`` and ``is_risk``.
 
     A query without a pattern of its length has similarity 0 and no risk. ``query_id``
@@ -167,20 +172,25 @@ def failure_similarity(queries: DataFrame, patterns: DataFrame,
     table = patterns.select("pattern_id",
                             F.col("pattern").cast("array<double>").alias("pattern"))
     id_type = table.schema["pattern_id"].dataType.simpleString()
-    if pattern_bytes(table) > broadcast_bytes:
-        keys = [query_id] if isinstance(query_id, str) else list(query_id)
-        asked = queries.select(F.struct(*keys).alias("_q"),
-                               F.col(query_vector).cast("array<double>").alias("_vector"))
-        asked = asked.select(F.to_json("_q").alias("query_id"), F.col("_vector").alias("vector"))
-        best = pivot_top_k(asked, table, 1, id_type, False).select(
-            F.col("query_id").alias("_key"), "pattern_id", "similarity")
-        found = queries.withColumn("_key", F.to_json(F.struct(*keys))).join(
-            best, "_key", "left").drop("_key")
-    else:
-        found = (_with_top_k(queries, table.toPandas(), id_type, query_vector, 1, None)
-                 .withColumn("pattern_id", F.get("_near.ids", F.lit(0)))
-                 .withColumn("similarity", F.get("_near.sims", F.lit(0))).drop("_near"))
+    with scratch_table(table, "patterns", stored) as held:
+        if pattern_bytes(held) > broadcast_bytes:
+            found = _nearest_by_pivots(queries, held, query_id, query_vector, id_type)
+        else:
+            found = _with_top_k(queries, held.toPandas(), id_type, query_vector, 1, None)
+            found = (found.withColumn("pattern_id", F.get("_near.ids", F.lit(0)))
+                     .withColumn("similarity", F.get("_near.sims", F.lit(0))).drop("_near"))
     similarity = F.coalesce("similarity", F.lit(0.0))
     return (found.withColumn("similarity", similarity)
             .withColumn("is_risk", F.col("pattern_id").isNotNull()
                         & (F.col("similarity") >= threshold)))
+
+
+def _nearest_by_pivots(queries: DataFrame, patterns: DataFrame, query_id, query_vector: str,
+                       id_type: str) -> DataFrame:
+    keys = [query_id] if isinstance(query_id, str) else list(query_id)
+    key = F.to_json(F.struct(*keys))
+    asked = queries.select(key.alias("query_id"),
+                           F.col(query_vector).cast("array<double>").alias("vector"))
+    best = pivot_top_k(asked, patterns, 1, id_type, False).select(
+        F.col("query_id").alias("_key"), "pattern_id", "similarity")
+    return queries.withColumn("_key", key).join(best, "_key", "left").drop("_key")

@@ -164,17 +164,15 @@ def previous_in_source(df: DataFrame, order: str, value: Column, chunk: Column,
     meet in one partition per source, which links every chunk to the one before it.
     """
     inside = Window.partitionBy("source", "_chunk").orderBy(order)
-    chained = (df.withColumn("_chunk", chunk)
-               .withColumn("_value", value)
-               .withColumn("_before", F.lag("_value").over(inside))
-               .withColumn("_first", F.row_number().over(inside) == 1)
-               .withColumn("_last", F.lead(F.lit(1)).over(inside).isNull()))
-    border = F.when(F.col("_first") | F.col("_last"), F.lit(None)).otherwise(F.col("_chunk"))
-    across = Window.partitionBy("source", "_border").orderBy(order)
-    return (chained.withColumn("_border", border)
-            .withColumn(name, F.when(F.col("_first"), F.lag("_value").over(across))
-                        .otherwise(F.col("_before")))
-            .drop("_chunk", "_value", "_before", "_first", "_last", "_border"))
+    chained = df.withColumns({"_chunk": chunk, "_value": value}).withColumns({
+        "_before": F.lag("_value").over(inside),
+        "_first": F.row_number().over(inside) == 1,
+        "_last": F.lead(F.lit(1)).over(inside).isNull()})
+    border = F.when(~(F.col("_first") | F.col("_last")), F.col("_chunk"))
+    across = Window.partitionBy("source", border).orderBy(order)
+    return (chained.withColumn(name, F.when(F.col("_first"), F.lag("_value").over(across))
+                               .otherwise(F.col("_before")))
+            .drop("_chunk", "_value", "_before", "_first", "_last"))
 
 
 def change_rates(features: DataFrame, order: str = "window_id",

@@ -17,7 +17,7 @@ from ..operators import (
     parse as P, quantiles as Q, reports as R, scaling as S, similarity as K, windows as W,
 )
 from ..schemas import PARSED_LOG
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..streaming import closed_windows, observe_parse_stats, read_batches, start_pipeline
 from . import access_log as L, training as T
 from .oracle import BLOCKS, COMMON, logs_select, rounded, sql
@@ -64,16 +64,21 @@ def query(name: str, oracle: str | None = None, **blocks: str):
 
 # --- inputs -----------------------------------------------------------------------
 
-def scored(spark, sf):
+def stored_features(spark, sf):
+    """Features written to a table first, for queries that use them more than once."""
+    return materialize(L.features(spark, sf), "features")[0]
+
+
+def scored(spark, sf, features=None):
     """Features with stand-in scores that SQL can compute too."""
-    return L.features(spark, sf).select(
+    return (L.features(spark, sf) if features is None else features).select(
         *KEYS, "timestamp", F.col("timestamp").alias("window_start"), "error_rate_5xx",
         "avg_response_time", F.round("top_path_ratio", 6).alias("anomaly_score"),
         (F.col("error_rate_5xx") > 20).alias("is_anomaly"))
 
 
-def alerts(spark, sf):
-    return A.alerts_every_window(scored(spark, sf), **ALERT_LIMITS)
+def alerts(spark, sf, features=None):
+    return A.alerts_every_window(scored(spark, sf, features), **ALERT_LIMITS)
 
 
 def failures(features):
@@ -572,7 +577,7 @@ def _(spark, sf):
     f"- min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) ELSE 0 END, 6) AS {c}"
     for c in FEATURE_COLUMNS) + " FROM features")
 def _(spark, sf):
-    return S.normalize_features(L.features(spark, sf)).drop("timestamp")
+    return S.normalize_features(stored_features(spark, sf)).drop("timestamp")
 
 
 @query("ae_scale",
@@ -641,16 +646,28 @@ def _(spark, sf):
 @query("score_batch")
 def _(spark, sf):
     """Scores of all windows by a forest trained on them."""
-    return T.detect(L.logs(spark, sf), T.train(L.logs(spark, sf), window_seconds=L.HOUR),
-                    L.HOUR).select(*KEYS, "anomaly_score", "is_anomaly", "model_type")
+    rows = K.with_vector(stored_features(spark, sf)).select(*KEYS, "features")
+    return M.score_batch(rows, M.fit("isolation_forest", rows, KEYS, stored=True)).drop(
+        "features")
+
+
+def _saved_forest(spark, sf):
+    rows = K.with_vector(stored_features(spark, sf)).select(*KEYS, "features")
+    path = scratch_path(spark, "model")
+    M.model_save(spark, IF.iforest_fit(rows, KEYS, stored=True), path)
+    return rows, path
 
 
-@query("model_save_load")
+@query("model_save")
+def _(spark, sf):
+    """The stored node table of a forest."""
+    return spark.read.parquet(f"{_saved_forest(spark, sf)[1]}/parameters")
+
+
+@query("model_load")
 def _(spark, sf):
     """Scores by a forest that was saved and loaded again."""
-    rows = vectors(spark, sf)
-    path = scratch_path(spark, "model")
-    M.model_save(spark, IF.iforest_fit(rows, KEYS), path)
+    rows, path = _saved_forest(spark, sf)
     return M.score_batch(rows, M.model_load(spark, path)).drop("features")
 
 
@@ -683,8 +700,10 @@ def _(spark, sf):
        "round(f.rps, 6) AS rps, f.unique_ips FROM scored r JOIN features f "
        "ON r.source = f.source AND r.window_start = f.timestamp")
 def _(spark, sf):
-    results = scored(spark, sf).select("source", "window_start", "anomaly_score", "is_anomaly")
-    return T.join_scores(results, L.features(spark, sf)).select(
+    features = stored_features(spark, sf)
+    results = scored(spark, sf, features).select(
+        "source", "window_start", "anomaly_score", "is_anomaly")
+    return T.join_scores(results, features).select(
         "source", "window_start", "anomaly_score", "is_anomaly", "rps", "unique_ips")
 
 
@@ -708,8 +727,9 @@ def rolling_sql(minutes: int) -> str:
             "FROM vectors")
 
 
-def _patterns(spark, sf, minutes=LOOK_BACK):
-    features = L.features(spark, sf)
+def _patterns(spark, sf, minutes=LOOK_BACK, features=None):
+    if features is None:
+        features = stored_features(spark, sf)
     return K.historical_failure_patterns(features, failures(features), minutes)
 
 
@@ -771,9 +791,9 @@ def similarity_sql(queries: str, patterns: str, keys: str) -> str:
        **PATTERN_BLOCKS)
 def _(spark, sf):
     """Last four hours before every window against the four hours before each failure."""
-    features = L.features(spark, sf)
+    features = stored_features(spark, sf)
     found = K.failure_similarity(K.rolling_pattern(features, LOOK_BACK * 60),
-                                 _patterns(spark, sf), query_id=list(KEYS))
+                                 _patterns(spark, sf, features=features), query_id=list(KEYS))
     return found.select(*KEYS, "similarity", "is_risk")
 
 
@@ -782,7 +802,8 @@ def _(spark, sf):
        singles="SELECT source, window_id, features AS pattern FROM vectors")
 def _(spark, sf):
     """Every single window against the hour before each failure."""
-    found = K.failure_similarity(vectors(spark, sf), _patterns(spark, sf, 60),
+    features = stored_features(spark, sf)
+    found = K.failure_similarity(K.with_vector(features), _patterns(spark, sf, 60, features),
                                  query_vector="features", query_id=list(KEYS))
     return found.select(*KEYS, "similarity", "is_risk")
 
@@ -855,7 +876,7 @@ def _(spark, sf):
        "SELECT source, window_id, timestamp, alert_type, message, severity, "
        f"(SELECT count(*) FROM alerts) AS total_count FROM alerts {ALERT_ORDER} LIMIT 5")
 def _(spark, sf):
-    return A.alerts_recent(alerts(spark, sf)).drop("value")
+    return A.alerts_recent(alerts(spark, sf, stored_features(spark, sf))).drop("value")
 
 
 @query("alert_count_by_type",
@@ -872,8 +893,9 @@ def _(spark, sf):
        "(SELECT max(timestamp) FROM features) AS latest_feature_time, (SELECT count(*) "
        "FROM scored) AS total_anomaly_results, (SELECT count(*) FROM alerts) AS total_alerts")
 def _(spark, sf):
-    return R.db_statistics(L.logs(spark, sf), L.features(spark, sf), scored(spark, sf),
-                           alerts(spark, sf))
+    features = stored_features(spark, sf)
+    return R.db_statistics(L.logs(spark, sf), features, scored(spark, sf, features),
+                           alerts(spark, sf, features))
 
 
 LAST_LOGS = "(SELECT * FROM logs ORDER BY timestamp DESC, log_id DESC LIMIT {})"
@@ -900,7 +922,8 @@ def _(spark, sf):
        "AS window_count, (SELECT round(count(*) FILTER (status_code >= 500) / count(*) * 100, 6) "
        "FROM " + LAST_LOGS.format(100) + ") AS error_rate")
 def _(spark, sf):
-    return R.dashboard_metrics(L.parsed(spark, sf), L.features(spark, sf), alerts(spark, sf))
+    features = stored_features(spark, sf)
+    return R.dashboard_metrics(L.parsed(spark, sf), features, alerts(spark, sf, features))
 
 
 @query("status_summary",
@@ -953,7 +976,8 @@ def _(spark, sf):
        "AS total_alerts, (SELECT count(*) FROM alerts WHERE alert_type = 'anomaly') "
        "AS anomaly_count, 'None' AS model")
 def _(spark, sf):
-    made = R.report(L.logs(spark, sf), L.features(spark, sf), alerts(spark, sf), as_of=AS_OF)
+    features = stored_features(spark, sf)
+    made = R.report(L.logs(spark, sf), features, alerts(spark, sf, features), as_of=AS_OF)
     def part(path, kind="bigint"):
         return F.get_json_object("report", f"$.{path}").cast(kind).alias(path.split(".")[-1])
     return made.select(
