@@ -38,8 +38,9 @@ def historical_failure_patterns(features: DataFrame, failures: DataFrame,
     at = F.unix_micros("timestamp").alias("_at")
     windows = rows.select("source", at, F.col(vector).alias("_v")).withColumn(
         "_bucket", F.expr(bucket("_at")))
-    wanted = failures.select("source", "failure_time",
-                             F.unix_micros("failure_time").alias("_end"))
+    # A failure reported many times is one failure, and one group below.
+    wanted = failures.select("source", "failure_time").distinct().withColumn(
+        "_end", F.unix_micros("failure_time"))
     wanted = wanted.withColumn("_bucket", F.explode(F.array_distinct(F.array(
         F.expr(bucket(f"_end - {length}L")), F.expr(bucket("_end"))))))
     inside = (F.col("_at") >= F.col("_end") - length) & (F.col("_at") < F.col("_end"))

@@ -78,7 +78,7 @@ def test_historical_patterns(spark):
     rows += [("b", T0 + timedelta(minutes=i), [float(-i), 1.0]) for i in range(30)]
     failures = spark.createDataFrame(
         [("a", T0 + timedelta(minutes=12, seconds=30)), ("b", T0 + timedelta(minutes=3)),
-         ("a", T0), ("c", T0)], "source string, failure_time timestamp")
+         ("a", T0), ("c", T0)] + [("b", T0 + timedelta(minutes=3))] * 20, "source string, failure_time timestamp")
     got = {(r.source, r.failure_time): r for r in K.historical_failure_patterns(
         frame(spark, rows), failures, 10, vector_col="vec").collect()}
     assert set(got) == {("a", T0 + timedelta(minutes=12, seconds=30)),

@@ -200,6 +200,19 @@ def test_merge_and_caps(spark):
     assert {r.v for r in cap_recent(both, 1).collect()} == {104}
 
 
+@pytest.mark.parametrize("count", [1, 30, 150, 399, 400, 1000])
+def test_large_top_k_is_narrowed_by_time(spark, monkeypatch, count):
+    from logtide.operators import history
+    frame = spark.createDataFrame(sample() + [("x", None, "i", "GET", "/", 200, 1, 1.0)], SCHEMA)
+    plain = history.top_recent(frame, count).collect()
+    monkeypatch.setattr(history, "LARGE_COUNT", 0)
+    assert history.top_recent(frame, count).collect() == plain
+    busy = frame.withColumn("timestamp", F.date_trunc("day", "timestamp"))
+    assert history.top_recent(busy, count).count() == min(count, 401)
+    monkeypatch.setattr(history, "MAX_STEPS", 1)
+    assert history.top_recent(frame, count).collect() == plain
+
+
 @pytest.mark.parametrize("q", [0.0, 0.1, 0.5, 0.95, 1.0])
 def test_exact_quantile(spark, q):
     rng = np.random.default_rng(0)
