@@ -11,6 +11,8 @@ from ..constants import (
 from ..functions.text import fixed_decimals
 from .history import cap_recent, top_recent
 
+VALUE_DIGITS = 9
+
 
 def _message(kind: str, value: Column) -> Column:
     before, digits, after = ALERT_MESSAGES[kind]
@@ -39,11 +41,13 @@ def alerts_every_window(windows: DataFrame, error_rate: float = ERROR_RATE_THRES
         column, rule = fires[kind]
         if column not in present:
             continue
-        value = F.col(column)
+        # Sums of doubles differ in their last bits with the order of the rows; cut those
+        # off, so that thresholds and messages do not depend on the partitioning.
+        value = F.round(F.col(column).cast("double"), VALUE_DIGITS)
         made.append(F.when(rule(value), F.struct(
             F.lit(kind).alias("alert_type"), _message(kind, value).alias("message"),
             F.lit(ALERT_SEVERITY[kind]).alias("severity"),
-            value.cast("double").alias("value"))))
+            value.alias("value"))))
     keys = [c for c in ("source", "window_id", "timestamp") if c in present]
     alert = F.explode(F.array_compact(F.array(*made)))
     return windows.select(*keys, alert.alias("a")).select(

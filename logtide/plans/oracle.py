@@ -114,21 +114,24 @@ BLOCKS: dict[str, str] = {
         avg_response_time, round(top_path_ratio, 6) AS anomaly_score,
         error_rate_5xx > 20 AS is_anomaly
       FROM features""",
+    "rounded_scores": """
+      SELECT * REPLACE (round(error_rate_5xx, 9) AS error_rate_5xx,
+                        round(avg_response_time, 9) AS avg_response_time) FROM scored""",
     "alerts": """
       SELECT source, timestamp, 'error_rate' AS alert_type, 'high' AS severity,
         '5xx 에러 비율이 ' || printf('%.2f', error_rate_5xx) || '%로 임계값을 초과했습니다.'
           AS message, window_id, error_rate_5xx AS value
-      FROM scored WHERE error_rate_5xx > 5.0
+      FROM rounded_scores WHERE error_rate_5xx > 5.0
       UNION ALL
       SELECT source, timestamp, 'response_time', 'medium',
         '평균 응답 시간이 ' || printf('%.2f', avg_response_time) || 'ms로 임계값을 초과했습니다.',
         window_id, avg_response_time
-      FROM scored WHERE avg_response_time > 60
+      FROM rounded_scores WHERE avg_response_time > 60
       UNION ALL
       SELECT source, timestamp, 'anomaly', 'high',
         '이상 패턴이 감지되었습니다. (점수: ' || printf('%.4f', anomaly_score) || ')',
         window_id, anomaly_score
-      FROM scored WHERE is_anomaly OR anomaly_score > 0.75""",
+      FROM rounded_scores WHERE is_anomaly OR anomaly_score > 0.75""",
     "vectors": "SELECT source, window_id, timestamp, ["
                + ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0)" for c in FEATURE_COLUMNS)
                + "] AS features FROM features",

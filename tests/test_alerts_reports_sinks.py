@@ -32,6 +32,15 @@ def test_rules(scored):
     }
 
 
+def test_alerts_do_not_depend_on_the_order_of_rows(logs):
+    from logtide.operators.windows import window_features
+    made = [A.alerts_every_window(window_features(logs.repartition(n), 3600),
+                                  response_time=60.0) for n in (1, 7, 16)]
+    assert made[0].count() > 0
+    assert all(made[0].exceptAll(x).count() == 0 == x.exceptAll(made[0]).count()
+               for x in made[1:])
+
+
 def test_latest_only(scored):
     assert [(r.source, r.alert_type) for r in A.alerts_all(scored).collect()] == [("a", "anomaly")]
     assert A.alerts_all(scored.drop("anomaly_score", "is_anomaly")).count() == 0
