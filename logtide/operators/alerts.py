@@ -73,9 +73,7 @@ def alert_retention(alerts: DataFrame, keep: int = KEPT_ALERTS, by: str | None =
 
 def alerts_recent(alerts: DataFrame, count: int = RECENT_ALERTS_SHOWN) -> DataFrame:
     """The latest alerts, each with the number of alerts there are in all."""
-    total = alerts.agg(F.count(F.lit(1)).alias("total_count")).withColumn("_one", F.lit(1))
-    return (top_recent(alerts, count).withColumn("_one", F.lit(1))
-            .join(total, "_one").drop("_one"))
+    return top_recent(alerts, count).withColumn("total_count", F.lit(alerts.count()))
 
 
 def alert_count_by_type(alerts: DataFrame) -> DataFrame:

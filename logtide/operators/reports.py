@@ -15,9 +15,12 @@ from .history import top_recent
 
 
 def _side_by_side(frames: list[DataFrame]) -> DataFrame:
-    """Join frames of exactly one row each (global aggregates) into one row."""
-    keyed = [f.withColumn("_one", F.lit(1)) for f in frames]
-    return reduce(lambda a, b: a.join(b, "_one"), keyed).drop("_one")
+    """Frames of exactly one row each (global aggregates) as one row.
+
+    Their union has one value and nulls in every column, so a maximum picks the value.
+    """
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
 def _count(df: DataFrame, name: str) -> DataFrame:

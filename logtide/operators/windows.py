@@ -20,6 +20,7 @@ MICROS = 1_000_000
 # Windows per partition of the analytic steps, so that one busy source is spread out.
 WINDOW_CHUNK = 4096
 _ROW, _IP, _PATH = 0, 1, 2
+_NUMBERS = ("int", "bigint", "double")
 
 
 def anchors(logs: DataFrame) -> DataFrame:
@@ -182,7 +183,7 @@ def change_rates(features: DataFrame, order: str = "window_id",
     0 for the first window of a source and where the previous value is not positive.
     """
     if chunk is None:
-        chunk = F.expr(f"(window_id - pmod(window_id, {WINDOW_CHUNK}L)) div {WINDOW_CHUNK}L")
+        chunk = _floor_div("window_id", WINDOW_CHUNK)
     value = F.struct(*[F.col(name) for name in CHANGE_COLUMNS])
     linked = previous_in_source(features, order, value, chunk, "_prev")
     rates = []
@@ -222,29 +223,35 @@ def window_features(logs: DataFrame, window_seconds: int = WINDOW_SECONDS,
     return fill_window_gaps(features, window_seconds) if fill_gaps else features
 
 
+def _floor_div(value: str, width: int) -> Column:
+    return F.expr(f"({value} - pmod({value}, {width}L)) div {width}L")
+
+
 def fill_window_gaps(features: DataFrame, window_seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """Add a zero row for every window between the first and last one of its source."""
+    """Add a zero row for every window between the first and last one of its source.
+
+    Each window brings the empty ones before it, so the features are read once and not
+    joined. Long gaps are cut into chunks that are spread over the tasks before they are
+    written out.
+    """
     width = window_seconds * MICROS
-    span = features.groupBy("source").agg(
-        F.min("window_id").alias("_lo"), F.max("window_id").alias("_hi"),
-        F.min(F.unix_micros("timestamp") - F.col("window_id") * F.lit(width)).alias("_t0"))
-    # Two steps, so that no array is longer than a chunk and chunks spread over tasks.
-    chunks = span.withColumn("_c", F.explode(F.expr(
-        f"sequence(_lo div {WINDOW_CHUNK}L - 1, _hi div {WINDOW_CHUNK}L + 1)")))
-    ids = chunks.repartition("source", "_c").withColumn(
-        "window_id", F.explode(F.sequence(F.col("_c") * WINDOW_CHUNK,
-                                          F.col("_c") * WINDOW_CHUNK + (WINDOW_CHUNK - 1)))
-    ).filter("window_id between _lo and _hi").select(
-        "source", "window_id",
-        F.timestamp_micros(F.col("_t0") + F.col("window_id") * F.lit(width)).alias("timestamp"))
-    values = [c for c in features.columns if c not in ("source", "window_id", "timestamp")]
-    joined = ids.join(features.drop("timestamp").withColumn("_real", F.lit(True)),
-                      ["source", "window_id"], "left")
+    linked = previous_in_source(features, "window_id", F.col("window_id"),
+                                _floor_div("window_id", WINDOW_CHUNK), "_prev")
+    start = linked.withColumn("_lo", F.coalesce(F.col("_prev") + 1, F.col("window_id")))
+    chunks = start.withColumn("_c", F.explode(F.sequence(
+        _floor_div("_lo", WINDOW_CHUNK), _floor_div("window_id", WINDOW_CHUNK))))
+    first, last = F.col("_c") * WINDOW_CHUNK, F.col("_c") * WINDOW_CHUNK + (WINDOW_CHUNK - 1)
+    ids = chunks.repartition("source", "_c").withColumn("_id", F.explode(F.sequence(
+        F.greatest(F.col("_lo"), first), F.least(F.col("window_id"), last))))
+    real = F.col("_id") == F.col("window_id")
+    time = F.timestamp_micros(F.unix_micros("timestamp")
+                              - (F.col("window_id") - F.col("_id")) * F.lit(width))
     # A null inside a real window (the spread of a single request) stays null.
-    types = dict(features.dtypes)
-    filled = [F.when(F.col("_real"), F.col(c)).otherwise(F.lit(0).cast(types[c])).alias(c)
-              if types[c] in ("bigint", "double", "int") else F.col(c) for c in values]
-    return joined.select("source", "window_id", "timestamp", *filled)
+    filled = [F.when(real, F.col(c)).otherwise(F.lit(0).cast(kind) if kind in _NUMBERS
+                                               else F.lit(None).cast(kind)).alias(c)
+              for c, kind in features.dtypes if c not in ("source", "window_id", "timestamp")]
+    return ids.select("source", F.col("_id").alias("window_id"), time.alias("timestamp"),
+                      *filled)
 
 
 def recent_input(logs: DataFrame, count: int = FEATURE_INPUT_LOGS) -> DataFrame:

@@ -138,7 +138,7 @@ def test_single_request_has_no_spread(spark):
     assert row.total_requests == 1 and not row.std_response_time
 
 
-def test_fill_gaps(spark):
+def test_fill_gaps(spark, monkeypatch):
     frame = spark.createDataFrame(sample(), SCHEMA)
     plain = W.window_features(frame, 60)
     filled = W.window_features(frame, 60, fill_gaps=True)
@@ -149,6 +149,12 @@ def test_fill_gaps(spark):
     assert {s: n for s, (n, _) in got.items()} == span
     assert sum(t for _, t in got.values()) == 400
     assert filled.filter("total_requests > 0").exceptAll(plain).count() == 0
+    monkeypatch.setattr(W, "WINDOW_CHUNK", 4)
+    again = W.window_features(frame, 60, fill_gaps=True)
+    assert again.exceptAll(filled).count() == 0 == filled.exceptAll(again).count()
+    # Every start is a whole number of windows after the anchor of its source.
+    phases = filled.selectExpr("source", "unix_seconds(timestamp) - 60 * window_id as phase")
+    assert phases.distinct().count() == len(span)
     zero = filled.filter("total_requests = 0").first()
     assert all(zero[c] == 0 for c in FEATURE_COLUMNS)
 
