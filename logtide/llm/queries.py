@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import bpe, secrets, simhash, topk
+from logtide.llm import bpe, packing, phrases, quality, secrets, simhash, topk, toxicity
 from logtide.llm.common import table
 
 
@@ -23,15 +23,37 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
+def op5_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (phrases.with_edits(table(spark, sf_dir, "documents"))
+            .withColumnRenamed("edited", "edited_sha256"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.definition("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
     "op3_secrets": op3_secrets,
+    "op4_quality": op4_quality,
+    "op5_phrases": op5_phrases,
+    "op6_toxicity": op6_toxicity,
     "op7_topk": op7_topk,
+    "op8_packing": op8_packing,
 }
 
 ORACLE = {
