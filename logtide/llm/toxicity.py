@@ -24,7 +24,7 @@ from logtide.llm.common import arrow_pass, utf8
 
 #: Labelled rows used for training, at most, with and without the label; the rows are those of
 #: the lowest id hashes, and texts that occur twice count once.
-SAMPLE_TOXIC, SAMPLE_ORDINARY = 2500, 7500
+SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 4500
 #: Part of the sample that calibrates the thresholds instead of training the dictionaries.
 CALIBRATION = 0.3
 
