@@ -164,3 +164,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = named.select("fp", F.coalesce("lowest", "first").alias("component_id"))
     return by_doc.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one document of each group, the one with the smallest id.
+
+    A repeated row stays once, of rows with one id and different texts one stays, and rows with a
+    null id stay, since nothing names them.
+    """
+    groups = stored(near_duplicates(docs), "groups")
+    id_type = docs.schema["doc_id"].dataType
+    named = groups.where("doc_id is not null")
+    later = named.where("doc_id <> component_id").select(F.col("doc_id").cast(id_type)).distinct()
+    kept = docs.join(later, "doc_id", "left_anti")
+    repeated = stored(named.groupBy(F.col("doc_id").cast(id_type).alias("doc_id"))
+                      .agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        kept = (kept.join(repeated, "doc_id", "left_anti").unionByName(
+            kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
+    return kept.select(docs.columns)
