@@ -18,6 +18,15 @@ def feature_vector(available: Sequence[str],
     return F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names])
 
 
+def of_width(vector: Column, width: int | None) -> Column:
+    """The vector; an error where its length is not ``width`` (or null, without that)."""
+    if width is None:
+        return vector
+    return F.when(F.size(vector) == width, vector).otherwise(F.raise_error(F.concat(
+        F.lit(f"the model takes vectors of {width} values, not of "),
+        F.size(vector).cast("string"))))
+
+
 def flatten_pattern(windows: Column) -> Column:
     """Windows x features to one vector, row by row."""
     return F.flatten(windows)

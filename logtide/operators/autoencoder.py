@@ -1,30 +1,35 @@
 """Dense autoencoder trained by parameter averaging, scored by reconstruction error.
 
-Every epoch is one Spark job: each partition runs mini-batch Adam from the current weights
-over its rows, in key order, and returns its weights; they are averaged by row count. With
-one worker this is plain sequential training.
+The rows are dealt into shards by the hash of their key. Every epoch is one Spark job: each
+shard runs mini-batch Adam from the current weights over its rows, in key order, and returns
+its weights; they are averaged by row count, in the order of the shards. The number of shards
+follows from the number of rows alone, so the model is the same on any cluster; up to
+``SHARD_ROWS`` rows this is plain sequential training.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import (
     AUTOENCODER_CODE, AUTOENCODER_HIDDEN, AUTOENCODER_THRESHOLD_QUANTILE, MODEL_SEED,
 )
+from ..functions.vectors import of_width
 from ..session import scratch_table
 from .quantiles import exact_quantile
 from .scaling import ae_scale, vector_bounds
 
 _BETA1, _BETA2, _ADAM_EPS = 0.9, 0.999, 1e-8
-_MAX_WORKERS = 64
-_WORKER_SCHEMA = ("rows bigint, steps bigint, loss double, "
+#: Rows of a shard, in the mean; recorded in the model.
+SHARD_ROWS = 8192
+# Shards whose weights are averaged in one task.
+_AVERAGED = 64
+_WORKER_SCHEMA = ("shard bigint, rows bigint, steps bigint, loss double, "
                   "weights array<double>, m array<double>, v array<double>")
 
 
@@ -94,91 +99,81 @@ def loss_and_gradient(weights: np.ndarray, sizes: Sequence[int], activation: str
     return float(np.mean(error ** 2)), np.concatenate(parts[::-1])
 
 
-def _batches(frames: Iterator[pd.DataFrame], column: str, size: int):
-    """Mini-batches of ``size`` rows across the frames of a partition."""
-    rest = None
-    for frame in frames:
-        if not len(frame):
-            continue
-        x = np.stack(frame[column].to_list())
-        x = x if rest is None else np.concatenate([rest, x])
-        whole = len(x) // size * size
-        for lo in range(0, whole, size):
-            yield x[lo:lo + size]
-        rest = x[whole:]
-    if rest is not None and len(rest):
-        yield rest
-
-
 def ae_fit(df: DataFrame, key_cols: Sequence[str], vector_col: str = "features",
            hidden: Sequence[int] = AUTOENCODER_HIDDEN, code: int = AUTOENCODER_CODE,
            activation: str = "relu", epochs: int = 50, batch_size: int = 32,
            learning_rate: float = 1e-3, seed: int = MODEL_SEED,
-           num_workers: int | None = None, stored: bool = False) -> AutoencoderModel:
-    """Fit on a vector column of normal data; ``key_cols`` order the rows of a worker.
+           shard_rows: int = SHARD_ROWS, stored: bool = False) -> AutoencoderModel:
+    """Fit on a vector column of normal data; ``key_cols`` identify a row.
 
     The input is written to shared storage first, unless ``stored`` says it is a table.
     """
-    spark = df.sparkSession
     with scratch_table(df.select(*key_cols, vector_col), "autoencoder-input", stored) as rows:
         low, high, n = vector_bounds(rows, vector_col)
         if n == 0:
             raise ValueError("no rows to train on")
         sizes = layer_sizes(len(low), hidden, code)
-        if num_workers is None:
-            num_workers = max(1, min(spark.sparkContext.defaultParallelism, _MAX_WORKERS,
-                                     n // (8 * batch_size)))
-        scaled = rows.select(*key_cols, ae_scale(F.col(vector_col), low, high).alias("x"))
-        parts = (scaled.repartition(num_workers, *key_cols).sortWithinPartitions(*key_cols)
-                 .select("x").persist(StorageLevel.MEMORY_AND_DISK))
-        try:
-            weights = initial_weights(sizes, seed)
-            m, v, steps = np.zeros_like(weights), np.zeros_like(weights), 0
-            losses = []
+        shards = -(-n // shard_rows)
+        shard = F.pmod(F.xxhash64(*key_cols), F.lit(shards)).alias("shard")
+        scaled = rows.select(*key_cols, shard, ae_scale(F.col(vector_col), low, high).alias("x"))
+        weights = initial_weights(sizes, seed)
+        m, v, steps = np.zeros_like(weights), np.zeros_like(weights), 0
+        losses = []
+        with scratch_table(scaled, "autoencoder-shards") as parts:
             for _ in range(epochs):
-                results = _epoch(parts, (weights, m, v, steps), sizes, activation,
-                                 batch_size, learning_rate)
-                share = np.array([r["rows"] for r in results], dtype=float)
-                share /= share.sum()
-                weights, m, v = (sum(w * np.asarray(r[name]) for w, r in zip(share, results))
-                                 for name in ("weights", "m", "v"))
-                steps = max(r["steps"] for r in results)
-                losses.append(float(sum(w * r["loss"] for w, r in zip(share, results))))
-        finally:
-            parts.unpersist()
+                result = _epoch(parts, (weights, m, v, steps), sizes, activation, batch_size,
+                                learning_rate, key_cols, shards)
+                weights, m, v = (np.array(result[name]) for name in ("weights", "m", "v"))
+                steps = result["steps"]
+                losses.append(result["loss"])
         model = AutoencoderModel(sizes, activation, weights, low, high, losses=losses, params={
             "epochs": epochs, "batch_size": batch_size, "learning_rate": learning_rate,
-            "seed": seed, "num_workers": num_workers})
+            "seed": seed, "shard_rows": shard_rows})
         with scratch_table(ae_errors(rows, model, vector_col).select("anomaly_score"),
                            "autoencoder-errors") as errors:
             model.threshold = ae_threshold(errors, "anomaly_score")
     return model
 
 
-def _epoch(parts: DataFrame, state, sizes, activation, batch_size, rate):
+def _epoch(parts: DataFrame, state, sizes, activation, batch_size, rate, key_cols, shards):
+    """One row: the averaged result of all shards."""
     shared = parts.sparkSession.sparkContext.broadcast(state)
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(group: pd.DataFrame) -> pd.DataFrame:
         weights, m, v, steps = shared.value
         weights, m, v = weights.copy(), m.copy(), v.copy()
-        seen, total = 0, 0.0
-        for x in _batches(frames, "x", batch_size):
-            loss, gradient = loss_and_gradient(weights, sizes, activation, x)
+        total, x = 0.0, np.stack(group.sort_values(list(key_cols))["x"].to_list())
+        for lo in range(0, len(x), batch_size):
+            batch = x[lo:lo + batch_size]
+            loss, gradient = loss_and_gradient(weights, sizes, activation, batch)
             steps += 1
             m = _BETA1 * m + (1 - _BETA1) * gradient
             v = _BETA2 * v + (1 - _BETA2) * gradient ** 2
             weights -= rate * (m / (1 - _BETA1 ** steps)) / (
                 np.sqrt(v / (1 - _BETA2 ** steps)) + _ADAM_EPS)
-            seen += len(x)
-            total += loss * len(x)
-        if seen:
-            yield pd.DataFrame({"rows": [seen], "steps": [steps], "loss": [total / seen],
-                                "weights": [weights], "m": [m], "v": [v]})
-
-    # One row per worker, at most _MAX_WORKERS unless the caller asks for more.
-    results = parts.mapInPandas(work, _WORKER_SCHEMA).collect()
+            total += loss * len(batch)
+        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "rows": [len(x)],
+                             "steps": [steps], "loss": [total / len(x)], "weights": [weights],
+                             "m": [m], "v": [v]})
+
+    def average(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("shard")
+        share = group["rows"].to_numpy(float) / group["rows"].sum()
+        mean = {name: [sum(w * np.asarray(x) for w, x in zip(share, group[name]))]
+                for name in ("weights", "m", "v")}
+        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "rows": [group["rows"].sum()],
+                             "steps": [group["steps"].max()],
+                             "loss": [float(share @ group["loss"].to_numpy())], **mean})
+
+    results = parts.groupBy("shard").applyInPandas(work, _WORKER_SCHEMA)
+    while shards > 1:
+        # Averages of averages, so that no task and not the driver holds all weights.
+        results = (results.withColumn("shard", F.expr(f"shard div {_AVERAGED}"))
+                   .groupBy("shard").applyInPandas(average, _WORKER_SCHEMA))
+        shards = -(-shards // _AVERAGED)
+    result = results.first()
     shared.unpersist()
-    return results
+    return result
 
 
 def ae_threshold(errors: DataFrame, error_col: str,
@@ -201,7 +196,8 @@ def ae_errors(df: DataFrame, model: AutoencoderModel, vector_col: str = "feature
                                  axis=1))
 
     return df.withColumn("anomaly_score",
-                         error(ae_scale(F.col(vector_col), model.low, model.high)))
+                         error(ae_scale(
+        of_width(F.col(vector_col), len(model.low)), model.low, model.high)))
 
 
 def ae_score(df: DataFrame, model: AutoencoderModel, vector_col: str = "features") -> DataFrame:

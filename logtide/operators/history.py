@@ -79,10 +79,10 @@ def cap_recent(df: DataFrame, count: int, by: str | None = None,
 
 
 def merge_features(existing: DataFrame, fresh: DataFrame,
-                   keep: int | None = KEPT_WINDOWS) -> DataFrame:
+                   keep: int | None = None) -> DataFrame:
     """Union of two feature tables, the existing row winning for equal windows.
 
-    ``keep`` cuts the result to the latest rows; ``None`` keeps all of them.
+    All rows are kept, or the latest ``keep``.
     """
     both = existing.withColumn("_batch", F.lit(0)).unionByName(
         fresh.withColumn("_batch", F.lit(1)), allowMissingColumns=True)

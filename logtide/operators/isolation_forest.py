@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import FOREST_CONTAMINATION, FOREST_SUBSAMPLE, FOREST_TREES, MODEL_SEED
 from ..session import scratch_table
+from ..functions.vectors import of_width
 from .quantiles import exact_quantile
 
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
@@ -31,6 +32,7 @@ class IsolationForestModel:
     sample_size: int
     offset: float
     params: dict = field(default_factory=dict)
+    width: int | None = None
     kind: str = "isolation_forest"
 
 
@@ -44,23 +46,21 @@ def average_path(n):
 
 def tree_samples(df: DataFrame, key_cols: Sequence[str], n: int, n_trees: int,
                  sample_size: int, seed: int) -> DataFrame:
-    """``(tree, rank, ...)``: ``sample_size`` rows of ``df`` for each tree."""
+    """``(tree, rank, ...)``: ``sample_size`` rows of ``df`` for each tree.
+
+    Every tree draws for itself, whatever the number of rows. Only keys are drawn from; the
+    chosen rows, at most ``sample_size`` per tree, are then looked up.
+    """
     wanted = _OVERSAMPLE * sample_size
-    if n >= wanted * n_trees:
-        # Enough rows to give every tree rows of its own: one hash decides the tree.
-        draw = F.pmod(F.xxhash64(*key_cols, F.lit(seed)), F.lit(_HASH_RANGE))
-        share = _HASH_RANGE * wanted // n
-        drawn = (df.withColumn("_draw", draw).filter(F.col("_draw") < share * n_trees)
-                 .withColumn("tree", F.expr(f"cast(_draw div {share}L as int)")))
-    else:
-        trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))
-        draw = F.pmod(F.xxhash64(*key_cols, F.lit(seed), F.col("tree")), F.lit(_HASH_RANGE))
-        drawn = df.withColumn("tree", trees).withColumn("_draw", draw)
-        if n > wanted:
-            drawn = drawn.filter(F.col("_draw") < _HASH_RANGE * wanted // n)
+    trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))
+    draw = F.pmod(F.xxhash64(*key_cols, F.lit(seed), F.col("tree")), F.lit(_HASH_RANGE))
+    drawn = df.select(*key_cols).withColumn("tree", trees).withColumn("_draw", draw)
+    if n > wanted:
+        drawn = drawn.filter(F.col("_draw") < _HASH_RANGE * wanted // n)
     order = Window.partitionBy("tree").orderBy("_draw", *key_cols)
-    return (drawn.withColumn("rank", F.row_number().over(order))
-            .filter(F.col("rank") <= sample_size).drop("_draw"))
+    chosen = (drawn.withColumn("rank", F.row_number().over(order))
+              .filter(F.col("rank") <= sample_size).drop("_draw"))
+    return df.join(F.broadcast(chosen), list(key_cols))
 
 
 def grow_tree(rows: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple]:
@@ -118,7 +118,8 @@ def iforest_fit(df: DataFrame, key_cols: Sequence[str], vector_col: str = "featu
                  .sort_values(["tree", "node"], ignore_index=True))
         model = IsolationForestModel(nodes, sample_size, 0.0, {
             "n_estimators": n_estimators, "contamination": contamination, "seed": seed,
-            "max_samples": max_samples})
+            "max_samples": max_samples},
+            rows.select(F.max(F.size(vector_col)).alias("w")).first()["w"])
         with scratch_table(rows.select(_raw_score(rows, model, vector_col).alias("s")),
                            "forest-scores") as scores:
             model.offset = forest_threshold(scores, "s", contamination)
@@ -159,7 +160,7 @@ def _raw_score(df: DataFrame, model: IsolationForestModel, vector_col: str) -> C
             out[lo:lo + 4096] = -np.exp2(-path[at].mean(axis=1) / norm)
         return pd.Series(out)
 
-    return score(F.col(vector_col))
+    return score(of_width(F.col(vector_col), model.width))
 
 
 def iforest_score(df: DataFrame, model: IsolationForestModel, vector_col: str = "features"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -34,10 +35,16 @@ def score_batch(df: DataFrame, model: Model, vector_col: str = "features") -> Da
 
 
 def model_save(spark: SparkSession, model: Model, path: str) -> None:
-    """Write the parameters as Parquet, then one JSON row of metadata that completes it."""
+    """Write the parameters as Parquet, then one JSON row of metadata that completes it.
+
+    Parameters go to a folder of their own, which the metadata names: whoever reads while, or
+    after, a save was broken off finds the old model, the new one, or none, but no mixture.
+    """
+    parameters = f"parameters-{uuid.uuid4().hex}"
     if model.kind == "isolation_forest":
         table = spark.createDataFrame(model.nodes, NODE_SCHEMA)
-        meta = {"sample_size": model.sample_size, "offset": model.offset}
+        meta = {"sample_size": model.sample_size, "offset": model.offset,
+                "width": model.width}
     else:
         table = spark.createDataFrame(
             pd.DataFrame({"position": np.arange(len(model.weights)), "weight": model.weights}),
@@ -45,22 +52,32 @@ def model_save(spark: SparkSession, model: Model, path: str) -> None:
         meta = {"sizes": list(model.sizes), "activation": model.activation,
                 "low": list(model.low), "high": list(model.high),
                 "threshold": model.threshold, "losses": model.losses}
-    meta |= {"kind": model.kind, "params": model.params}
-    table.coalesce(1).write.mode("overwrite").parquet(f"{path}/parameters")
+    meta |= {"kind": model.kind, "params": model.params, "parameters": parameters}
+    table.coalesce(1).write.parquet(f"{path}/{parameters}")
     (spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1)
      .write.mode("overwrite").text(f"{path}/metadata"))
 
 
+def saved_parameters(spark: SparkSession, path: str) -> DataFrame:
+    """The parameters of a saved model as a table."""
+    return spark.read.parquet(f"{path}/{_metadata(spark, path)['parameters']}")
+
+
+def _metadata(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/metadata").first()["value"])
+
+
 def model_load(spark: SparkSession, path: str) -> Model:
     """Restore a saved model of either kind; ``FileNotFoundError`` if there is none."""
     try:
-        meta = json.loads(spark.read.text(f"{path}/metadata").first()["value"])
-        table = spark.read.parquet(f"{path}/parameters")
+        meta = _metadata(spark, path)
+        table = spark.read.parquet(f"{path}/{meta['parameters']}")
     except (AnalysisException, TypeError) as error:
         raise FileNotFoundError(f"no model at {path}") from error
     if meta["kind"] == "isolation_forest":
         nodes = table.toPandas().sort_values(["tree", "node"], ignore_index=True)
-        return IsolationForestModel(nodes, meta["sample_size"], meta["offset"], meta["params"])
+        return IsolationForestModel(nodes, meta["sample_size"], meta["offset"], meta["params"],
+                                    meta["width"])
     weights = table.orderBy("position").toPandas()["weight"].to_numpy()
     return AutoencoderModel(meta["sizes"], meta["activation"], weights, meta["low"],
                             meta["high"], meta["threshold"], meta["losses"], meta["params"])

@@ -87,7 +87,7 @@ def failures(features):
 
 
 def vectors(spark, sf):
-    return K.with_vector(L.features(spark, sf)).select(*KEYS, "timestamp", "features")
+    return K.with_vector(stored_features(spark, sf)).select(*KEYS, "timestamp", "features")
 
 
 def elements(df, keys, column):
@@ -236,7 +236,7 @@ def _(spark, sf):
        f"AND timestamp <= TIMESTAMP '{AS_OF}' "
        "ORDER BY timestamp DESC, log_id DESC LIMIT 100000")
 def _(spark, sf):
-    return sources.scan_recent_days(L.logs(spark, sf), AS_OF).select(
+    return sources.scan_recent_days(L.logs(spark, sf), AS_OF, limit=100_000).select(
         "log_id", "source", "timestamp", "status_code")
 
 
@@ -633,7 +633,7 @@ def _(spark, sf):
 @query("ae_score")
 def _(spark, sf):
     rows = vectors(spark, sf)
-    return AE.ae_score(rows, AE.ae_fit(rows, KEYS, epochs=5)).drop("features")
+    return AE.ae_score(rows, AE.ae_fit(rows, KEYS)).drop("features")
 
 
 @query("ae_threshold",
@@ -661,7 +661,7 @@ def _saved_forest(spark, sf):
 @query("model_save")
 def _(spark, sf):
     """The stored node table of a forest."""
-    return spark.read.parquet(f"{_saved_forest(spark, sf)[1]}/parameters")
+    return M.saved_parameters(spark, _saved_forest(spark, sf)[1])
 
 
 @query("model_load")
@@ -997,7 +997,7 @@ def _(spark, sf):
     columns = (*KEYS, "timestamp", "rps")
     first = sources.time_range(L.features(spark, sf), None, END).select(*columns)
     second = sources.time_range(L.features(spark, sf, rps_seconds=3600), START, None)
-    return H.merge_features(first, second.select(*columns))
+    return H.merge_features(first, second.select(*columns), keep=100)
 
 
 @query("cap_recent",

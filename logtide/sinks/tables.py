@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import ALERT_DEFAULTS
+from ..sources.tables import utc_date
 from ..schemas import ALERTS_TABLE, ANOMALY_RESULTS_TABLE, FEATURES_TABLE, LOGS_TABLE
 
 
@@ -29,7 +30,7 @@ def _conform(df: DataFrame, schema) -> DataFrame:
         if f.name in present:
             value = F.col(f.name)
         elif f.name == "event_date":
-            value = F.to_date("timestamp")
+            value = utc_date(F.col("timestamp"))
         elif f.name == "created_at":
             value = F.current_timestamp()
         else:

@@ -6,7 +6,7 @@ into the folder whole: the file source reads a file once and does not follow its
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -14,9 +14,16 @@ from ..functions.text import drop_undecodable, strip_blanks
 from ..operators.parse import parse_access_log
 
 
-def source_of_path(by: str = "file") -> Column:
-    """Name of the log a line came from: its file, or the folder it lies in."""
+def source_of_path(by: str | Mapping[str, str] = "folder") -> Column:
+    """Name of the log a line came from: the folder of its file, the file, or as mapped.
+
+    A mapping goes from a part of the path to the name, the first that fits counting; other
+    files have a null name. By file, every rotated file of a log is a log of its own.
+    """
     path = F.col("_metadata.file_path")
+    if isinstance(by, Mapping):
+        return F.coalesce(*[F.when(path.contains(part), F.lit(name))
+                            for part, name in by.items()], F.lit(None).cast("string"))
     if by == "file":
         return F.element_at(F.split(path, "/"), -1)
     if by == "folder":
@@ -30,28 +37,28 @@ def clean_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
             .filter(F.length(value_col) > 0))
 
 
-def _with_source(raw: DataFrame, source: str | Column, modified_since=None) -> DataFrame:
+def _with_source(raw: DataFrame, source: str | Mapping[str, str] | Column, modified_since=None) -> DataFrame:
     if modified_since is not None:
         raw = raw.filter(F.col("_metadata.file_modification_time")
                          >= F.lit(modified_since).cast("timestamp"))
-    name = source_of_path(source) if isinstance(source, str) else source
+    name = source if isinstance(source, Column) else source_of_path(source)
     return raw.select(name.alias("source"), drop_undecodable(F.col("value")).alias("value"))
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str],
-               source: str | Column = "file") -> DataFrame:
+               source: str | Mapping[str, str] | Column = "folder") -> DataFrame:
     """``(source, value)`` for the lines of one or many files; undecodable bytes dropped."""
     return clean_lines(_with_source(
         spark.read.text(paths if isinstance(paths, str) else list(paths)), source))
 
 
 def read_log_batch(spark: SparkSession, paths: str | Sequence[str],
-                   source: str | Column = "file", **parse_options) -> DataFrame:
+                   source: str | Mapping[str, str] | Column = "folder", **parse_options) -> DataFrame:
     """Read and parse whole files. See ``parse_access_log`` for the options."""
     return parse_access_log(read_lines(spark, paths, source), **parse_options)
 
 
-def read_log_stream(spark: SparkSession, path: str, source: str | Column = "file",
+def read_log_stream(spark: SparkSession, path: str, source: str | Mapping[str, str] | Column = "folder",
                     start_from_latest=None, max_files_per_trigger: int | None = None,
                     **parse_options) -> DataFrame:
     """The same as a stream over the files that arrive in a folder.

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..constants import ALERT_SCAN_LIMIT, SCAN_LIMIT, TRAINING_DAYS, TRAINING_SCAN_LIMIT
+from ..constants import ALERT_SCAN_LIMIT, SCAN_LIMIT, TRAINING_DAYS
 from ..operators.history import top_recent
 
 
+def utc_date(time: Column) -> Column:
+    """Day of an instant in UTC, whatever the time zone of the session."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(time) / 86400).cast("int"))
+
+
 def _instant(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value).cast("timestamp")
 
@@ -24,7 +29,7 @@ def time_range(df: DataFrame, start=None, end=None, time: str = "timestamp") ->
         limit = _instant(bound)
         df = df.filter(getattr(F.col(time), compare)(limit))
         if "event_date" in df.columns:
-            df = df.filter(getattr(F.col("event_date"), compare)(F.to_date(limit)))
+            df = df.filter(getattr(F.col("event_date"), compare)(utc_date(limit)))
     return df
 
 
@@ -48,10 +53,8 @@ def scan_alerts(alerts: DataFrame, start=None, end=None, limit: int = ALERT_SCAN
 
 
 def scan_recent_days(logs: DataFrame, as_of, days_back: int = TRAINING_DAYS,
-                     limit: int | None = TRAINING_SCAN_LIMIT) -> DataFrame:
-    """Training input: the days up to ``as_of``, the newest rows first.
-
-    ``limit=None`` takes all of them, as a distributed fit can.
+                     limit: int | None = None) -> DataFrame:
+    """Training input: all rows of the days up to ``as_of``, or the newest ``limit`` of them.
     """
     end = _instant(as_of)
     rows = time_range(logs, end - F.make_interval(days=F.lit(days_back)), end)

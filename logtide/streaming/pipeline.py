@@ -39,14 +39,15 @@ def read_batches(spark: SparkSession, out: str, table: str) -> DataFrame:
 def _state_before(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
     """Last window of every source as of the batch before this one.
 
-    Every batch writes its state, so the one before is complete when this one starts.
+    Every batch writes its state, so the one before is complete when this one starts; if it
+    is missing, changes would be taken from nothing, so that is an error.
     """
     if batch_id == 0:
         return None
     try:
         return spark.read.parquet(_batch_path(out, "last_windows", batch_id - 1))
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        raise RuntimeError(f"the state of batch {batch_id - 1} is missing in {out}") from error
 
 
 def with_change_rates(windows: DataFrame, before: DataFrame | None) -> DataFrame:

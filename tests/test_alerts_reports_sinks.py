@@ -1,5 +1,5 @@
 import json
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +134,19 @@ def test_scan_recent_days(logs):
     assert rows.count() == logs.filter(
         "timestamp between '2024-01-13 12:00:00' and '2024-01-20 12:00:00'").count()
     assert sources.scan_recent_days(logs, "2024-01-20 12:00:00", limit=7).count() == 7
+
+
+def test_days_do_not_depend_on_the_time_zone(spark, logs, tmp_path):
+    path, zone = str(tmp_path / "logs"), spark.conf.get("spark.sql.session.timeZone")
+    start = datetime(2024, 1, 5, tzinfo=timezone.utc)
+    expected = logs.filter(F.col("timestamp") >= F.lit(start)).count()
+    sinks.write_logs(logs, path)
+    try:
+        for other in ("Asia/Seoul", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            found = sources.scan_logs(spark.read.parquet(path), start, limit=10 ** 6)
+            assert found.count() == expected
+            assert "PartitionFilters: [isnotnull(event_date" in \
+                found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

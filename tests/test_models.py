@@ -28,12 +28,12 @@ def test_tree_samples_are_exact_and_stable(table):
     assert got.select("tree", "rank", "id").exceptAll(again.select("tree", "rank", "id")).count() == 0
 
 
-def test_samples_of_many_rows(spark):
-    rows = spark.range(60_000)
-    got = IF.tree_samples(rows, ["id"], 60_000, 20, 256, 7).cache()
+@pytest.mark.parametrize("n", [10_239, 10_240, 60_000])
+def test_trees_draw_for_themselves_at_every_size(spark, n):
+    got = IF.tree_samples(spark.range(n), ["id"], n, 20, 256, 7).cache()
     assert {r["count"] for r in got.groupBy("tree").count().collect()} == {256}
-    assert got.select("tree").distinct().count() == 20
-    assert got.select("id").distinct().count() == 20 * 256
+    expected = n * (1 - (1 - 256 / n) ** 20)
+    assert got.select("id").distinct().count() == pytest.approx(expected, rel=0.03)
 
 
 def test_planted_outliers_rank_first(table, forest):
@@ -90,12 +90,12 @@ def test_gradient(activation):
         assert gradient[i] == pytest.approx(numeric, abs=1e-6)
 
 
-def test_one_worker_is_sequential_training(spark):
+def test_one_shard_is_sequential_training(spark):
     rng = np.random.default_rng(2)
     data = rng.random((100, 4))
     frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(data)],
                                   "id int, features array<double>")
-    model = AE.ae_fit(frame, ["id"], hidden=(5,), code=2, epochs=3, num_workers=1)
+    model = AE.ae_fit(frame, ["id"], hidden=(5,), code=2, epochs=3)
     low, high = data.min(axis=0), data.max(axis=0)
     x = (data - low) / (high - low + 1e-8)
     weights = AE.initial_weights(model.sizes, 42)
@@ -113,7 +113,9 @@ def test_one_worker_is_sequential_training(spark):
 
 def test_autoencoder_learns_and_flags(table):
     normal = table.filter("id < 1500")
-    model = AE.ae_fit(normal, ["id"], epochs=8, num_workers=4)
+    model = AE.ae_fit(normal, ["id"], epochs=8, shard_rows=400)
+    again = AE.ae_fit(normal.repartition(7), ["id"], epochs=8, shard_rows=400)
+    assert np.array_equal(model.weights, again.weights) and model.threshold == again.threshold
     assert model.losses[-1] < model.losses[0]
     scored = AE.ae_score(table, model)
     share = scored.filter("id < 1500 and is_anomaly").count() / 1500
@@ -168,3 +170,19 @@ def test_summaries(spark):
     assert tuple(M.anomaly_summary(frame.limit(0)).first()) == (0, 0, 0.0, False)
     assert tuple(M.anomaly_recent(frame).first()) == (-0.1, True, 0.2)
     assert tuple(M.anomaly_recent(frame.limit(0)).first()) == (0.0, False, 0.0)
+
+
+@pytest.mark.parametrize("kind", ["isolation_forest", "autoencoder"])
+def test_vectors_of_another_width_are_refused(table, kind):
+    model = M.fit(kind, table, ["id"], **({"epochs": 1} if kind == "autoencoder" else {}))
+    short = table.withColumn("features", F.slice("features", 1, 3))
+    with pytest.raises(Exception, match="takes vectors of 6"):
+        M.score_batch(short, model).collect()
+
+
+def test_a_broken_save_leaves_no_mixture(spark, forest, tmp_path):
+    path = str(tmp_path / "m")
+    M.model_save(spark, forest, path)
+    # the next save got as far as its parameters
+    spark.createDataFrame(forest.nodes.head(1), IF.NODE_SCHEMA).write.parquet(f"{path}/parameters-x")
+    assert M.model_load(spark, path).nodes.equals(forest.nodes)

@@ -154,13 +154,26 @@ def test_stats_summary_and_rejects(spark):
 def test_read_files(spark, tmp_path):
     (tmp_path / "site1.log").write_bytes(GOOD.encode() + b"\n\n   \n" + b"junk\xff\n")
     (tmp_path / "site2.log").write_bytes(GOOD.replace("bob", "b\xff").encode("latin-1") + b" 0.5\n")
-    rows = read_log_batch(spark, [str(tmp_path / f"site{i}.log") for i in (1, 2)]).collect()
+    rows = read_log_batch(spark, [str(tmp_path / f"site{i}.log") for i in (1, 2)],
+                          source="file").collect()
     found = sorted((r.source, r.parse_ok, r.raw_line[:4]) for r in rows)
     assert found == [("site1.log", False, "junk"), ("site1.log", True, "1.2."),
                      ("site2.log", True, "1.2.")]
     assert [r.remote_user for r in rows if r.source == "site2.log"] == ["b"]
 
 
+def test_rotated_files_are_one_log(spark, tmp_path):
+    for site in ("one", "two"):
+        (tmp_path / site).mkdir()
+        for name in ("access.log", "access.log.1"):
+            (tmp_path / site / name).write_text(GOOD + "\n")
+    paths = [str(tmp_path / site) for site in ("one", "two")]
+    by_folder = read_log_batch(spark, paths).groupBy("source").count().collect()
+    assert {tuple(r) for r in by_folder} == {("one", 2), ("two", 2)}
+    mapped = read_log_batch(spark, paths, source={"/one/": "shop"}).groupBy("source").count()
+    assert {tuple(r) for r in mapped.collect()} == {("shop", 2), (None, 2)}
+
+
 def test_clean_lines_and_undecodable(spark):
     frame = spark.createDataFrame([(" a b\t",), ("  ",), ("",), (" c\r",)], "value string")
     assert [r.value for r in clean_lines(frame).collect()] == ["a b", "c"]

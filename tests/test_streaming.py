@@ -132,3 +132,10 @@ def test_rerun_of_a_batch_replaces_it(spark, batch, tmp_path):
 def test_closed_windows_has_no_python(spark, folder):
     plan = closed_windows(stream(spark, folder), 3600, "1 hour")
     assert plan.isStreaming and "Python" not in plan._jdf.queryExecution().analyzed().toString()
+
+
+def test_lost_state_is_an_error(spark, tmp_path):
+    from logtide.streaming.pipeline import _state_before
+    assert _state_before(spark, str(tmp_path), 0) is None
+    with pytest.raises(RuntimeError, match="batch 4"):
+        _state_before(spark, str(tmp_path), 5)

@@ -239,3 +239,15 @@ def test_exact_quantile_narrows(spark, monkeypatch):
     assert exact_quantile(frame, "v", 0.3, direct_rows=10) == pytest.approx(
         float(np.quantile(values, 0.3)))
     assert exact_quantile(frame.limit(0), "v", 0.3) is None
+
+
+@pytest.mark.parametrize("direct", [0, 1_000])
+def test_quantile_with_nan_and_infinities(spark, direct):
+    inf = float("inf")
+    values = [float("nan"), None, -inf, 1.0, 2.0, 3.0, 1e308, -1e308, inf]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    ordered = [-inf, -1e308, 1.0, 2.0, 3.0, 1e308, inf]
+    for rank, expected in enumerate(ordered):
+        assert exact_quantile(frame, "v", rank / 6, direct_rows=direct) == expected
+    assert exact_quantile(frame, "v", 2.5 / 6, direct_rows=direct) == pytest.approx(1.5)
+    assert exact_quantile(frame.filter("isnan(v)"), "v", 0.5, direct_rows=direct) is None
