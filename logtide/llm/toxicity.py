@@ -117,12 +117,18 @@ def _trained(samples: list[bytes], size: int) -> bytes:
 
 
 def _families(texts: list[str]) -> list[set[str]]:
-    """Words of the texts, those of near copies together: they tell no more than one text."""
+    """Words of the texts, those of near copies together: they tell no more than one text.
+
+    Near copies are told by the smallest hash of their triples of words.
+    """
     families: dict[int, set[str]] = {}
     for text in texts:
-        words = {w for t in tokens(text) if len(w := t.strip(_EDGES)) >= _PREFIX}
-        name = min((xxhash.xxh64_intdigest(utf8(w)) for w in words if len(w) > _PREFIX), default=0)
-        families.setdefault(name, set()).update(words)
+        row = tokens(text)
+        triples = zip(row, row[1:], row[2:], strict=False)
+        name = min((xxhash.xxh64_intdigest(utf8(" ".join(t))) for t in triples),
+                   default=xxhash.xxh64_intdigest(utf8(text)))
+        families.setdefault(name, set()).update(
+            w for t in row if len(w := t.strip(_EDGES)) >= _PREFIX)
     return list(families.values())
 
 
