@@ -119,10 +119,18 @@ def ae_fit(df: DataFrame, key_cols: Sequence[str], vector_col: str = "features",
         weights = initial_weights(sizes, seed)
         m, v, steps = np.zeros_like(weights), np.zeros_like(weights), 0
         losses = []
-        with scratch_table(scaled, "autoencoder-shards") as parts:
+
+        def pack(group: pd.DataFrame) -> pd.DataFrame:
+            x = np.stack(group.sort_values(list(key_cols))["x"].to_list()).astype(float)
+            return pd.DataFrame({"shard": [group["shard"].iloc[0]], "x": [x.tobytes()]})
+
+        # One row per shard, so that an epoch neither sorts nor groups.
+        packed = scaled.groupBy("shard").applyInPandas(pack, "shard bigint, x binary")
+        with scratch_table(packed, "autoencoder-shards") as parts:
+            parts = parts.repartition(shards) if shards > 1 else parts
             for _ in range(epochs):
                 result = _epoch(parts, (weights, m, v, steps), sizes, activation, batch_size,
-                                learning_rate, key_cols, shards)
+                                learning_rate, shards)
                 weights, m, v = (np.array(result[name]) for name in ("weights", "m", "v"))
                 steps = result["steps"]
                 losses.append(result["loss"])
@@ -135,14 +143,14 @@ def ae_fit(df: DataFrame, key_cols: Sequence[str], vector_col: str = "features",
     return model
 
 
-def _epoch(parts: DataFrame, state, sizes, activation, batch_size, rate, key_cols, shards):
+def _epoch(parts: DataFrame, state, sizes, activation, batch_size, rate, shards):
     """One row: the averaged result of all shards."""
     shared = parts.sparkSession.sparkContext.broadcast(state)
 
-    def work(group: pd.DataFrame) -> pd.DataFrame:
+    def train(shard: int, packed: bytes) -> pd.DataFrame:
         weights, m, v, steps = shared.value
         weights, m, v = weights.copy(), m.copy(), v.copy()
-        total, x = 0.0, np.stack(group.sort_values(list(key_cols))["x"].to_list())
+        total, x = 0.0, np.frombuffer(packed).reshape(-1, sizes[0])
         for lo in range(0, len(x), batch_size):
             batch = x[lo:lo + batch_size]
             loss, gradient = loss_and_gradient(weights, sizes, activation, batch)
@@ -152,9 +160,14 @@ def _epoch(parts: DataFrame, state, sizes, activation, batch_size, rate, key_col
             weights -= rate * (m / (1 - _BETA1 ** steps)) / (
                 np.sqrt(v / (1 - _BETA2 ** steps)) + _ADAM_EPS)
             total += loss * len(batch)
-        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "rows": [len(x)],
-                             "steps": [steps], "loss": [total / len(x)], "weights": [weights],
-                             "m": [m], "v": [v]})
+        return pd.DataFrame({"shard": [shard], "rows": [len(x)], "steps": [steps],
+                             "loss": [total / len(x)], "weights": [weights], "m": [m],
+                             "v": [v]})
+
+    def work(frames):
+        for frame in frames:
+            for shard, packed in zip(frame["shard"], frame["x"]):
+                yield train(shard, packed)
 
     def average(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("shard")
@@ -165,7 +178,7 @@ def _epoch(parts: DataFrame, state, sizes, activation, batch_size, rate, key_col
                              "steps": [group["steps"].max()],
                              "loss": [float(share @ group["loss"].to_numpy())], **mean})
 
-    results = parts.groupBy("shard").applyInPandas(work, _WORKER_SCHEMA)
+    results = parts.mapInPandas(work, _WORKER_SCHEMA)
     while shards > 1:
         # Averages of averages, so that no task and not the driver holds all weights.
         results = (results.withColumn("shard", F.expr(f"shard div {_AVERAGED}"))
@@ -195,9 +208,8 @@ def ae_errors(df: DataFrame, model: AutoencoderModel, vector_col: str = "feature
         return pd.Series(np.mean((x - reconstruct(shared.value, sizes, activation, x)[-1]) ** 2,
                                  axis=1))
 
-    return df.withColumn("anomaly_score",
-                         error(ae_scale(
-        of_width(F.col(vector_col), len(model.low)), model.low, model.high)))
+    vector = of_width(F.col(vector_col), len(model.low))
+    return df.withColumn("anomaly_score", error(ae_scale(vector, model.low, model.high)))
 
 
 def ae_score(df: DataFrame, model: AutoencoderModel, vector_col: str = "features") -> DataFrame:
