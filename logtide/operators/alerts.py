@@ -41,10 +41,11 @@ def alerts_every_window(windows: DataFrame, error_rate: float = ERROR_RATE_THRES
         column, rule = fires[kind]
         if column not in present:
             continue
-        # Sums of doubles differ in their last bits with the order of the rows; cut those
-        # off, so that thresholds and messages do not depend on the partitioning.
-        value = F.round(F.col(column).cast("double"), VALUE_DIGITS)
-        made.append(F.when(rule(value), F.struct(
+        exact = F.col(column).cast("double")
+        # Sums of doubles differ in their last bits with the order of the rows; what is shown
+        # is cut to fewer digits, but the rule sees the value as it is.
+        value = F.round(exact, VALUE_DIGITS)
+        made.append(F.when(rule(exact), F.struct(
             F.lit(kind).alias("alert_type"), _message(kind, value).alias("message"),
             F.lit(ALERT_SEVERITY[kind]).alias("severity"),
             value.alias("value"))))

@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import PATTERN_MINUTES, PATTERN_NEIGHBOURS, PATTERN_SIMILARITY
 from ..functions.vectors import feature_vector, flatten_pattern
-from ..session import BROADCAST_BYTES, scratch_table
-from .pivot_join import pivot_top_k
-from .ranking import top_k, unit_rows
+from ..session import BROADCAST_BYTES, delete_path, materialize, scratch_table
+from .ranking import DIGITS, top_k, unit_rows
 
 PATTERN_COLUMNS = ("pattern_id", "source", "failure_time", "minutes_before", "pattern")
 
@@ -95,20 +94,45 @@ def rolling_pattern(features: DataFrame, seconds: int = PATTERN_MINUTES * 60,
             .drop("_at", "_own", "_stretch", "_w", "_vec"))
 
 
-def _with_top_k(queries: DataFrame, rows: pd.DataFrame, id_type: str, query_vector: str,
-                k: int, exclude: str | None) -> DataFrame:
-    """Add ``_near`` (ids and similarities, best first) from patterns held by every task."""
+def _with_top_k(queries: DataFrame, patterns: DataFrame, id_type: str, query_vector: str,
+                k: int, exclude: str | None, slice_bytes: int) -> DataFrame:
+    """Add ``_near`` (ids and similarities, best first) to every row of ``queries``.
+
+    ``patterns`` is a stored table. It is cut by the hash of the id into slices of about
+    ``slice_bytes``; every task holds one slice at a time and keeps the best ``k`` so far of
+    each query, so that queries are neither copied nor shuffled, and need no key. With more
+    than one slice the queries and what they found are stored after each.
+    """
+    slices = max(1, -(-pattern_bytes(patterns) // max(1, slice_bytes)))
+    state = queries.withColumn("_near", F.lit(None).cast(
+        f"struct<ids: array<{id_type}>, sims: array<double>>"))
+    left_over = None
+    for i in range(slices):
+        part = patterns.filter(F.pmod(F.xxhash64("pattern_id"), F.lit(slices)) == i)
+        state = _with_slice(state, part.toPandas(), id_type, query_vector, k, exclude)
+        if i + 1 < slices:
+            state, path = materialize(state, "nearest")
+            if left_over:
+                delete_path(queries.sparkSession, left_over)
+            left_over = path
+    return state
+
+
+def _with_slice(state: DataFrame, rows: pd.DataFrame, id_type: str, query_vector: str, k: int,
+                exclude: str | None) -> DataFrame:
+    """``state`` with ``_near`` brought up to date by some of the patterns."""
     rows = rows.sort_values("pattern_id", ignore_index=True)
     lengths = rows["pattern"].map(len)
     tables = {int(n): (part["pattern_id"].to_numpy(),
                        unit_rows(np.stack(part["pattern"].to_list()).astype(float)))
               for n, part in rows.groupby(lengths) if n > 0}
-    shared = queries.sparkSession.sparkContext.broadcast(tables)
+    shared = state.sparkSession.sparkContext.broadcast(tables)
 
     @F.pandas_udf(f"ids array<{id_type}>, sims array<double>")
-    def nearest(vectors: pd.Series, own: pd.Series) -> pd.DataFrame:
-        ids = [[] for _ in range(len(vectors))]
-        sims = [[] for _ in range(len(vectors))]
+    def nearest(vectors: pd.Series, own: pd.Series, ids: pd.Series, sims: pd.Series
+                ) -> pd.DataFrame:
+        ids = [[] if v is None else list(v) for v in ids]
+        sims = [[] if v is None else list(v) for v in sims]
         sizes = vectors.map(lambda v: 0 if v is None else len(v)).to_numpy()
         for size in np.unique(sizes):
             if int(size) not in shared.value:
@@ -118,11 +142,16 @@ def _with_top_k(queries: DataFrame, rows: pd.DataFrame, id_type: str, query_vect
             q = unit_rows(np.stack(vectors.iloc[at].to_list()).astype(float))
             skip = own.iloc[at].to_numpy() if exclude else None
             for row, found, values, _ in top_k(q, table, names, k, skip):
-                ids[at[row]], sims[at[row]] = names[found].tolist(), values.tolist()
+                ids[at[row]] += names[found].tolist()
+                sims[at[row]] += values.tolist()
+        for i, (names, values) in enumerate(zip(ids, sims)):
+            best = sorted(zip(-np.round(values, DIGITS) + 0.0, names, values))[:k]
+            ids[i], sims[i] = [b[1] for b in best], [b[2] for b in best]
         return pd.DataFrame({"ids": ids, "sims": sims})
 
     own = F.col(exclude) if exclude else F.lit(None).cast(id_type)
-    return queries.withColumn("_near", nearest(F.col(query_vector), own))
+    return state.withColumn("_near", nearest(F.col(query_vector), own, F.col("_near.ids"),
+                                             F.col("_near.sims")))
 
 
 def pattern_bytes(patterns: DataFrame, vector_col: str = "pattern") -> int:
@@ -134,13 +163,13 @@ def pattern_bytes(patterns: DataFrame, vector_col: str = "pattern") -> int:
 def knn_topk(queries: DataFrame, patterns: DataFrame, k: int = PATTERN_NEIGHBOURS,
              query_id: str = "query_id", query_vector: str = "vector",
              pattern_id: str = "pattern_id", pattern_vector: str = "pattern",
-             exclude_self: bool = False, broadcast_bytes: int = BROADCAST_BYTES,
+             exclude_self: bool = False, slice_bytes: int = BROADCAST_BYTES,
              stored: bool = False) -> DataFrame:
     """The ``k`` most similar patterns of equal length for every query, exactly.
 
     Returns ``query_id, pattern_id, similarity, rank``; equal similarities (to nine
-    decimals) go to the smaller pattern id. Patterns measured to be small are held by every
-    task; beyond that both sides are joined by nearest pivots with exact bounds. ``stored``
+    decimals) go to the smaller pattern id. Every row of ``queries`` is answered for itself,
+    also if its id is repeated. Tasks hold ``slice_bytes`` of patterns at a time. ``stored``
     says that the patterns are read from a table, and need not be written to one first.
     """
     table = patterns.select(F.col(pattern_id).alias("pattern_id"),
@@ -150,10 +179,8 @@ def knn_topk(queries: DataFrame, patterns: DataFrame, k: int = PATTERN_NEIGHBOUR
     id_type = table.schema["pattern_id"].dataType.simpleString()
     # Measured and then read: written once, so that neither recomputes where they come from.
     with scratch_table(table, "patterns", stored) as held:
-        if pattern_bytes(held) > broadcast_bytes:
-            return pivot_top_k(asked, held, k, id_type, exclude_self)
-        near = _with_top_k(asked, held.toPandas(), id_type, "vector", k,
-                           "query_id" if exclude_self else None)
+        near = _with_top_k(asked, held, id_type, "vector", k,
+                           "query_id" if exclude_self else None, slice_bytes)
     return near.select("query_id", F.posexplode(F.arrays_zip("_near.ids", "_near.sims"))
                        ).select("query_id", F.col("col.ids").alias("pattern_id"),
                                 F.col("col.sims").alias("similarity"),
@@ -162,36 +189,20 @@ def knn_topk(queries: DataFrame, patterns: DataFrame, k: int = PATTERN_NEIGHBOUR
 
 def failure_similarity(queries: DataFrame, patterns: DataFrame,
                        threshold: float = PATTERN_SIMILARITY, query_vector: str = "pattern",
-                       query_id: str | list[str] = "query_id",
-                       broadcast_bytes: int = BROADCAST_BYTES, stored: bool = False
-                       ) -> DataFrame:
+                       slice_bytes: int = BROADCAST_BYTES, stored: bool = False) -> DataFrame:
     """Add ``similarity`` to the nearest failure pattern, ``pattern_id`` and ``is_risk``.
 
-    A query without a pattern of its length has similarity 0 and no risk. ``query_id``
-    names the columns that identify a query, needed where patterns are too many to hold.
+    A query without a pattern of its length has similarity 0 and no risk. Queries
+    need no key; tasks hold ``slice_bytes`` of patterns at a time.
     """
     table = patterns.select("pattern_id",
                             F.col("pattern").cast("array<double>").alias("pattern"))
     id_type = table.schema["pattern_id"].dataType.simpleString()
     with scratch_table(table, "patterns", stored) as held:
-        if pattern_bytes(held) > broadcast_bytes:
-            found = _nearest_by_pivots(queries, held, query_id, query_vector, id_type)
-        else:
-            found = _with_top_k(queries, held.toPandas(), id_type, query_vector, 1, None)
-            found = (found.withColumn("pattern_id", F.get("_near.ids", F.lit(0)))
-                     .withColumn("similarity", F.get("_near.sims", F.lit(0))).drop("_near"))
+        found = _with_top_k(queries, held, id_type, query_vector, 1, None, slice_bytes)
+    found = (found.withColumn("pattern_id", F.get("_near.ids", F.lit(0)))
+             .withColumn("similarity", F.get("_near.sims", F.lit(0))).drop("_near"))
     similarity = F.coalesce("similarity", F.lit(0.0))
     return (found.withColumn("similarity", similarity)
             .withColumn("is_risk", F.col("pattern_id").isNotNull()
                         & (F.col("similarity") >= threshold)))
-
-
-def _nearest_by_pivots(queries: DataFrame, patterns: DataFrame, query_id, query_vector: str,
-                       id_type: str) -> DataFrame:
-    keys = [query_id] if isinstance(query_id, str) else list(query_id)
-    key = F.to_json(F.struct(*keys))
-    asked = queries.select(key.alias("query_id"),
-                           F.col(query_vector).cast("array<double>").alias("vector"))
-    best = pivot_top_k(asked, patterns, 1, id_type, False).select(
-        F.col("query_id").alias("_key"), "pattern_id", "similarity")
-    return queries.withColumn("_key", key).join(best, "_key", "left").drop("_key")

@@ -29,7 +29,7 @@ ORACLE: dict[str, str] = {}
 START, END, AS_OF = "2024-01-05 00:00:00", "2024-01-20 12:00:00", "2024-01-20 12:00:00"
 LOOK_BACK = 240
 KEYS = ("source", "window_id")
-ALERT_LIMITS = {"response_time": 60.0}
+ALERT_LIMITS = {"response_time": 50.0}
 PARSED = ", ".join(n for n in PARSED_LOG.names if n != "response_time") + ", response_time"
 
 
@@ -793,7 +793,7 @@ def _(spark, sf):
     """Last four hours before every window against the four hours before each failure."""
     features = stored_features(spark, sf)
     found = K.failure_similarity(K.rolling_pattern(features, LOOK_BACK * 60),
-                                 _patterns(spark, sf, features=features), query_id=list(KEYS))
+                                 _patterns(spark, sf, features=features))
     return found.select(*KEYS, "similarity", "is_risk")
 
 
@@ -804,7 +804,7 @@ def _(spark, sf):
     """Every single window against the hour before each failure."""
     features = stored_features(spark, sf)
     found = K.failure_similarity(K.with_vector(features), _patterns(spark, sf, 60, features),
-                                 query_vector="features", query_id=list(KEYS))
+                                 query_vector="features")
     return found.select(*KEYS, "similarity", "is_risk")
 
 
@@ -828,8 +828,8 @@ def _(spark, sf):
 
 @query("knn_topk_pivots", KNN)
 def _(spark, sf):
-    """The same by the join for patterns too many to hold in memory."""
-    return _knn(spark, sf, broadcast_bytes=0)
+    """The same where patterns are too many to hold: in several slices."""
+    return _knn(spark, sf, slice_bytes=100_000)
 
 
 # --- alerts -----------------------------------------------------------------------

@@ -115,18 +115,18 @@ BLOCKS: dict[str, str] = {
         error_rate_5xx > 20 AS is_anomaly
       FROM features""",
     "rounded_scores": """
-      SELECT * REPLACE (round(error_rate_5xx, 9) AS error_rate_5xx,
-                        round(avg_response_time, 9) AS avg_response_time) FROM scored""",
+      SELECT *, round(error_rate_5xx, 9) AS shown_rate,
+             round(avg_response_time, 9) AS shown_time FROM scored""",
     "alerts": """
       SELECT source, timestamp, 'error_rate' AS alert_type, 'high' AS severity,
-        '5xx 에러 비율이 ' || printf('%.2f', error_rate_5xx) || '%로 임계값을 초과했습니다.'
-          AS message, window_id, error_rate_5xx AS value
+        '5xx 에러 비율이 ' || printf('%.2f', shown_rate) || '%로 임계값을 초과했습니다.'
+          AS message, window_id, shown_rate AS value
       FROM rounded_scores WHERE error_rate_5xx > 5.0
       UNION ALL
       SELECT source, timestamp, 'response_time', 'medium',
-        '평균 응답 시간이 ' || printf('%.2f', avg_response_time) || 'ms로 임계값을 초과했습니다.',
-        window_id, avg_response_time
-      FROM rounded_scores WHERE avg_response_time > 60
+        '평균 응답 시간이 ' || printf('%.2f', shown_time) || 'ms로 임계값을 초과했습니다.',
+        window_id, shown_time
+      FROM rounded_scores WHERE avg_response_time > 50
       UNION ALL
       SELECT source, timestamp, 'anomaly', 'high',
         '이상 패턴이 감지되었습니다. (점수: ' || printf('%.4f', anomaly_score) || ')',

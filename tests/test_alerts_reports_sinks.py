@@ -150,3 +150,8 @@ def test_days_do_not_depend_on_the_time_zone(spark, logs, tmp_path):
                 found._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_rules_see_values_unrounded(spark):
+    frame = spark.createDataFrame([(5.0000000003,), (5.0,)], "error_rate_5xx double")
+    assert [r.value for r in A.alerts_every_window(frame).collect()] == [5.0]

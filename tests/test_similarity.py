@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from logtide.operators import similarity as K
-from logtide.operators.pivot_join import pivot_top_k
 
 T0 = datetime(2024, 1, 1)
 
@@ -42,14 +41,14 @@ def data(n, seed, clusters=5, width=8):
 
 @pytest.mark.parametrize("skip", [False, True])
 @pytest.mark.parametrize("k", [1, 5])
-def test_both_joins_match_brute_force(spark, k, skip):
+def test_any_slices_match_brute_force(spark, k, skip):
     queries, patterns = data(150, 1), data(200, 2)
     q = spark.createDataFrame(queries, "query_id bigint, vector array<double>")
     p = spark.createDataFrame(patterns, "pattern_id bigint, pattern array<double>")
     expected = brute_top_k(queries, patterns, k, skip)
-    held = K.knn_topk(q, p, k, exclude_self=skip)
-    joined = pivot_top_k(q, p, k, "bigint", skip, pivots=9, block_rows=25, chunk_rows=20)
-    for result in (held, joined):
+    whole = K.knn_topk(q, p, k, exclude_self=skip)
+    sliced = K.knn_topk(q, p, k, exclude_self=skip, slice_bytes=5_000)
+    for result in (whole, sliced):
         got = {}
         for r in result.orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append(r.pattern_id)
@@ -61,14 +60,23 @@ def test_failure_similarity_paths_agree(spark):
     q = spark.createDataFrame(queries + [(999, [1.0])], "query_id bigint, pattern array<double>")
     p = spark.createDataFrame(patterns, "pattern_id bigint, pattern array<double>")
     results = [{r.query_id: (r.pattern_id, round(r.similarity, 9), r.is_risk) for r in
-                K.failure_similarity(q, p, broadcast_bytes=b).collect()}
-               for b in (1 << 20, 0)]
+                K.failure_similarity(q, p, slice_bytes=b).collect()}
+               for b in (1 << 20, 3_000)]
     assert results[0] == results[1] and len(results[0]) == 61
     assert results[0][999] == (None, 0.0, False)
     empty = K.failure_similarity(q, p.limit(0)).collect()
     assert len(empty) == 61 and not any(r.is_risk or r.similarity for r in empty)
 
 
+@pytest.mark.parametrize("size", [1 << 20, 300])
+def test_repeated_queries_are_each_answered(spark, size):
+    q = spark.createDataFrame([(1, [1.0, 0.0])] * 2, "query_id bigint, vector array<double>")
+    p = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)],
+                              "pattern_id bigint, pattern array<double>")
+    got = K.knn_topk(q, p, 2, slice_bytes=size).collect()
+    assert sorted((r.pattern_id, r["rank"]) for r in got) == [(0, 1), (0, 1), (1, 2), (1, 2)]
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "source string, timestamp timestamp, vec array<double>")
 
