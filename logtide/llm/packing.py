@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right, insort
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,21 @@ from logtide.llm.common import arrow_pass, stored
 CAPACITY = 2048
 END = 0
 
-_REMEMBERED = 300_000
+_WORD_END = "</w>"
+# Punctuation that stands in a word of its own behind letters; an apostrophe may begin one.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# Words whose ids a task remembers, and the longest of them in characters.
+_REMEMBERED = 500_000
 _LONGEST = 64
-_TEXTS = 128  # texts encoded together
+_TEXTS = 256  # texts encoded together
 
 
 class Encoder:
-    """Encodes texts within a task by a tokenizer that drops white space; words once each."""
+    """Encodes texts within a task by a tokenizer that drops white space; words once each.
+
+    The tokenizer must cut its input into words at white space and between letters and
+    punctuation, write letters in lower case, and mark the last token of every word.
+    """
 
     def __init__(self, definition: str):
         import os
@@ -38,25 +47,66 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
         self.known: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
+    def _tokenized(self, texts: list[str]) -> list[np.ndarray]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        found = encode(words, add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found, strict=True)}
+        return [np.array(e.ids, "<u4") for e in encode(texts, add_special_tokens=False)]
+
+    def _learn_plain(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of one kind of character each, all in one run of the tokenizer."""
+        if not words:
+            return {}
+        ids = self._tokenized([" ".join(words)])[0]
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) != len(words) or last[-1] != len(ids):
+            found = [x.tobytes() for x in self._tokenized(words)]
+        else:
+            raw, cuts = ids.tobytes(), [0, *(4 * last).tolist()]
+            found = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return dict(zip(words, found, strict=True))
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of the parts of a text between spaces.
+
+        Letters of Latin alphabets with marks behind them are two words, or one; anything
+        else goes to the tokenizer as it is.
+        """
+        split, other = [], []
+        for w in words:
+            letters = w.rstrip(_MARKS)
+            if not letters or letters.isalpha() and (
+                    letters.isascii() or max(letters) <= "\u024f" and "\u0130" not in letters):
+                split.append((w, letters.lower(), w[len(letters):]))
+            else:
+                other.append(w)
+        needed = {a for _, a, _ in split} | {b for _, _, b in split}
+        if len(self.plain) + len(needed) > _REMEMBERED:
+            self.plain = {}
+        plain = self.plain
+        plain |= self._learn_plain(sorted(needed.difference(plain, [""])))
+        plain[""] = b""
+        out = {w: plain[a] + plain[b] for w, a, b in split}
+        return out | {w: ids.tobytes() for w, ids in zip(other, self._tokenized(other), strict=True)}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = sorted({w for p in parts for w in p} - self.known.keys())
-        learnt = self._learn(new) if new else {}
-        short = {w: v for w, v in learnt.items() if len(w) <= _LONGEST}
-        if len(self.known) + len(short) > _REMEMBERED:
-            learnt |= {w: self.known[w] for p in parts for w in p if w in self.known}
+        held = set(chain.from_iterable(parts))
+        if len(self.known) + len(held) > _REMEMBERED:
             self.known = {}
-        self.known |= short
         known = self.known
-        return [b"".join([known[w] if w in known else learnt[w] for w in p]) for p in parts]
+        new = sorted(held.difference(known))
+        known |= self._learn(new)
+        out = [b"".join(map(known.__getitem__, p)) for p in parts]
+        for w in new:
+            if len(w) > _LONGEST:
+                del known[w]
+        return out
 
 
 def pieces(docs: DataFrame, definition: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
