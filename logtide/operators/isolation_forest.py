@@ -20,7 +20,7 @@ from ..functions.vectors import of_width
 from .quantiles import exact_quantile
 
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
-               "path_length double")
+               "path_length double, size int")
 _HASH_RANGE = 1 << 40
 # Rows drawn per tree before the exact cut to ``max_samples``.
 _OVERSAMPLE = 2
@@ -64,7 +64,10 @@ def tree_samples(df: DataFrame, key_cols: Sequence[str], n: int, n_trees: int,
 
 
 def grow_tree(rows: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple]:
-    """Nodes ``(node, feature, threshold, left, right, path_length)``; leaves have feature -1."""
+    """Nodes ``(node, feature, threshold, left, right, path_length, size)``.
+
+    Leaves have feature -1 and the number of their rows as size; it is 0 for the others.
+    """
     nodes, pending = [], [(0, np.arange(len(rows)), 0)]
     next_node = 1
     while pending:
@@ -73,14 +76,15 @@ def grow_tree(rows: np.ndarray, rng: np.random.Generator, max_depth: int) -> lis
         low, high = part.min(axis=0), part.max(axis=0)
         splittable = np.flatnonzero(high > low)
         if depth >= max_depth or len(members) <= 1 or not len(splittable):
-            nodes.append((node, -1, 0.0, node, node, depth + float(average_path(len(members)))))
+            nodes.append((node, -1, 0.0, node, node, depth + float(average_path(len(members))),
+                          len(members)))
             continue
         feature = int(rng.choice(splittable))
         threshold = float(rng.uniform(low[feature], high[feature]))
         goes_left = part[:, feature] <= threshold
         left, right = next_node, next_node + 1
         next_node += 2
-        nodes.append((node, feature, threshold, left, right, 0.0))
+        nodes.append((node, feature, threshold, left, right, 0.0, 0))
         pending.append((left, members[goes_left], depth + 1))
         pending.append((right, members[~goes_left], depth + 1))
     return nodes
@@ -108,7 +112,7 @@ def iforest_fit(df: DataFrame, key_cols: Sequence[str], vector_col: str = "featu
             nodes = grow_tree(np.stack(ordered.to_list()).astype(float),
                               np.random.default_rng([seed, tree]), max_depth)
             out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left",
-                                               "right", "path_length"])
+                                               "right", "path_length", "size"])
             out.insert(0, "tree", tree)
             return out
 

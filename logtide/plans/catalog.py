@@ -5,6 +5,8 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import sinks, sources
@@ -594,17 +596,60 @@ def _(spark, sf):
 
 # --- models -----------------------------------------------------------------------
 
-@query("iforest_fit")
+def small_forest():
+    """Three trees of one split each, which SQL can apply to the same windows."""
+    splits = ((2, 20.5, 6.0, 2.0), (9, 3.5, 5.0, 3.0), (13, 0.4321, 7.0, 2.5))
+    nodes = []
+    for tree, (feature, threshold, below, above) in enumerate(splits):
+        nodes += [(tree, 0, feature, threshold, 1, 2, 0.0, 0), (tree, 1, -1, 0.0, 1, 1, below, 1),
+                  (tree, 2, -1, 0.0, 2, 2, above, 1)]
+    names = [part.split()[0] for part in IF.NODE_SCHEMA.split(", ")]
+    return IF.IsolationForestModel(pd.DataFrame(nodes, columns=names), 256, -0.5,
+                                   width=len(FEATURE_COLUMNS))
+
+
+def small_forest_sql(table: str) -> str:
+    return ("(SELECT *, anomaly_score < 0 AS is_anomaly FROM (SELECT *, 0.5 - power(2, "
+            "-(CASE WHEN error_rate_5xx <= 20.5 THEN 6.0 ELSE 2.0 END "
+            "+ CASE WHEN unique_ips <= 3.5 THEN 5.0 ELSE 3.0 END "
+            "+ CASE WHEN top_path_ratio <= 0.4321 THEN 7.0 ELSE 2.5 END) / 3 "
+            "/ (2 * (ln(255) + 0.5772156649015329) - 2 * 255 / 256.0)) AS anomaly_score "
+            f"FROM {table}))")
+
+
+def small_autoencoder():
+    """One hidden unit that sums all inputs, and equal outputs."""
+    n = len(FEATURE_COLUMNS)
+    weights = np.array([0.05] * n + [0.1] + [0.3] * n + [-1.0] * n)
+    return AE.AutoencoderModel([n, 1, n], "relu", weights, [0.0] * n, [100.0] * n, 0.5)
+
+
+SMALL_AUTOENCODER = (
+    "(SELECT *, anomaly_score > 0.5 AS is_anomaly FROM (SELECT *, "
+    "list_avg([(v - y) * (v - y) for v in x]) AS anomaly_score FROM (SELECT *, "
+    "1 / (1 + exp(1 - 0.3 * greatest(0.05 * list_sum(x) + 0.1, 0))) AS y FROM "
+    "(SELECT *, [v / (100 + 1e-8) for v in features] AS x FROM vectors))))")
+SCORES = ("SELECT source, window_id, timestamp, round(anomaly_score, 6) AS anomaly_score, "
+          "is_anomaly FROM ")
+#: The rows of every tree's sample, as its leaves count them.
+TREE_ROWS = ("SELECT CAST(tree AS INTEGER) AS tree, least(256, n) AS sample_rows FROM "
+             "range(100) t(tree), (SELECT count(*) AS n FROM features)")
+
+
+def tree_rows(nodes):
+    return nodes.groupBy("tree").agg(F.sum("size").alias("sample_rows"))
+
+
+@query("iforest_fit", TREE_ROWS)
 def _(spark, sf):
-    """The node table of a forest over all windows."""
+    """Rows in the leaves of each tree of a forest over all windows."""
     model = IF.iforest_fit(vectors(spark, sf), KEYS)
-    return spark.createDataFrame(model.nodes, IF.NODE_SCHEMA)
+    return tree_rows(spark.createDataFrame(model.nodes, IF.NODE_SCHEMA))
 
 
-@query("iforest_score")
+@query("iforest_score", SCORES + small_forest_sql("features"))
 def _(spark, sf):
-    rows = vectors(spark, sf)
-    return IF.iforest_score(rows, IF.iforest_fit(rows, KEYS)).drop("features")
+    return IF.iforest_score(vectors(spark, sf), small_forest()).drop("features")
 
 
 @query("iforest_threshold",
@@ -623,17 +668,21 @@ def _(spark, sf):
     return spark.createDataFrame([(value,)], "price_quantile double")
 
 
-@query("ae_fit")
+@query("ae_fit",
+       "SELECT position, round(min(v), 6) AS low, round(max(v), 6) AS high, true AS improved FROM "
+       "(SELECT CAST(generate_subscripts(features, 1) - 1 AS INTEGER) AS position, "
+       "unnest(features) AS v FROM vectors) GROUP BY position")
 def _(spark, sf):
-    """Training loss per epoch."""
+    """Bounds of every input that a training over 20 epochs found, and whether its loss fell."""
     model = AE.ae_fit(vectors(spark, sf), KEYS, epochs=20)
-    return spark.createDataFrame(list(enumerate(model.losses, 1)), "epoch int, loss double")
+    improved = len(model.losses) == 20 and model.losses[-1] < model.losses[0]
+    rows = [(i, low, high, improved) for i, (low, high) in enumerate(zip(model.low, model.high))]
+    return spark.createDataFrame(rows, "position int, low double, high double, improved boolean")
 
 
-@query("ae_score")
+@query("ae_score", SCORES + SMALL_AUTOENCODER)
 def _(spark, sf):
-    rows = vectors(spark, sf)
-    return AE.ae_score(rows, AE.ae_fit(rows, KEYS)).drop("features")
+    return AE.ae_score(vectors(spark, sf), small_autoencoder()).drop("features")
 
 
 @query("ae_threshold",
@@ -643,12 +692,18 @@ def _(spark, sf):
     return spark.createDataFrame([(value,)], "threshold double")
 
 
-@query("score_batch")
+BOTH_SCORES = " UNION ALL ".join(
+    "SELECT source, window_id, timestamp, round(anomaly_score, 6) AS anomaly_score, is_anomaly, "
+    f"'{kind}' AS model_type FROM {table}" for kind, table in
+    (("isolation_forest", small_forest_sql("features")), ("autoencoder", SMALL_AUTOENCODER)))
+
+
+@query("score_batch", BOTH_SCORES)
 def _(spark, sf):
-    """Scores of all windows by a forest trained on them."""
-    rows = K.with_vector(stored_features(spark, sf)).select(*KEYS, "features")
-    return M.score_batch(rows, M.fit("isolation_forest", rows, KEYS, stored=True)).drop(
-        "features")
+    """Scores of all windows by a model of either kind."""
+    rows = vectors(spark, sf)
+    return (M.score_batch(rows, small_forest())
+            .unionByName(M.score_batch(rows, small_autoencoder())).drop("features"))
 
 
 def _saved_forest(spark, sf):
@@ -658,17 +713,21 @@ def _saved_forest(spark, sf):
     return rows, path
 
 
-@query("model_save")
+@query("model_save", TREE_ROWS)
 def _(spark, sf):
-    """The stored node table of a forest."""
-    return M.saved_parameters(spark, _saved_forest(spark, sf)[1])
+    """Rows in the leaves of each tree of the stored node table of a trained forest."""
+    return tree_rows(M.saved_parameters(spark, _saved_forest(spark, sf)[1]))
 
 
-@query("model_load")
+@query("model_load", BOTH_SCORES)
 def _(spark, sf):
-    """Scores by a forest that was saved and loaded again."""
-    rows, path = _saved_forest(spark, sf)
-    return M.score_batch(rows, M.model_load(spark, path)).drop("features")
+    """Scores by models of either kind that were saved and loaded again."""
+    rows, scores = vectors(spark, sf), []
+    for model in (small_forest(), small_autoencoder()):
+        path = scratch_path(spark, "model")
+        M.model_save(spark, model, path)
+        scores.append(M.score_batch(rows, M.model_load(spark, path)).drop("features"))
+    return scores[0].unionByName(scores[1])
 
 
 @query("retrain")
@@ -1069,11 +1128,12 @@ def _(spark, sf):
     return _doubles(read_batches(spark, out, "features").drop("batch_id"))
 
 
-@query("stream_detect")
+@query("stream_detect",
+       SCORES.removesuffix(" FROM ") + ", 'isolation_forest' AS model_type FROM "
+       + small_forest_sql("closed"), **EPOCH_BLOCKS)
 def _(spark, sf):
-    """Every closed window scored by a forest trained on the batch windows."""
-    model = T.train(L.logs(spark, sf), window_seconds=L.HOUR)
-    out, _ = _run_pipeline(spark, _log_stream(spark, sf), model=model)
+    """Every closed window scored by a forest."""
+    out, _ = _run_pipeline(spark, _log_stream(spark, sf), model=small_forest())
     return read_batches(spark, out, "anomaly_results").drop("batch_id")
 
 
