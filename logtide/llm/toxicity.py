@@ -105,7 +105,8 @@ class Scorer:
         found = sum(g >= self.model.threshold for g in gains)
         if found >= self.model.needed:
             return 1.0 - 0.5 ** (found - self.model.needed + 1)
-        return 0.4 * (found + 0.5 * max(gains, default=0) / self.model.threshold) / self.model.needed
+        nearest = min(1.0, max(gains, default=0) / self.model.threshold)
+        return 0.4 * (found + 0.5 * nearest) / self.model.needed
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
