@@ -730,12 +730,19 @@ def _(spark, sf):
     return scores[0].unionByName(scores[1])
 
 
-@query("retrain")
-def _(spark, sf):
+@query("retrain",
+       "SELECT count(*) > 0 AS trained, 'isolation_forest' AS kind, least(256, count(*)) AS "
+       "sample_size FROM (SELECT DISTINCT source, (epoch_us(timestamp) - t0) // 60000000 FROM "
+       "(SELECT source, timestamp, min(epoch_us(timestamp)) OVER (PARTITION BY source) AS t0 "
+       "FROM logs WHERE timestamp >= TIMESTAMP '2024-02-01' - INTERVAL 31 DAY "
+       "AND timestamp <= TIMESTAMP '2024-02-01'))")
+def _(spark, sf):
+    """Whether a model was trained, its kind, and how many windows a tree of it saw."""
     path = scratch_path(spark, "model")
     done = T.retrain(L.logs(spark, sf), "2024-02-01 00:00:00", path, days_back=31)
-    kind = M.model_load(spark, path).kind if done else None
-    return spark.createDataFrame([(done, kind)], "trained boolean, kind string")
+    model = M.model_load(spark, path) if done else None
+    row = (done, model.kind, model.sample_size) if model else (done, None, None)
+    return spark.createDataFrame([row], "trained boolean, kind string, sample_size bigint")
 
 
 @query("anomaly_summary",
