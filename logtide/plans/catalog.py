@@ -372,6 +372,22 @@ def _(spark, sf):
                                          on_bad_time="reject"))
 
 
+@query("parse_custom_pattern",
+       "SELECT log_id, source, ip, method, url_path, status_code, body_bytes_sent, user_agent "
+       "FROM parsed WHERE ok")
+def _(spark, sf):
+    """Lines without the identity and without quotes around the request, by a pattern of one's own."""
+    combined = (r'^(\S+) \S+ (\S+) (\[[^\]]+\]) "(\S+) (\S+) (\S+)" (\d+) (\d+) '
+                r'("[^"]*" "[^"]*").*$')
+    own = (r'(\S++) (\S++) \[([^\]]++)\] (\S++) (\S++) (\S++) (\d++) (\d++) '
+           r'"([^"]*+)" "([^"]*+)"')
+    lines = L.lines(spark, sf).withColumn("value", F.regexp_replace(
+        "value", combined, "$1 $2 $3 $4 $5 $6 $7 $8 $9"))
+    return P.parsed_only(P.parse_access_log(lines, pattern=own, on_bad_time="reject")).select(
+        "log_id", "source", "ip", "method", "url_path", "status_code", "body_bytes_sent",
+        "user_agent")
+
+
 # Common lines: cut before the referer, every second one with a response time behind.
 COMMON_LINES = ("SELECT log_id, source, split_part(value, ' \"-\" ', 1) || CASE WHEN log_id % 2 = 0 "
                 "THEN ' ' || list_last(string_split(value, ' ')) ELSE '' END AS value FROM lines")
@@ -1135,6 +1151,17 @@ def _(spark, sf):
     return _doubles(read_batches(spark, out, "features").drop("batch_id"))
 
 
+@query("stream_callback",
+       f"SELECT source, window_id, timestamp, {rounded(FEATURE_COLUMNS)} FROM closed",
+       **EPOCH_BLOCKS)
+def _(spark, sf):
+    """What a callback of the pipeline is given, batch by batch, in a table of its own."""
+    given = scratch_path(spark, "callback")
+    _run_pipeline(spark, _log_stream(spark, sf), callbacks=(
+        lambda features, batch: features.write.parquet(f"{given}/batch_id={batch}"),))
+    return _doubles(spark.read.parquet(given).drop("batch_id"))
+
+
 @query("stream_detect",
        SCORES.removesuffix(" FROM ") + ", 'isolation_forest' AS model_type FROM "
        + small_forest_sql("closed"), **EPOCH_BLOCKS)
