@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -93,33 +94,42 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.words = ranks, regex.compile(pattern).findall
+        self.merged: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> bytes:
-        ids = [i for word in self.words(text) for i in merge(utf8(word), self.ranks)]
-        return np.array(ids, "<u4").tobytes()
-
-    def _part(self, part: str) -> bytes:
-        ids = self._ids(" " + part)
-        if len(part) <= _LONGEST:
-            if len(self.known) >= _REMEMBERED:
-                self.known.clear()
-            self.known[part] = ids
+    def _word(self, word: str) -> bytes:
+        ids = np.array(merge(utf8(word), self.ranks), "<u4").tobytes()
+        if len(word) <= _LONGEST:
+            self.merged[word] = ids
         return ids
 
-    def encode(self, text: str | None, spaced: bool) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers.
+    def _ids(self, text: str) -> bytes:
+        if len(self.merged) >= _REMEMBERED:
+            self.merged = {}
+        merged = self.merged
+        return b"".join([merged.get(w) or self._word(w) for w in self.words(text)])
+
+    def encode(self, texts: list[str | None], spaced: bool) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers.
 
         ``spaced``: a word of the pattern takes at most one space, before it, so that a
         lone space always starts a word and the parts between can be encoded apart.
         """
-        if not text:
-            return b""
-        if not spaced or "  " in text or text[-1] == " ":
-            return self._ids(text)
-        first, *rest = text.split(" ")
-        known = self.known.get
-        return b"".join([self._ids(first), *[known(p) or self._part(p) for p in rest]])
+        split = [t.split(" ") if t and spaced and "  " not in t and t[-1] != " " else None
+                 for t in texts]
+        parts = set(chain.from_iterable(p[1:] for p in split if p))
+        if len(self.known) + len(parts) > _REMEMBERED:
+            self.known = {}
+        known = self.known
+        new = parts.difference(known)
+        for part in new:
+            known[part] = self._ids(" " + part)
+        out = [self._ids(t or "") if p is None else self._ids(p[0]) + b"".join(
+            map(known.__getitem__, p[1:])) for t, p in zip(texts, split, strict=True)]
+        for part in new:
+            if len(part) > _LONGEST:
+                del known[part]
+        return out
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, spaced: bool = True) -> DataFrame:
@@ -137,7 +147,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, spaced: bool
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                ids = [encoder.encode(t, spaced) for t in part.column(1).to_pylist()]
+                ids = encoder.encode(part.column(1).to_pylist(), spaced)
                 yield {"doc_id": part.column(0), "ids": pa.array(ids, pa.binary())}
 
     return arrow_pass(docs.select(F.col("doc_id").cast("long"), "text"), task,
