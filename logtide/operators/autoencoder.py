@@ -29,7 +29,7 @@ _BETA1, _BETA2, _ADAM_EPS = 0.9, 0.999, 1e-8
 SHARD_ROWS = 8192
 # Shards whose weights are averaged in one task.
 _AVERAGED = 64
-_WORKER_SCHEMA = ("shard bigint, rows bigint, steps bigint, loss double, "
+_WORKER_SCHEMA = ("shard bigint, rows bigint, steps bigint, loss array<double>, "
                   "weights array<double>, m array<double>, v array<double>")
 
 
@@ -128,12 +128,14 @@ def ae_fit(df: DataFrame, key_cols: Sequence[str], vector_col: str = "features",
         packed = scaled.groupBy("shard").applyInPandas(pack, "shard bigint, x binary")
         with scratch_table(packed, "autoencoder-shards") as parts:
             parts = parts.repartition(shards) if shards > 1 else parts
-            for _ in range(epochs):
+            # A single shard needs no averaging between epochs, so one job runs them all.
+            for _ in range(epochs if shards > 1 else 1):
                 result = _epoch(parts, (weights, m, v, steps), sizes, activation, batch_size,
-                                learning_rate, shards)
+                                learning_rate, shards,
+                                1 if shards > 1 else epochs)
                 weights, m, v = (np.array(result[name]) for name in ("weights", "m", "v"))
                 steps = result["steps"]
-                losses.append(result["loss"])
+                losses += result["loss"]
         model = AutoencoderModel(sizes, activation, weights, low, high, losses=losses, params={
             "epochs": epochs, "batch_size": batch_size, "learning_rate": learning_rate,
             "seed": seed, "shard_rows": shard_rows})
@@ -143,25 +145,26 @@ def ae_fit(df: DataFrame, key_cols: Sequence[str], vector_col: str = "features",
     return model
 
 
-def _epoch(parts: DataFrame, state, sizes, activation, batch_size, rate, shards):
+def _epoch(parts: DataFrame, state, sizes, activation, batch_size, rate, shards, rounds):
     """One row: the averaged result of all shards."""
     shared = parts.sparkSession.sparkContext.broadcast(state)
 
     def train(shard: int, packed: bytes) -> pd.DataFrame:
         weights, m, v, steps = shared.value
         weights, m, v = weights.copy(), m.copy(), v.copy()
-        total, x = 0.0, np.frombuffer(packed).reshape(-1, sizes[0])
-        for lo in range(0, len(x), batch_size):
-            batch = x[lo:lo + batch_size]
-            loss, gradient = loss_and_gradient(weights, sizes, activation, batch)
-            steps += 1
-            m = _BETA1 * m + (1 - _BETA1) * gradient
-            v = _BETA2 * v + (1 - _BETA2) * gradient ** 2
-            weights -= rate * (m / (1 - _BETA1 ** steps)) / (
-                np.sqrt(v / (1 - _BETA2 ** steps)) + _ADAM_EPS)
-            total += loss * len(batch)
+        losses, x = [0.0] * rounds, np.frombuffer(packed).reshape(-1, sizes[0])
+        for i in range(rounds):
+            for lo in range(0, len(x), batch_size):
+                batch = x[lo:lo + batch_size]
+                loss, gradient = loss_and_gradient(weights, sizes, activation, batch)
+                steps += 1
+                m = _BETA1 * m + (1 - _BETA1) * gradient
+                v = _BETA2 * v + (1 - _BETA2) * gradient ** 2
+                weights -= rate * (m / (1 - _BETA1 ** steps)) / (
+                    np.sqrt(v / (1 - _BETA2 ** steps)) + _ADAM_EPS)
+                losses[i] += loss * len(batch) / len(x)
         return pd.DataFrame({"shard": [shard], "rows": [len(x)], "steps": [steps],
-                             "loss": [total / len(x)], "weights": [weights], "m": [m],
+                             "loss": [losses], "weights": [weights], "m": [m],
                              "v": [v]})
 
     def work(frames):
@@ -173,10 +176,9 @@ def _epoch(parts: DataFrame, state, sizes, activation, batch_size, rate, shards)
         group = group.sort_values("shard")
         share = group["rows"].to_numpy(float) / group["rows"].sum()
         mean = {name: [sum(w * np.asarray(x) for w, x in zip(share, group[name]))]
-                for name in ("weights", "m", "v")}
+                for name in ("weights", "m", "v", "loss")}
         return pd.DataFrame({"shard": [group["shard"].iloc[0]], "rows": [group["rows"].sum()],
-                             "steps": [group["steps"].max()],
-                             "loss": [float(share @ group["loss"].to_numpy())], **mean})
+                             "steps": [group["steps"].max()], **mean})
 
     results = parts.mapInPandas(work, _WORKER_SCHEMA)
     while shards > 1:
