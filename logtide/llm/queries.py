@@ -88,30 +88,31 @@ SCHEMAS = {
 def tool_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Calls that follow from the assistant's turns, and results from what the user says next.
 
-    Some arguments are broken, miss something or have a wrong value, and some calls need
-    the call before, the one after (so that cycles arise) or one that does not exist.
+    Arguments hold the whole text of the turn. Some are broken, miss something or have a wrong
+    value, and some calls need the call before, the one after (so that cycles arise) or one
+    that does not exist.
     """
     turns = table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     n = F.char_length("text")
     call = lambda turn: F.concat_ws("-", F.lit("call"), F.col("conv_id"), turn)
-    start = F.substring("text", 1, 60)
+    text = F.col("text")
     arguments = (
         F.when(n % 4 == 0, F.to_json(F.struct(
-            start.alias("query"), (n % 53).alias("limit"))))
+            text.alias("query"), (n % 53).alias("limit"))))
         .when(n % 4 == 1, F.to_json(F.struct(
-            start.alias("text"), F.element_at(F.array(*map(F.lit, ("de", "en", "es", "fr", "xx"))),
-                                              n % 5 + 1).alias("target"))))
-        .when(n % 8 < 4, F.to_json(F.struct(F.array(F.lit("b"), start).alias("headers"), F.concat(
+            text.alias("text"), F.element_at(F.array(*map(F.lit, ("de", "en", "es", "fr", "xx"))),
+                                             n % 5 + 1).alias("target"))))
+        .when(n % 8 < 4, F.to_json(F.struct(F.array(F.lit("b"), text).alias("headers"), F.concat(
             F.lit("https://example.org/"), n.cast("string")).alias("url"))))
-        .otherwise(F.to_json(F.struct(F.lit(1.50).alias("z"), start.alias("a")))))
+        .otherwise(F.to_json(F.struct(F.lit(1.50).alias("z"), text.alias("a")))))
     needs = F.concat(F.when(n % 3 == 0, F.array(call(F.col("turn") - 2))).otherwise(F.array()),
                      F.when(n % 11 == 0, F.array(call(F.col("turn") + 2))).otherwise(F.array()))
     calls = turns.where("role = 'assistant'").select(
         "conv_id", "turn", call(F.col("turn")).alias("call_id"),
         F.element_at(F.array(*map(F.lit, ("search", "translate", "fetch", "other"))), n % 4 + 1)
         .alias("name"),
-        F.when(n % 29 == 0, F.substring(arguments, 2, 1 << 20)).otherwise(arguments)
+        F.when(n % 29 == 0, F.substring(arguments, 2, F.char_length(arguments))).otherwise(arguments)
         .alias("arguments"), needs.alias("needs"))
     results = turns.where("role = 'user'").select(
         "conv_id", "turn", call(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
