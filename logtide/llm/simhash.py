@@ -146,6 +146,20 @@ def near_links(fps: DataFrame) -> DataFrame:
     return rows.groupBy("anchor", "i", "j").applyInPandas(compare, "a long, b long")
 
 
+def _grouped(docs: DataFrame) -> DataFrame:
+    """``(doc_id, fp, group, component_id)`` for every row; ``group`` is one fingerprint of it."""
+    by_doc = stored(fingerprints(docs), "fingerprints")
+    points = stored(by_doc.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
+    parts = connected_components(near_links(points)).withColumnRenamed("node", "fp")
+    linked = stored(points.join(parts, "fp"), "linked")
+    lowest = linked.groupBy("component").agg(F.min("first").alias("lowest"))
+    named = points.join(linked.join(lowest, "component").select("fp", "component", "lowest"),
+                        "fp", "left")
+    named = named.select("fp", F.coalesce("component", "fp").alias("group"),
+                         F.coalesce("lowest", "first").alias("component_id"))
+    return by_doc.join(named, "fp").select("doc_id", "fp", "group", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``.
 
@@ -155,31 +169,49 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     with a null ``doc_id`` is returned, but cannot name a component (null if all are null).
     Only ``doc_id`` and ``text`` are read; no rows give no rows.
     """
-    by_doc = stored(fingerprints(docs), "fingerprints")
-    points = stored(by_doc.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
-    parts = connected_components(near_links(points)).withColumnRenamed("node", "fp")
-    linked = stored(points.join(parts, "fp"), "linked")
-    lowest = linked.groupBy("component").agg(F.min("first").alias("lowest"))
-    named = points.join(linked.join(lowest, "component").select("fp", "lowest"), "fp", "left")
-    named = named.select("fp", F.coalesce("lowest", "first").alias("component_id"))
-    return by_doc.join(named, "fp").select(
+    return _grouped(docs).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document of each group, the one with the smallest id.
 
-    A repeated row stays once, of rows with one id and different texts one stays, and rows with a
-    null id stay, since nothing names them.
+    Rows are judged one by one: where an id is repeated, each of its rows goes or stays with the
+    group of its own text, and of several rows that could stand for a group the one with
+    the smallest fingerprint and text does, so that a repeated row stays once. Rows with a null
+    id stay, since nothing names them. A null or empty text is one group with all others
+    like it. Columns stay as they are, whatever their names; no rows give no rows.
     """
-    groups = stored(near_duplicates(docs), "groups")
+    groups = stored(_grouped(docs), "groups").where("doc_id is not null")
     id_type = docs.schema["doc_id"].dataType
-    named = groups.where("doc_id is not null")
-    later = named.where("doc_id <> component_id").select(F.col("doc_id").cast(id_type)).distinct()
-    kept = docs.join(later, "doc_id", "left_anti")
-    repeated = stored(named.groupBy(F.col("doc_id").cast(id_type).alias("doc_id"))
-                      .agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
-    if not repeated.isEmpty():
-        kept = (kept.join(repeated, "doc_id", "left_anti").unionByName(
-            kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
-    return kept.select(docs.columns)
+    later = groups.where("doc_id <> component_id").select(F.col("doc_id").cast(id_type))
+    repeated = stored(groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+                      .select(F.col("doc_id").cast(id_type)), "repeated")
+    if repeated.isEmpty():
+        return docs.join(later, "doc_id", "left_anti").select(docs.columns)
+    once = (docs.join(later, "doc_id", "left_anti").join(repeated, "doc_id", "left_anti")
+            .select(docs.columns))
+    names = {c.lower() for c in docs.columns}
+    row, fp = (next(n for i in range(len(names) + 1) if (n := f"{stem}{i}").lower() not in names)
+               for stem in ("row", "fp"))
+    again = docs.join(repeated, "doc_id", "left_semi").select(docs.columns)
+    again = _with_fingerprint(again.select(F.struct(*again.columns).alias(row), "doc_id", "text"),
+                              row, fp)
+    again = (again.join(groups.where("doc_id = component_id").select("doc_id", F.col("fp").alias(fp),
+                                                                     "group").distinct(),
+                        ["doc_id", fp])
+             .groupBy("group").agg(F.min_by(row, F.struct(fp, "text")).alias(row))
+             .select(f"{row}.*"))
+    return once.unionByName(again.select(docs.columns))
+
+
+def _with_fingerprint(rows: DataFrame, row: str, fp: str) -> DataFrame:
+    """``(row, doc_id, text, fp)`` for a table of ``(row, doc_id, text)``."""
+    schema = rows.schema.add(fp, "long")
+
+    def task(batches):
+        for batch in batches:
+            fps = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64)
+            yield batch.append_column(fp, pa.array(fps.view(np.int64)))
+
+    return rows.mapInArrow(task, schema).withColumn("doc_id", F.col("doc_id").cast("long"))

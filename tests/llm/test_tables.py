@@ -95,6 +95,15 @@ def test_one_of_each_stays(docs, texts):
     assert ids == sorted([*groups, None], key=str)
 
 
+def test_one_of_each_row_of_a_repeated_id(spark):
+    """One id with a text near a smaller id's, and one of its own: only the first goes."""
+    a, b = "a b c d e f g h", "quite another text stands here and it is long enough"
+    rows = [(3, a, 1), (7, a, 2), (7, b, 3), (7, b, 4), (9, b, 5), (None, a, 6), (8, None, 7), (8, "", 8)]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, fp int")
+    kept = sorted(((r.doc_id, r.text or "") for r in simhash.keep_first(frame).collect()), key=str)
+    assert kept == sorted([(3, a), (7, b), (None, a), (8, "")], key=str)
+
+
 # --- top k ------------------------------------------------------------------------
 
 @pytest.mark.parametrize("shard", [16384, 7])
