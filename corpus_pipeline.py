@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import near_copies, packing, quality, secret_scan, toxicity
+from logtide.llm import packing, quality, secret_scan, simhash, toxicity
 from logtide.llm.common import stored, table
 
 
@@ -25,9 +25,9 @@ def poor_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the
-    smallest id stays."""
-    return near_copies.keep_first(docs)
+    """Of each group of near copies by SimHash (shingles of three words, three bits) the document
+    with the smallest id stays."""
+    return simhash.keep_first(docs)
 
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

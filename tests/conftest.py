@@ -4,9 +4,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).parent.parent))
+sys.path[:0] = [str(Path(__file__).parent.parent), str(Path(__file__).parent)]
 
-SF = "/root/testdata/sf0.001"
+from samples import SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")

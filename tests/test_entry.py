@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 from check import TABLES, canonical
 
-from conftest import SF
+from samples import SF
 
 NAMES = sorted(entry.oracle_sql())
 CHECKED = [n for n in NAMES if n in (

@@ -12,7 +12,7 @@ from logtide.plans import access_log
 from logtide.sources import read_log_stream
 from logtide.streaming import closed_windows, observe_parse_stats, read_batches, start_pipeline
 
-from conftest import SF
+from samples import SF
 
 
 @pytest.fixture(scope="module")
