@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import bpe, packing, phrases, quality, secret_scan, simhash, toolcalls, topk, toxicity, urls
+from logtide.llm import (
+    bpe, middle, packing, phrases, quality, resample, secret_scan, simhash, templates, toolcalls, topk,
+    toxicity, urls,
+)
 from logtide.llm.common import table
 
 
@@ -123,6 +126,18 @@ def op10_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.link(*tool_calls(spark, sf_dir), SCHEMAS)
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digests(middle.transform(table(spark, sf_dir, "documents")))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -134,6 +149,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_urls": op9_urls,
     "op10_toolcalls": op10_toolcalls,
+    "op11_html": op11_html,
+    "op12_middle": op12_middle,
+    "op13_resample": op13_resample,
 }
 
 ORACLE = {
@@ -188,4 +206,31 @@ s AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
        vec_id, score
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
+    "op12_middle": """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') text, CAST(length(coalesce(text, '')) AS BIGINT) n,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) digest
+  FROM documents),
+h AS (
+  SELECT doc_id, text, n, CAST('0x' || digest[1:8] AS BIGINT) % (n + 1) c1,
+         CAST('0x' || digest[9:16] AS BIGINT) % (n + 1) c2, CAST('0x' || digest[17:24] AS BIGINT) h3,
+         CAST('0x' || digest[25:32] AS BIGINT) h4
+  FROM d),
+f AS (
+  SELECT doc_id, text, n, least(c1, c2) a, greatest(c1, c2) b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                   OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END form
+  FROM h),
+p AS (
+  SELECT *, substring(text, 1, a) prefix, substring(text, a + 1, b - a) middle,
+         substring(text, b + 1, n - b) suffix
+  FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+                        WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) output_sha256,
+       sha256(text) restored_sha256
+FROM p""",
 }
