@@ -8,12 +8,14 @@ it by its number among the pieces of its length.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_right, insort
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,17 +29,24 @@ END = 0
 _WORD_END = "</w>"
 # Punctuation that stands in a word of its own behind letters; an apostrophe may begin one.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# Letters of Latin alphabets but the one whose lower case is two characters.
+_LETTERS = "^[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]*$"
 # Words whose ids a task remembers, and the longest of them in characters.
 _REMEMBERED = 500_000
 _LONGEST = 64
-_TEXTS = 256  # texts encoded together
+_TEXTS = 512  # texts encoded together
+
+
+def _listed(array: pa.Array) -> list:
+    return array.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
 
 
 class Encoder:
     """Encodes texts within a task by a tokenizer that drops white space; words once each.
 
     The tokenizer must cut its input into words at white space and between letters and
-    punctuation, write letters in lower case, and mark the last token of every word.
+    punctuation, write letters in lower case, and mark the last token of every word. Texts that
+    hold one of its special tokens are given to it whole, as such a token may hold anything.
     """
 
     def __init__(self, definition: str):
@@ -46,67 +55,91 @@ class Encoder:
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
-        self.known: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
+        special = [t["content"] for t in json.loads(definition).get("added_tokens", ())]
+        self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
+        self.openings = {t[:1].lower() for t in special} | {t[:1].upper() for t in special}
+        self.known: dict[str, bytes] = {"": b""}
 
     def _tokenized(self, texts: list[str]) -> list[np.ndarray]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [np.array(e.ids, "<u4") for e in encode(texts, add_special_tokens=False)]
 
-    def _learn_plain(self, words: list[str]) -> dict[str, bytes]:
+    def _learn_plain(self, words: list[str]) -> list[bytes]:
         """Ids of words of one kind of character each, all in one run of the tokenizer."""
         if not words:
-            return {}
+            return []
         ids = self._tokenized([" ".join(words)])[0]
         last = np.flatnonzero(self.ends[ids]) + 1
         if len(last) != len(words) or last[-1] != len(ids):
-            found = [x.tobytes() for x in self._tokenized(words)]
-        else:
-            raw, cuts = ids.tobytes(), [0, *(4 * last).tolist()]
-            found = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        return dict(zip(words, found, strict=True))
+            return [x.tobytes() for x in self._tokenized(words)]
+        raw, cuts = ids.tobytes(), [0, *(4 * last).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of the parts of a text between spaces.
-
-        Letters of Latin alphabets with marks behind them are two words, or one; anything
-        else goes to the tokenizer as it is.
-        """
-        split, other = [], []
-        for w in words:
-            letters = w.rstrip(_MARKS)
-            if not letters or letters.isalpha() and (
-                    letters.isascii() or max(letters) <= "\u024f" and "\u0130" not in letters):
-                split.append((w, letters.lower(), w[len(letters):]))
-            else:
-                other.append(w)
-        needed = {a for _, a, _ in split} | {b for _, _, b in split}
-        if len(self.plain) + len(needed) > _REMEMBERED:
-            self.plain = {}
-        plain = self.plain
-        plain |= self._learn_plain(sorted(needed.difference(plain, [""])))
-        plain[""] = b""
-        out = {w: plain[a] + plain[b] for w, a, b in split}
-        return out | {w: ids.tobytes() for w, ids in zip(other, self._tokenized(other), strict=True)}
+    def _ids_of(self, words: list[str], plain: list[bool]) -> list[bytes]:
+        """Ids of distinct words; ``plain`` ones are lower-case letters or marks only."""
+        known = self.known
+        if len(known) + len(words) > _REMEMBERED:
+            self.known = known = {"": b""}
+        found = list(map(known.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        simple, other = ([i for i in new if plain[i] == kind] for kind in (True, False))
+        for part, ids in ((simple, self._learn_plain([words[i] for i in simple])),
+                          (other, [x.tobytes() for x in self._tokenized([words[i] for i in other])])):
+            for i, own in zip(part, ids, strict=True):
+                found[i] = own
+                if len(words[i]) <= _LONGEST:
+                    known[words[i]] = own
+        return found
+
+    def _parted(self, words: pa.Array) -> tuple[np.ndarray, pa.Array, list[bool]]:
+        """Distinct words as two keys each: the letters and the marks behind them, or all and
+        nothing. Returns codes of both keys for each word, the keys, and which are plain."""
+        letters = pc.utf8_rtrim(words, _MARKS)
+        plain = pc.match_substring_regex(letters, _LETTERS)
+        whole = pc.if_else(plain, pc.utf8_lower(letters), words)
+        marks = [w[n:] if ok else "" for w, n, ok in zip(
+            _listed(words), _listed(pc.utf8_length(letters)), _listed(plain), strict=True)]
+        keys = pa.concat_arrays([whole, pa.array(marks, whole.type)]).dictionary_encode()
+        codes = keys.indices.to_numpy()
+        known = np.zeros(len(keys.dictionary), bool)
+        known[codes[:len(words)][plain.to_numpy(zero_copy_only=False)]] = True
+        known[codes[len(words):]] = True
+        return codes.reshape(2, -1).T, keys.dictionary, known.tolist()
+
+    def _is_special(self, text: str) -> bool:
+        return (self.special is not None and any(o in text for o in self.openings)
+                and self.special.search(text) is not None)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        held = set(chain.from_iterable(parts))
-        if len(self.known) + len(held) > _REMEMBERED:
-            self.known = {}
-        known = self.known
-        new = sorted(held.difference(known))
-        known |= self._learn(new)
-        out = [b"".join(map(known.__getitem__, p)) for p in parts]
-        for w in new:
-            if len(w) > _LONGEST:
-                del known[w]
-        return out
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        Texts are cut at spaces and line ends; each distinct word is looked up once and its ids
+        are put in all its places by index.
+        """
+        whole = [i for i, t in enumerate(texts) if t and self._is_special(t)]
+        held = list(texts)
+        for i in whole:
+            held[i] = None
+        parts = pc.split_pattern(pc.replace_substring(
+            pa.array([t or "" for t in held], pa.large_string()), "\n", " "), " ")
+        coded = parts.values.dictionary_encode()
+        codes, keys, plain = self._parted(coded.dictionary)
+        ids = self._ids_of(_listed(keys), plain)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        index = codes[coded.indices.to_numpy()].ravel()  # two keys for each word of the texts
+        length = size[index]
+        ends = np.cumsum(length)
+        first = (np.cumsum(size) - size)[index]
+        out = flat[np.repeat(first - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.append(0, ends)[2 * parts.offsets.to_numpy()].tolist()
+        done = [out[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+        for i, found in zip(whole, self._tokenized([texts[i] for i in whole]), strict=True):
+            done[i] = found.tobytes()
+        return done
 
 
 def pieces(docs: DataFrame, definition: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:

@@ -168,7 +168,7 @@ d AS (
          CAST('0x' || substr(digest, 2, 1) AS INTEGER) d2, CAST('0x' || substr(digest, 3, 1) AS INTEGER) d3
   FROM p),
 e AS (
-  SELECT lower(CASE WHEN d3 < 4 AND part IS NOT NULL THEN site || '/' || part ELSE site END) key,
+  SELECT CASE WHEN d3 < 4 AND part IS NOT NULL THEN site || '/' || part ELSE site END AS key,
          listed, CASE WHEN d1 < 4 THEN 1 WHEN d1 < 6 THEN 2 ELSE 3 END strength
   FROM (SELECT *, CASE WHEN len(labels) > 3 AND d2 % 2 = 0
                        THEN array_to_string(labels[2:], '.') ELSE host END site FROM d)
@@ -195,17 +195,17 @@ SELECT d.page_id, host, fetched,
 FROM d LEFT JOIN a ON d.page_id = a.page_id AND place = 1""",
     "op7_topk": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) vec
+  SELECT row_number() OVER () nr, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) vec
   FROM embeddings
   WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND embedding IS NOT NULL),
 s AS (
-  SELECT q.vec_id query_id, c.vec_id,
+  SELECT q.nr, q.vec_id query_id, c.vec_id,
          CAST(list_dot_product(CAST(q.vec AS DOUBLE[]), CAST(c.vec AS DOUBLE[])) AS BIGINT) score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.vec) = len(c.vec)
+  FROM v q JOIN v c ON q.nr <> c.nr AND len(q.vec) = len(c.vec)
   WHERE q.vec_id % 100 = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+SELECT query_id, CAST(row_number() OVER (PARTITION BY nr ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
        vec_id, score
-FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
+FROM s QUALIFY row_number() OVER (PARTITION BY nr ORDER BY score DESC, vec_id) <= 10""",
     "op12_middle": """
 WITH d AS (
   SELECT doc_id, coalesce(text, '') text, CAST(length(coalesce(text, '')) AS BIGINT) n,

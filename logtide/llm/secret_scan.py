@@ -127,11 +127,12 @@ def likelihood_ratio(run: str, ratio: np.ndarray) -> float:
 def all_spans(text: str, ratio: np.ndarray, threshold: float = THRESHOLD) -> list[Span]:
     """Base spans and random runs that touch none of them, by start and then kind."""
     base = base_spans(text)
-    taken, found = _merged(base), list(base)
-    for m in RUN.finditer(text):
+    taken, found, at = _merged(base), list(base), 0
+    for m in RUN.finditer(text):  # runs and taken spans both rise, so one walk over them does
         start, end = m.span()
-        if all(end <= a or b <= start for a, b in taken) \
-                and likelihood_ratio(m[0], ratio) >= threshold:
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        if (at == len(taken) or end <= taken[at][0]) and likelihood_ratio(m[0], ratio) >= threshold:
             found.append((start, end, 3))
     return sorted(found, key=lambda s: (s[0], s[2]))
 

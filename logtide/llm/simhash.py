@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from logtide.llm.common import arrow_pass, stored, utf8
 from logtide.llm.components import connected_components
@@ -207,7 +208,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
 def _with_fingerprint(rows: DataFrame, row: str, fp: str) -> DataFrame:
     """``(row, doc_id, text, fp)`` for a table of ``(row, doc_id, text)``."""
-    schema = rows.schema.add(fp, "long")
+    schema = StructType([*rows.schema.fields, StructField(fp, LongType())])
 
     def task(batches):
         for batch in batches:

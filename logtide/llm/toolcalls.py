@@ -114,6 +114,17 @@ def levels(calls: DataFrame) -> DataFrame:
     return settled
 
 
+_NAMED = "conv_id is not null and call_id is not null"
+
+
+def _parted(rows: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The first row of each id in ``order``, and all others. ``row`` tells rows apart."""
+    first = (rows.where(_NAMED).groupBy("conv_id", "call_id")
+             .agg(F.min(F.struct(*order, "row")).alias("first"))
+             .select("conv_id", "call_id", "first.*"))
+    return first, rows.join(first.select("row"), "row", "left_anti")
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """``(conv_id, level, turn, call_id, name, status, message)``: a row per call or stray result.
 
@@ -122,39 +133,54 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     calls of a conversation stand in topological order. ``status`` is ``ok`` or the first of
     ``cycle``, ``unknown_tool``, ``not_json``, ``invalid: where and how`` and ``no_result``
     that holds; a result of no call is ``no_call``. ``message`` is canonical JSON. Of calls
-    with one id the earliest counts, of results as well (of equals the first in order). Rows
-    with a null conversation or call id are not linked to anything and are left out as names of
-    nothing. Other columns are not read.
+    with one id the earliest counts, of results as well (of equals the first in order); the
+    others are returned as ``repeated_call`` and ``repeated_result``. Rows with a null
+    conversation or call id are not linked to anything and have the status ``no_id``. Other columns
+    are not read; no rows give no rows.
     """
-    named = "conv_id is not null and call_id is not null"
-    calls = stored(calls.where(named).groupBy("conv_id", "call_id").agg(
-        F.min(F.struct("turn", "name", "arguments", F.coalesce(
-            "needs", F.array().cast("array<string>")).alias("needs"))).alias("c"))
-        .select("conv_id", "call_id", "c.*"), "calls")
-    results = results.where(named).groupBy("conv_id", "call_id").agg(
-        F.min(F.struct(F.col("turn").alias("result_turn"), "content")).alias("r"),
-        F.lit(True).alias("has_result"))
-    joined = (calls.select("conv_id", "call_id", "turn", "name", "arguments", F.lit(True).alias("has_call"))
-              .join(levels(calls), ["conv_id", "call_id"], "left")
-              .join(results, ["conv_id", "call_id"], "full")
-              .select("conv_id", "level", F.coalesce("turn", "r.result_turn").alias("turn"),
-                      "call_id", "name", "arguments", "r.content",
-                      F.coalesce("has_call", F.lit(False)).alias("has_call"),
-                      F.coalesce("has_result", F.lit(False)).alias("has_result")))
+    numbered = F.monotonically_increasing_id()
+    calls = stored(calls.select("conv_id", "call_id", "turn", "name", "arguments", F.coalesce(
+        "needs", F.array().cast("array<string>")).alias("needs"), numbered.alias("row")), "calls")
+    results = stored(results.select("conv_id", "call_id", "turn", "content", numbered.alias("row")),
+                     "results")
+    first_calls, more_calls = _parted(calls, ["turn", "name", "arguments", "needs"])
+    first_results, more_results = _parted(results, ["turn", "content"])
+    yes, no = F.lit(True), F.lit(False)
+    linked = (first_calls.withColumn("has_call", yes)
+              .join(levels(first_calls), ["conv_id", "call_id"], "left")
+              .join(first_results.select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content",
+                                         yes.alias("has_result")), ["conv_id", "call_id"], "full")
+              .select("conv_id", "level", F.coalesce("turn", "result_turn").alias("turn"),
+                      "call_id", "name", "arguments", "content", F.coalesce("has_call", no).alias("has_call"),
+                      F.coalesce("has_result", no).alias("has_result"), F.lit(None).cast("string")
+                      .alias("apart")))
+    apart = lambda kind: F.when(F.expr(_NAMED), kind).otherwise("no_id").alias("apart")
+    none = lambda of: F.lit(None).cast(of)
+    joined = (linked
+              .unionByName(more_calls.select(
+                  "conv_id", none("int").alias("level"), "turn", "call_id", "name", "arguments",
+                  none("string").alias("content"), yes.alias("has_call"), no.alias("has_result"),
+                  apart("repeated_call")))
+              .unionByName(more_results.select(
+                  "conv_id", none("int").alias("level"), "turn", "call_id", none("string").alias("name"),
+                  none("string").alias("arguments"), "content", no.alias("has_call"),
+                  yes.alias("has_result"), apart("repeated_result"))))
 
     def finish(row) -> tuple[str, str]:
         message = {"call_id": row["call_id"]}
         if row["has_result"]:
             message["result"] = row["content"]
         if not row["has_call"]:
-            return "no_call", canonical(message)
+            return row["apart"] or "no_call", canonical(message)
         message["name"], schema = row["name"], schemas.get(row["name"])
         try:
             value, status = parsed(row["arguments"]), None
         except ValueError:
             value, status = row["arguments"], "not_json"
         message["arguments"] = value
-        if row["level"] is None:
+        if row["apart"]:
+            status = row["apart"]
+        elif row["level"] is None:
             status = "cycle"
         elif schema is None:
             status = "unknown_tool"

@@ -14,8 +14,8 @@ SCALE = 1024
 QUERY_STEP = 100
 RESULTS = 10
 
-# Rows of a query tile and of a shard of candidates; shards merged at a time.
-_TILE = 2048
+# Bytes of a tile of queries and rows of a shard of candidates; shards merged at a time.
+_TILE_BYTES = 32 << 20
 _SHARD = 16384
 _MERGE = 16
 _EXACT = float(1 << 53)
@@ -50,14 +50,14 @@ def scores(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
                       for s in other] for q in whole], np.int64).reshape(len(queries), len(shard))
 
 
-def tile_best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, shard: np.ndarray,
-              k: int) -> list[tuple[int, int, int]]:
-    """The best ``k`` of a shard for each query: (query, candidate, score)."""
+def tile_best(query_rows: np.ndarray, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray,
+              shard: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """The best ``k`` of a shard for each query: (row of the query, candidate's id, score)."""
     order = np.argsort(ids, kind="stable")
-    ids, shard, found = ids[order], shard[order], []
+    rows, ids, shard, found = rows[order], ids[order], shard[order], []
     for lo in range(0, len(queries), 256):
-        for q, row in zip(query_ids[lo:lo + 256], scores(queries[lo:lo + 256], shard), strict=True):
-            allowed = np.flatnonzero(ids != q)
+        for q, row in zip(query_rows[lo:lo + 256], scores(queries[lo:lo + 256], shard), strict=True):
+            allowed = np.flatnonzero(rows != q)
             if len(allowed) > k:
                 least = np.partition(row[allowed], len(allowed) - k)[len(allowed) - k]
                 allowed = allowed[row[allowed] >= least]
@@ -73,46 +73,49 @@ def top_k(vectors: DataFrame, k: int = RESULTS, step: int = QUERY_STEP) -> DataF
     Queries are the rows whose ``vec_id`` is divisible by ``step``. Ties go to the smaller id;
     with fewer candidates all are returned. Null vectors, and those that hold a null or a
     non-finite value, take no part, nor do rows without an id; a query meets only
-    vectors of its own width. A repeated ``vec_id`` is one row, with the smallest vector.
-    No rows give no rows; other columns are not read.
+    vectors of its own width. Rows with one ``vec_id`` are rows of their own: each is a candidate
+    of every other, and each is a query if its id is. No rows give no rows; other columns are
+    not read.
 
-    Rows are dealt into query tiles and shards of bounded size by their id's hash, every tile
-    meets every shard in a task of its own, which returns the best ``k`` per query, and
+    Rows are dealt into query tiles and shards of bounded size by the hash of their number, every
+    tile meets every shard in a task of its own, which returns the best ``k`` per query, and
     lists of ``_MERGE`` shards are merged at a time until one is left.
     """
-    rows = stored(quantised(vectors).groupBy("vec_id")
-                  .agg(F.min(F.struct("width", "vec")).alias("v"))
-                  .select("vec_id", "v.width", "v.vec"), "vectors")
+    rows = stored(quantised(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
     is_query = F.col("vec_id") % step == 0
-    sizes = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
-    tiles, shards = -(-sizes["q"] // _TILE) or 1, -(-sizes["n"] // _SHARD) or 1
-    key = F.xxhash64("vec_id", F.lit(7))
+    sizes = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q"),
+                     F.max("width").alias("width")).first()
+    tile_rows = max(1, _TILE_BYTES // (8 * max(1, sizes["width"] or 1)))
+    tiles, shards = -(-sizes["q"] // tile_rows) or 1, -(-sizes["n"] // _SHARD) or 1
+    key = F.xxhash64("row", F.lit(7))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     sides = (rows.where(is_query)
              .select("width", F.pmod(key, F.lit(tiles)).cast("int").alias("tile"),
-                     every(shards).alias("shard"), "vec_id", "vec", F.lit(True).alias("query"))
+                     every(shards).alias("shard"), "row", "vec_id", "vec", F.lit(True).alias("query"))
              .union(rows.select("width", every(tiles).alias("tile"),
                                 F.pmod(key, F.lit(shards)).cast("int").alias("shard"),
-                                "vec_id", "vec", F.lit(False).alias("query"))))
+                                "row", "vec_id", "vec", F.lit(False).alias("query"))))
 
     def product(group: pd.DataFrame) -> pd.DataFrame:
         is_q = group["query"].to_numpy(bool)
-        ids = group["vec_id"].to_numpy(np.int64)
+        numbers, ids = group["row"].to_numpy(np.int64), group["vec_id"].to_numpy(np.int64)
         width = int(group["width"].iloc[0])
         matrix = np.stack(group["vec"].to_list()).astype(float).reshape(len(group), width)
-        found = tile_best(ids[is_q], matrix[is_q], ids[~is_q], matrix[~is_q], k)
-        out = pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64")
+        found = tile_best(numbers[is_q], matrix[is_q], numbers[~is_q], ids[~is_q], matrix[~is_q], k)
+        out = pd.DataFrame(found, columns=["query", "vec_id", "score"], dtype="int64")
+        name = dict(zip(numbers[is_q].tolist(), ids[is_q].tolist(), strict=True))
+        out["query_id"] = out["query"].map(name).astype("int64") if len(out) else out["query"]
         out["shard"] = int(group["shard"].iloc[0])
-        return out
+        return out[["query", "query_id", "vec_id", "score", "shard"]]
 
     best = (sides.groupBy("width", "tile", "shard")
-            .applyInPandas(product, "query_id long, vec_id long, score long, shard int"))
+            .applyInPandas(product, "query long, query_id long, vec_id long, score long, shard int"))
     order = [F.desc("score"), "vec_id"]
     while True:
         group = (F.col("shard") / _MERGE).cast("int")
-        place = F.row_number().over(Window.partitionBy("query_id", "group").orderBy(*order))
+        place = F.row_number().over(Window.partitionBy("query", "group").orderBy(*order))
         best = (best.withColumn("group", group).withColumn("rank", place).where(F.col("rank") <= k)
-                .select("query_id", "rank", "vec_id", "score", F.col("group").alias("shard")))
+                .select("query", "query_id", "rank", "vec_id", "score", F.col("group").alias("shard")))
         shards = -(-shards // _MERGE)
         if shards <= 1:
-            return best.drop("shard")
+            return best.select("query_id", "rank", "vec_id", "score")

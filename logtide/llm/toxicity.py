@@ -178,7 +178,8 @@ def _calibrated(model: Model, toxic: list[str], ordinary: list[str]) -> Model:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """A model from the labelled rows of ``docs`` that are not held out.
 
-    At most ``SAMPLE_TOXIC`` and ``SAMPLE_ORDINARY`` labelled rows are read. Rows
+    At most ``SAMPLE_TOXIC`` and ``SAMPLE_ORDINARY`` labelled ids are read, and no more rows than
+    that, however often an id is repeated. Rows
     without a label or id are not used; of repeated labels the higher counts. Without rows of
     both kinds the model scores every text 0.
     """
@@ -191,7 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
               for value, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY))]
     picked = chosen[0].union(chosen[1])  # bounded by the two limits
     rows = (docs.select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull())
-            .join(F.broadcast(picked), "doc_id").collect())
+            .join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id", "text"))
+            .limit(SAMPLE_TOXIC + SAMPLE_ORDINARY).collect())
     rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), r["text"]))
     texts = [list(dict.fromkeys(r["text"] for r in rows if r["label"] == value)) for value in (1, 0)]
     return fit(*texts)
@@ -218,7 +220,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, as they are."""
+    """The rows of ``docs`` that are not predicted toxic, as they are.
+
+    Null and empty texts stay; repeated rows go or stay together and null ids do not matter.
+    Columns of any names stay; no rows give no rows.
+    """
     def run(batches):
         scorer = Scorer(model)
         for batch in batches:

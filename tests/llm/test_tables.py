@@ -1,7 +1,7 @@
 """Operators over tables against plain versions."""
 
 import json
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -109,23 +109,24 @@ def test_one_of_each_row_of_a_repeated_id(spark):
 @pytest.mark.parametrize("shard", [16384, 7])
 def test_top_k(spark, monkeypatch, shard):
     monkeypatch.setattr(topk, "_SHARD", shard)
-    monkeypatch.setattr(topk, "_TILE", 3)
+    monkeypatch.setattr(topk, "_TILE_BYTES", 100)
     monkeypatch.setattr(topk, "_MERGE", 4)
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 4]) for i in range(300)]
     rows += [(600, None), (700, [1.0, None, 0.0, 0.0]), (800, [float("nan")] * 4),
              (900, [float("inf")] * 4), (None, [1.0] * 4), (1000, [1.0, 2.0]), (1001, [3.0, 1.0]),
-             (0, rows[0][1]), (1100, [])]
+             (0, rows[0][1]), (1100, []), (1, [9.0] * 4), (1, [9.0] * 4), (100, [-9.0] * 4)]
     frame = spark.createDataFrame([(i, v, 5, 1) for i, v in rows],
                                   "vec_id long, embedding array<float>, score int, tile int")
     got = sorted(map(tuple, topk.top_k(frame).collect()))
-    usable = {i: np.floor(1024 * np.array(v)).astype(int) for i, v in rows
-              if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    usable = [(i, np.floor(1024 * np.array(v)).astype(int)) for i, v in rows
+              if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     expected = []
-    for q in (i for i in usable if i % 100 == 0):
-        found = sorted((-int(usable[q] @ v), i) for i, v in usable.items()
-                       if i != q and len(v) == len(usable[q]))[:10]
-        expected += [(q, n, i, -s) for n, (s, i) in enumerate(found, 1)]
+    for at, (q, own) in enumerate(usable):
+        if q % 100 == 0:
+            found = sorted((-int(own @ v), i) for j, (i, v) in enumerate(usable)
+                           if j != at and len(v) == len(own))[:10]
+            expected += [(q, n, i, -s) for n, (s, i) in enumerate(found, 1)]
     assert got == sorted(expected)
     assert topk.top_k(frame.limit(0)).count() == 0
 
@@ -143,12 +144,11 @@ def test_large_values_are_exact(spark):
 DAY = date(2024, 1, 1)
 
 
-def judge(url, day, entries):
-    match = urls_of(url)
+def judge(url, at, entries):
     best = None
-    for key in match:
+    for key in urls_of(url):
         said = sorted((d, urls.ACTIONS.index(a)) for k, a, d in entries
-                      if k and k.lower() == key and d is not None and a in urls.ACTIONS and d <= day)
+                      if k and folded(k) == key and d is not None and a in urls.ACTIONS and d <= at)
         if not said:
             continue
         last = max(d for d, _ in said)
@@ -158,6 +158,11 @@ def judge(url, day, entries):
     return best[1:] if best else ("none", None, None)
 
 
+def folded(key):
+    domain, slash, path = key.partition("/")
+    return domain.lower() + slash + path
+
+
 def urls_of(url):
     if not url or "://" not in url:
         return []
@@ -192,6 +197,24 @@ def test_lists_over_time(spark):
                          spark.createDataFrame(entries, "key string, action string, listed date")).count() == 0
 
 
+def test_lists_within_a_day(spark):
+    """Times of the day, capitals of paths, and what a day begins with."""
+    t = lambda day, hour=0: datetime(2024, 1, 1) + timedelta(days=day, hours=hour)
+    pages = [(1, "http://A.org/Foo/x"), (2, "http://a.org/foo/x"), (3, "http://b.org/"), (4, "http://c.org")]
+    captures = [(i, u, t(d, h)) for i, u in pages for d in range(0, 70, 3) for h in (0, 9, 15, 20, 23)]
+    entries = [("a.ORG/Foo", "block", t(3, 20)), ("a.org", "allow", t(6, 10)), ("a.org/Foo", "remove", t(9, 9)),
+               ("b.org", "block", t(3, 9)), ("b.org", "remove", t(3, 15)), ("b.org", "allow", t(3, 15)),
+               ("b.org", "remove", t(3, 20)), ("b.org", "block", t(40, 1)), ("b.org", "allow", t(40, 2)),
+               ("c.org", "block", t(-400, 5)), ("c.org", "allow", t(63, 9))]
+    got = urls.evaluate(
+        spark.createDataFrame(captures, "page_id long, url string, fetched timestamp"),
+        spark.createDataFrame(entries, "key string, action string, listed timestamp"))
+    rows = [(r.page_id, r.fetched, r.verdict, r.entry, r.since) for r in got.collect()]
+    expected = [(i, at, *judge(u, at, entries)) for i, u, at in captures]
+    assert sorted(rows, key=str) == sorted(expected, key=str)
+    assert {r[2] for r in rows} == {"block", "allow", "none"}
+
+
 def test_url_query_is_native(spark):
     plan = queries.op9_urls(spark, SF)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop"))
@@ -213,7 +236,9 @@ def test_links(spark):
     frame = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, "
                                          "arguments string, needs array<string>")
     answers = spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string")
-    rows = toolcalls.link(frame.withColumn("content", F.lit(1)), answers, schema).collect()
+    everything = toolcalls.link(frame.withColumn("content", F.lit(1)), answers, schema).collect()
+    apart = ("no_id", "repeated_call", "repeated_result")
+    rows, others = ([r for r in everything if (r.status in apart) == kind] for kind in (False, True))
     got = {(r.conv_id, r.call_id): (r.level, r.status) for r in rows}
     assert got == {
         (1, "a"): (1, "ok"), (1, "b"): (0, "invalid: $.a: too small"), (1, "c"): (0, "invalid: $.z: not known"),
@@ -221,6 +246,11 @@ def test_links(spark):
         (1, "w"): (None, "cycle"), (1, "s"): (None, "cycle"), (1, "q"): (None, "no_call"),
         (2, "a"): (0, "invalid: $.a: not of type integer"), (2, "n"): (0, "not_json"), (2, "i"): (0, "not_json"),
         (2, "k"): (0, "not_json"), (2, "u"): (0, "unknown_tool")}
+    assert sorted((str(r.conv_id), str(r.call_id), r.turn, r.status) for r in others) == [
+        ("1", "a", 9, "repeated_result"), ("2", "None", 1, "no_id"), ("2", "a", 5, "repeated_call"),
+        ("None", "a", 1, "no_id")]
+    assert len(rows) + len(others) == len(calls) + len({(1, "q")}) + 2
+    assert all(json.loads(r.message)["call_id"] == r.call_id for r in others)
     texts = {(r.conv_id, r.call_id): r.message for r in rows}
     assert texts[1, "a"] == '{"arguments":{"a":2,"b":["x"]},"call_id":"a","name":"f","result":"é"}'
     assert all(json.loads(t) is not None for t in texts.values())
