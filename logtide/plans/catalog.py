@@ -147,6 +147,27 @@ def _(spark, sf):
         "source", "raw_line", "timestamp", "status_code", "url_path", "parse_ok"))
 
 
+@query("read_log_stream_growing", STREAMED)
+def _(spark, sf):
+    """One file per source that has grown between the two runs of the stream."""
+    path = scratch_path(spark, "growing-log")
+    lines = L.lines(spark, sf)
+    half = lines.agg(F.expr("(min(log_id) + max(log_id)) div 2").alias("half")).first()["half"]
+    rows, check = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-check")
+    for some in (lines.filter(F.col("log_id") <= half), lines):
+        (some.select("source", "log_id", "value").repartition("source")
+         .sortWithinPartitions("source", "log_id").drop("log_id")
+         .write.mode("overwrite").partitionBy("source").text(path))
+        stream = sources.read_log_stream(spark, path, source=F.substring_index(
+            sources.source_of_path("folder", F.col("path")), "=", -1), follow=True,
+            on_bad_time="reject").select(
+            "source", "raw_line", "timestamp", "status_code", "url_path", "parse_ok")
+        (stream.writeStream.format("parquet").option("path", rows)
+         .option("checkpointLocation", check).trigger(availableNow=True).start()
+         .awaitTermination())
+    return spark.read.schema(stream.schema).parquet(rows)
+
+
 @query("start_from_latest", STREAMED)
 def _(spark, sf):
     """The log is written twice; only the files after the start of the collection count."""

@@ -1,7 +1,7 @@
 """Access-log files as lines and as parsed rows.
 
-Files should be splittable (plain or bzip2/zstd-seekable text) and, for streams, be moved
-into the folder whole: the file source reads a file once and does not follow its growth.
+Files should be splittable (plain or bzip2/zstd-seekable text). For streams they are either
+moved into a folder whole, as Spark's file source reads a file once, or followed as they grow.
 """
 
 from __future__ import annotations
@@ -12,15 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import drop_undecodable, strip_blanks
 from ..operators.parse import parse_access_log
+from .growing import GrowingText
 
 
-def source_of_path(by: str | Mapping[str, str] = "folder") -> Column:
+def source_of_path(by: str | Mapping[str, str] = "folder", path: Column | None = None) -> Column:
     """Name of the log a line came from: the folder of its file, the file, or as mapped.
 
     A mapping goes from a part of the path to the name, the first that fits counting; other
     files have a null name. By file, every rotated file of a log is a log of its own.
     """
-    path = F.col("_metadata.file_path")
+    path = F.col("_metadata.file_path") if path is None else path
     if isinstance(by, Mapping):
         return F.coalesce(*[F.when(path.contains(part), F.lit(name))
                             for part, name in by.items()], F.lit(None).cast("string"))
@@ -60,14 +61,35 @@ def read_log_batch(spark: SparkSession, paths: str | Sequence[str],
 
 def read_log_stream(spark: SparkSession, path: str, source: str | Mapping[str, str] | Column = "folder",
                     start_from_latest=None, max_files_per_trigger: int | None = None,
+                    follow: bool = False, idle_seconds: float | None = None,
                     **parse_options) -> DataFrame:
-    """The same as a stream over the files that arrive in a folder.
-
-    The checkpoint of the query remembers what was read. ``start_from_latest`` is a time:
-    files last modified before it, the history at the start of the collection, are skipped.
+    """The same as a stream over the files that arrive in a folder, or grow there.
+
+    The checkpoint of the query remembers what was read. By default a file is read once, as it
+    arrives, and ``start_from_latest`` is a time: files last modified before it, the history at
+    the start of the collection, are skipped. With ``follow`` the files of a folder, or one file
+    and what it is rotated to, are read on as they grow; a last line counts when it is ended,
+    or after ``idle_seconds`` without a change. ``start_from_latest=True`` then begins
+    behind what is there, and ``source`` is worked out from the path.
     """
+    if follow:
+        return parse_access_log(follow_lines(spark, path, source, bool(start_from_latest),
+                                             idle_seconds), **parse_options)
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     lines = clean_lines(_with_source(reader.load(path), source, start_from_latest))
     return parse_access_log(lines, **parse_options)
+
+
+def follow_lines(spark: SparkSession, path: str, source: str | Mapping[str, str] | Column = "folder",
+                 start_from_latest: bool = False, idle_seconds: float | None = None) -> DataFrame:
+    """``(source, value)`` for the lines of growing files, as a stream. See ``growing``."""
+    spark.dataSource.register(GrowingText)
+    reader = (spark.readStream.format(GrowingText.name()).option("path", path)
+              .option("fromLatest", start_from_latest))
+    if idle_seconds is not None:
+        reader = reader.option("idleSeconds", idle_seconds)
+    rows = reader.load()
+    name = source if isinstance(source, Column) else source_of_path(source, F.col("path"))
+    return clean_lines(rows.select(name.alias("source"), "value"))
