@@ -74,7 +74,8 @@ def alert_retention(alerts: DataFrame, keep: int = KEPT_ALERTS, by: str | None =
 
 def alerts_recent(alerts: DataFrame, count: int = RECENT_ALERTS_SHOWN) -> DataFrame:
     """The latest alerts, each with the number of alerts there are in all."""
-    return top_recent(alerts, count).withColumn("total_count", F.lit(alerts.count()))
+    total = alerts.agg(F.count(F.lit(1)).alias("total_count"))  # one row
+    return top_recent(alerts, count).join(F.broadcast(total), F.lit(True))
 
 
 def alert_count_by_type(alerts: DataFrame) -> DataFrame:

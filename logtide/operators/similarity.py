@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import PATTERN_MINUTES, PATTERN_NEIGHBOURS, PATTERN_SIMILARITY
 from ..functions.vectors import feature_vector, flatten_pattern
-from ..session import BROADCAST_BYTES, delete_path, materialize, scratch_table
-from .ranking import DIGITS, top_k, unit_rows
+from ..session import BROADCAST_BYTES, materialize
+from .ranking import top_k, unit_rows
 
 PATTERN_COLUMNS = ("pattern_id", "source", "failure_time", "minutes_before", "pattern")
 
@@ -94,64 +94,194 @@ def rolling_pattern(features: DataFrame, seconds: int = PATTERN_MINUTES * 60,
             .drop("_at", "_own", "_stretch", "_w", "_vec"))
 
 
-def _with_top_k(queries: DataFrame, patterns: DataFrame, id_type: str, query_vector: str,
-                k: int, exclude: str | None, slice_bytes: int) -> DataFrame:
-    """Add ``_near`` (ids and similarities, best first) to every row of ``queries``.
+#: Vectors to which patterns are dealt by angle, at most, and their bytes.
+CENTRES, CENTRE_BYTES = 256, 16 << 20
+_SLACK = 1e-7
+_BLOCK_ROWS = 256  # queries that are worth a task of their own
+_TILED = ("_row bigint, _size int, _centre int, _part bigint, _block int, _query boolean, "
+          "_own {id}, _id {id}, _vec array<double>")
 
-    ``patterns`` is a stored table. It is cut by the hash of the id into slices of about
-    ``slice_bytes``; every task holds one slice at a time and keeps the best ``k`` so far of
-    each query, so that queries are neither copied nor shuffled, and need no key. With more
-    than one slice the queries and what they found are stored after each.
+
+def _stacked(vectors: pd.Series) -> np.ndarray:
+    return unit_rows(np.stack(vectors.to_list()).astype(float))
+
+
+def _angles(units: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(units @ centres.T, -1.0, 1.0))
+
+
+class _Clusters:
+    """Patterns by length and nearest centre: how many, and the widest angle to the centre.
+
+    Zero vectors have no direction: they form a cluster of their own that every query meets.
+    """
+
+    def __init__(self, centres: dict[int, np.ndarray], tile_bytes: int):
+        self.centres, self.tile_bytes = centres, tile_bytes
+        self.found: dict[tuple[int, int], tuple[int, float]] = {}
+
+    def nearest(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Centre (-1 for none) and angle to it of vectors of one length."""
+        centres = self.centres.get(units.shape[1])
+        if centres is None:
+            return np.full(len(units), -1), np.full(len(units), np.pi)
+        angle = _angles(units, centres)
+        best = np.argmin(angle, axis=1)
+        zero = ~units.any(axis=1)
+        return (np.where(zero, -1, best),
+                np.where(zero, np.pi, angle[np.arange(len(units)), best]))
+
+    def parts(self, size: int, centre: int) -> int:
+        count, _ = self.found.get((size, centre), (0, 0.0))
+        return max(1, -(-count * (8 * size + 64) // self.tile_bytes))
+
+    def allowed(self, units: np.ndarray, least: np.ndarray) -> list[list[int]]:
+        """Centres whose patterns can reach the similarity ``least`` with each vector."""
+        size = units.shape[1]
+        held = [c for s, c in self.found if s == size]
+        far = np.zeros((len(units), len(held)))
+        if size in self.centres and held:
+            angle = _angles(units, self.centres[size])
+            for i, c in enumerate(held):
+                if c >= 0:
+                    far[:, i] = np.maximum(0.0, angle[:, c] - self.found[size, c][1])
+            far[~units.any(axis=1)] = 0.0
+        ok = np.cos(far) + _SLACK >= least[:, None]
+        return [[c for c, yes in zip(held, row, strict=True) if yes] for row in ok]
+
+
+def _clusters(patterns: DataFrame, tile_bytes: int) -> _Clusters:
+    """Centres (a bounded sample, the lowest hashes) and the clusters around them."""
+    bytes_in_all = pattern_bytes(patterns)
+    centres: dict[int, np.ndarray] = {}
+    if bytes_in_all > tile_bytes:
+        widest = patterns.agg(F.max(F.size("pattern"))).first()[0]
+        most = max(1, min(CENTRES, CENTRE_BYTES // (8 * widest + 64)))
+        rows = (patterns.select("pattern", F.xxhash64("pattern_id").alias("_h")).orderBy("_h").limit(most)
+                .toPandas())
+        for size, part in rows.groupby(rows["pattern"].map(len)):
+            units = _stacked(part["pattern"])
+            units = units[units.any(axis=1)]
+            if len(units):
+                centres[int(size)] = units
+    clusters = _Clusters(centres, tile_bytes)
+
+    def measure(frames):
+        for frame in frames:
+            for size, part in frame.groupby(frame["pattern"].map(len)):
+                centre, angle = clusters.nearest(_stacked(part["pattern"]))
+                yield pd.DataFrame({"size": int(size), "centre": centre, "angle": angle}).groupby(
+                    ["size", "centre"], as_index=False).agg(n=("angle", "size"), angle=("angle", "max"))
+
+    sizes = (patterns.select("pattern").mapInPandas(measure, "size int, centre int, n bigint, angle double")
+             .groupBy("size", "centre").agg(F.sum("n").alias("n"), F.max("angle").alias("angle")))
+    # A row for each centre and each length, of which there are few.
+    clusters.found = {(r["size"], r["centre"]): (r["n"], r["angle"]) for r in sizes.collect()}
+    return clusters
+
+
+def _dealt(patterns: DataFrame, clusters: _Clusters, blocks: int, id_type: str) -> DataFrame:
+    """Every pattern in its tile, once for each block of queries."""
+    def task(frames):
+        for frame in frames:
+            for size, part in frame.groupby(frame["pattern"].map(len)):
+                centre, _ = clusters.nearest(_stacked(part["pattern"]))
+                parts = np.array([clusters.parts(int(size), int(c)) for c in centre])
+                yield pd.DataFrame({
+                    "_row": -1, "_size": int(size), "_centre": centre,
+                    "_part": part["_h"].to_numpy() % parts, "_query": False, "_own": None,
+                    "_id": part["pattern_id"], "_vec": part["pattern"]})
+
+    kinds = _TILED.format(id=id_type).replace("_block int, ", "")
+    return (patterns.withColumn("_h", F.xxhash64("pattern_id") % (1 << 40)).mapInPandas(task, kinds)
+            .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+
+
+def _asked(queries: DataFrame, clusters: _Clusters, blocks: int, id_type: str, home: bool) -> DataFrame:
+    """Every query in the tiles it has to meet; with ``home`` in one tile near it only.
+
+    ``queries`` has ``_row``, ``_own``, ``_vec`` and ``_least``, a similarity that its last
+    result will reach at least, or null.
+    """
+    def task(frames):
+        for frame in frames:
+            for size, part in frame.groupby(frame["_vec"].map(lambda v: 0 if v is None else len(v))):
+                size = int(size)
+                if not any(s == size for s, _ in clusters.found):
+                    continue
+                units = _stacked(part["_vec"])
+                if home:
+                    centre, _ = clusters.nearest(units)
+                    at, tile = np.arange(len(part)), np.array([(c, 0) for c in centre])
+                else:
+                    least = part["_least"].fillna(-2.0).to_numpy(float)
+                    pairs = [(i, c, p) for i, some in enumerate(clusters.allowed(units, least))
+                             for c in some for p in range(clusters.parts(size, c))]
+                    table = np.array(pairs, np.int64).reshape(-1, 3)
+                    at, tile = table[:, 0], table[:, 1:]
+                own = part.iloc[at]
+                yield pd.DataFrame({
+                    "_row": own["_row"].to_numpy(), "_size": size, "_centre": tile[:, 0], "_part": tile[:, 1],
+                    "_block": own["_row"].to_numpy() % blocks, "_query": True,
+                    "_own": own["_own"].to_numpy(), "_id": None, "_vec": own["_vec"].to_numpy()})
+
+    return queries.mapInPandas(task, _TILED.format(id=id_type))
+
+
+def _compared(asked: DataFrame, dealt: DataFrame, k: int, id_type: str) -> DataFrame:
+    """``(_row, pattern_id, similarity, rank)``: the best ``k`` of the tiles that a query met."""
+    tile = ["_size", "_centre", "_part", "_block"]
+
+    def best(group: pd.DataFrame) -> pd.DataFrame:
+        asks = group["_query"].to_numpy(bool)
+        q, table = group[asks], group[~asks].sort_values("_id", ignore_index=True)
+        rows, ids, sims, order = [], [], [], []
+        if len(q) and len(table):
+            names = table["_id"].to_numpy()
+            skip = q["_own"].to_numpy() if q["_own"].notna().any() else None
+            for row, found, values, ranked in top_k(_stacked(q["_vec"]), _stacked(table["_vec"]), names,
+                                                    k, skip):
+                rows += [int(q["_row"].iloc[row])] * len(found)
+                ids += names[found].tolist()
+                sims += values.tolist()
+                order += ranked.tolist()
+        return pd.DataFrame({"_row": rows, "pattern_id": ids, "similarity": sims, "_order": order})
+
+    # Tiles that no query has to meet are not compared, nor sent to where they would be.
+    needed = asked.select(*tile).distinct()
+    columns = [f.split()[0] for f in _TILED.split(", ")]
+    both = asked.select(*columns).unionByName(dealt.join(needed, tile, "left_semi").select(*columns))
+    found = both.groupBy(*tile).applyInPandas(
+        best, f"_row bigint, pattern_id {id_type}, similarity double, _order double")
+    place = F.row_number().over(Window.partitionBy("_row").orderBy(F.desc("_order"), "pattern_id"))
+    return (found.withColumn("rank", place).filter(F.col("rank") <= k)
+            .select("_row", "pattern_id", "similarity", "rank", "_order"))
+
+
+def _nearest(queries: DataFrame, patterns: DataFrame, id_type: str, k: int, tile_bytes: int) -> DataFrame:
+    """The best ``k`` patterns of equal length for every row of ``queries``.
+
+    Both sides are stored tables: ``queries`` with ``_row``, ``_own`` and ``_vec``, ``patterns``
+    with ``pattern_id`` and ``pattern``. Patterns are dealt into tiles around centres. Each
+    query first meets one tile near it, whose ``k``-th similarity is a lower bound; then all tiles
+    whose centre and radius do not put them below it. No table passes the driver whole.
     """
-    slices = max(1, -(-pattern_bytes(patterns) // max(1, slice_bytes)))
-    state = queries.withColumn("_near", F.lit(None).cast(
-        f"struct<ids: array<{id_type}>, sims: array<double>>"))
-    left_over = None
-    for i in range(slices):
-        part = patterns.filter(F.pmod(F.xxhash64("pattern_id"), F.lit(slices)) == i)
-        state = _with_slice(state, part.toPandas(), id_type, query_vector, k, exclude)
-        if i + 1 < slices:
-            state, path = materialize(state, "nearest")
-            if left_over:
-                delete_path(queries.sparkSession, left_over)
-            left_over = path
-    return state
-
-
-def _with_slice(state: DataFrame, rows: pd.DataFrame, id_type: str, query_vector: str, k: int,
-                exclude: str | None) -> DataFrame:
-    """``state`` with ``_near`` brought up to date by some of the patterns."""
-    rows = rows.sort_values("pattern_id", ignore_index=True)
-    lengths = rows["pattern"].map(len)
-    tables = {int(n): (part["pattern_id"].to_numpy(),
-                       unit_rows(np.stack(part["pattern"].to_list()).astype(float)))
-              for n, part in rows.groupby(lengths) if n > 0}
-    shared = state.sparkSession.sparkContext.broadcast(tables)
-
-    @F.pandas_udf(f"ids array<{id_type}>, sims array<double>")
-    def nearest(vectors: pd.Series, own: pd.Series, ids: pd.Series, sims: pd.Series
-                ) -> pd.DataFrame:
-        ids = [[] if v is None else list(v) for v in ids]
-        sims = [[] if v is None else list(v) for v in sims]
-        sizes = vectors.map(lambda v: 0 if v is None else len(v)).to_numpy()
-        for size in np.unique(sizes):
-            if int(size) not in shared.value:
-                continue
-            names, table = shared.value[int(size)]
-            at = np.flatnonzero(sizes == size)
-            q = unit_rows(np.stack(vectors.iloc[at].to_list()).astype(float))
-            skip = own.iloc[at].to_numpy() if exclude else None
-            for row, found, values, _ in top_k(q, table, names, k, skip):
-                ids[at[row]] += names[found].tolist()
-                sims[at[row]] += values.tolist()
-        for i, (names, values) in enumerate(zip(ids, sims)):
-            best = sorted(zip(-np.round(values, DIGITS) + 0.0, names, values))[:k]
-            ids[i], sims[i] = [b[1] for b in best], [b[2] for b in best]
-        return pd.DataFrame({"ids": ids, "sims": sims})
-
-    own = F.col(exclude) if exclude else F.lit(None).cast(id_type)
-    return state.withColumn("_near", nearest(F.col(query_vector), own, F.col("_near.ids"),
-                                             F.col("_near.sims")))
+    patterns = patterns.filter(F.size("pattern") > 0)
+    clusters = _clusters(patterns, tile_bytes)
+    count, size = queries.agg(F.count("*"), F.sum(F.size("_vec").cast("bigint") * 8 + 64)).first()
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-(size or 0) // tile_bytes), min(cores, count // _BLOCK_ROWS))
+    dealt = _dealt(patterns, clusters, blocks, id_type)
+    least = F.lit(None).cast("double")
+    if clusters.centres:
+        first = _compared(_asked(queries.withColumn("_least", least), clusters, blocks, id_type, True),
+                          dealt, k, id_type)
+        bound = first.filter(F.col("rank") == k).select("_row", F.col("_order").alias("_least"))
+        queries = queries.join(bound, "_row", "left")
+    else:
+        queries = queries.withColumn("_least", least)
+    asked = _asked(queries, clusters, blocks, id_type, False)
+    return _compared(asked, dealt, k, id_type).drop("_order")
 
 
 def pattern_bytes(patterns: DataFrame, vector_col: str = "pattern") -> int:
@@ -169,22 +299,20 @@ def knn_topk(queries: DataFrame, patterns: DataFrame, k: int = PATTERN_NEIGHBOUR
 
     Returns ``query_id, pattern_id, similarity, rank``; equal similarities (to nine
     decimals) go to the smaller pattern id. Every row of ``queries`` is answered for itself,
-    also if its id is repeated. Tasks hold ``slice_bytes`` of patterns at a time. ``stored``
-    says that the patterns are read from a table, and need not be written to one first.
+    also if its id is repeated. Tasks hold ``slice_bytes`` of patterns and of queries at a time.
+    ``stored`` says that the patterns are read from a table, and need not be written to one first.
     """
     table = patterns.select(F.col(pattern_id).alias("pattern_id"),
                             F.col(pattern_vector).cast("array<double>").alias("pattern"))
-    asked = queries.select(F.col(query_id).alias("query_id"),
-                           F.col(query_vector).cast("array<double>").alias("vector"))
     id_type = table.schema["pattern_id"].dataType.simpleString()
-    # Measured and then read: written once, so that neither recomputes where they come from.
-    with scratch_table(table, "patterns", stored) as held:
-        near = _with_top_k(asked, held, id_type, "vector", k,
-                           "query_id" if exclude_self else None, slice_bytes)
-    return near.select("query_id", F.posexplode(F.arrays_zip("_near.ids", "_near.sims"))
-                       ).select("query_id", F.col("col.ids").alias("pattern_id"),
-                                F.col("col.sims").alias("similarity"),
-                                (F.col("pos") + 1).alias("rank"))
+    asked = materialize(queries.select(
+        F.monotonically_increasing_id().alias("_row"), F.col(query_id).alias("query_id"),
+        F.col(query_vector).cast("array<double>").alias("_vec")), "queries")[0]
+    held = table if stored else materialize(table, "patterns")[0]
+    own = F.col("query_id").cast(id_type) if exclude_self else F.lit(None).cast(id_type)
+    near = _nearest(asked.select("_row", own.alias("_own"), "_vec"), held, id_type, k, slice_bytes)
+    return near.join(asked.select("_row", "query_id"), "_row").select(
+        "query_id", "pattern_id", "similarity", "rank")
 
 
 def failure_similarity(queries: DataFrame, patterns: DataFrame,
@@ -193,15 +321,18 @@ def failure_similarity(queries: DataFrame, patterns: DataFrame,
     """Add ``similarity`` to the nearest failure pattern, ``pattern_id`` and ``is_risk``.
 
     A query without a pattern of its length has similarity 0 and no risk. Queries
-    need no key; tasks hold ``slice_bytes`` of patterns at a time.
+    need no key; tasks hold ``slice_bytes`` of patterns and of queries at a time.
     """
     table = patterns.select("pattern_id",
                             F.col("pattern").cast("array<double>").alias("pattern"))
     id_type = table.schema["pattern_id"].dataType.simpleString()
-    with scratch_table(table, "patterns", stored) as held:
-        found = _with_top_k(queries, held, id_type, query_vector, 1, None, slice_bytes)
-    found = (found.withColumn("pattern_id", F.get("_near.ids", F.lit(0)))
-             .withColumn("similarity", F.get("_near.sims", F.lit(0))).drop("_near"))
+    asked = materialize(queries.withColumn("_row", F.monotonically_increasing_id()), "queries")[0]
+    held = table if stored else materialize(table, "patterns")[0]
+    near = _nearest(asked.select("_row", F.lit(None).cast(id_type).alias("_own"),
+                                 F.col(query_vector).cast("array<double>").alias("_vec")),
+                    held, id_type, 1, slice_bytes)
+    found = (asked.drop("pattern_id", "similarity")
+             .join(near.select("_row", "pattern_id", "similarity"), "_row", "left").drop("_row"))
     similarity = F.coalesce("similarity", F.lit(0.0))
     return (found.withColumn("similarity", similarity)
             .withColumn("is_risk", F.col("pattern_id").isNotNull()

@@ -1,6 +1,6 @@
 """Log rows to one row of numeric features per source and time window.
 
-The plan reads and parses the logs once. Every row is expanded into the row itself, its
+The logs are read and parsed once. Every row is expanded into the row itself, its
 client and its path; a first aggregation counts per (source, window, client or path) with
 map-side combine, so neither a source nor a window that holds much of the data ends up in
 one task, and a second one reduces those counts to one row per window.
@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import CHANGE_COLUMNS, FEATURE_COLUMNS, FEATURE_INPUT_LOGS, WINDOW_SECONDS
-from ..session import collect_bounded
+from ..session import collect_bounded, materialize
 from .history import top_recent
 
 MICROS = 1_000_000
@@ -194,13 +194,24 @@ def change_rates(features: DataFrame, order: str = "window_id",
     return linked.select("*", *rates).drop("_prev")
 
 
+def window_inputs(logs: DataFrame, *others: str) -> DataFrame:
+    """The columns of ``logs`` that windows are made of, and ``others``."""
+    time = "response_time" if "response_time" in logs.columns else "body_bytes_sent"
+    wanted = ("source", "timestamp", "ip", "status_code", time, "url_path", "method", *others)
+    return logs.select(*[c for c in wanted if c in logs.columns])
+
+
 def window_features(logs: DataFrame, window_seconds: int = WINDOW_SECONDS,
                     rps_seconds: int = WINDOW_SECONDS, align: str = "first_event",
                     anchor: DataFrame | None = None, fill_gaps: bool = False,
                     max_logs: int | None = None,
-                    extra_aggs: Mapping[str, Column] | None = None) -> DataFrame:
-    """Features of every non-empty window of every source.
+                    extra_aggs: Mapping[str, Column] | None = None,
+                    stored: bool = False) -> DataFrame:
+    """Features of every non-empty window of every source, in one pass over ``logs``.
 
+    Where windows start with the first event of a source, that must be known first: the few
+    columns that are needed are written once, and anchors and windows both start from them.
+    ``stored`` says that ``logs`` is read from a table anyway, and need not be written to one.
     ``rps_seconds`` divides the request count and is independent of the window width.
     ``max_logs`` first cuts the input to the latest rows (off by default);
     ``fill_gaps`` adds zero rows for the empty windows in between.
@@ -211,6 +222,8 @@ def window_features(logs: DataFrame, window_seconds: int = WINDOW_SECONDS,
         logs = logs.withColumn("source", F.lit("all"))
     if max_logs is not None:
         logs = recent_input(logs, max_logs)
+    if align == "first_event" and anchor is None and not stored:
+        logs = materialize(logs if extra_aggs else window_inputs(logs), "window-input")[0]
     rows = assign_windows(logs, window_seconds, align, anchor)
     counts = window_counts(rows, ["source", "window_id", "window_start"], extra_aggs)
     extras = tuple(extra_aggs or ())

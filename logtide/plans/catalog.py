@@ -931,7 +931,7 @@ def _(spark, sf):
 
 @query("knn_topk_pivots", KNN)
 def _(spark, sf):
-    """The same where patterns are too many to hold: in several slices."""
+    """The same where patterns are too many to hold: in tiles around centres (the pivots)."""
     return _knn(spark, sf, slice_bytes=100_000)
 
 
@@ -1025,8 +1025,10 @@ def _(spark, sf):
        "AS window_count, (SELECT round(count(*) FILTER (status_code >= 500) / count(*) * 100, 6) "
        "FROM " + LAST_LOGS.format(100) + ") AS error_rate")
 def _(spark, sf):
-    features = stored_features(spark, sf)
-    return R.dashboard_metrics(L.parsed(spark, sf), features, alerts(spark, sf, features))
+    """The log is parsed once, and everything else starts from the columns that were kept."""
+    parsed = materialize(W.window_inputs(L.parsed(spark, sf), "log_id", "parse_ok"), "dashboard")[0]
+    features = materialize(W.window_features(P.parsed_only(parsed), L.HOUR, stored=True), "features")[0]
+    return R.dashboard_metrics(parsed, features, alerts(spark, sf, features))
 
 
 @query("status_summary",

@@ -124,3 +124,40 @@ def test_vector_order_is_fixed(spark, features):
         "source", "window_id", "features")
     assert a.exceptAll(b).count() == 0
     assert a.filter(F.exists("features", lambda x: x.isNull())).count() == 0
+
+
+def test_tiles_are_skipped_exactly(spark, monkeypatch):
+    """Bundles of directions: most tiles are out of reach, and the answer is that of all pairs."""
+    rng = np.random.default_rng(6)
+    middle = rng.normal(size=(12, 6))
+    rows = [(i, (middle[i % 12] + 0.02 * rng.normal(size=6)).tolist()) for i in range(600)]
+    rows += [(600 + i, [0.0] * 6) for i in range(4)] + [(700, [1.0, 2.0]), (701, [2.0, 1.0]), (702, []), (703, None)]
+    p = spark.createDataFrame(rows, "pattern_id bigint, pattern array<double>")
+    usable = {i: np.array(v) for i, v in rows if v}
+    asked = [(i, v) for i, v in rows if i % 7 == 0 or i >= 600]
+    q = spark.createDataFrame(asked, "query_id bigint, vector array<double>")
+
+    def unit(v):
+        return v / np.linalg.norm(v) if v.any() else v
+
+    expected = []
+    for i, v in asked:
+        found = sorted((-round(float(unit(np.array(v)) @ unit(x)), 9) + 0.0, j) for j, x in usable.items()
+                       if v and len(x) == len(v) and j != i)[:5]
+        expected += [(i, n + 1, j) for n, (_, j) in enumerate(found)]
+    for size in (1 << 20, 4_000):
+        got = K.knn_topk(q, p, 5, exclude_self=True, slice_bytes=size)
+        assert sorted((r.query_id, r["rank"], r.pattern_id) for r in got.collect()) == sorted(expected)
+    held = p.filter("size(pattern) > 0")
+    clusters = K._clusters(held, 4_000)
+    tiles = sum(clusters.parts(*key) for key in clusters.found if key[0] == 6)
+    near = q.select(F.col("query_id").alias("_row"), F.lit(None).cast("bigint").alias("_own"),
+                    F.col("vector").alias("_vec"), F.lit(0.9).alias("_least")).filter("_row < 600")
+    met = K._asked(near, clusters, 1, "bigint", False).count()
+    assert tiles >= 10 and met < 0.7 * near.count() * tiles
+
+
+def test_nothing_is_taken_to_the_driver_whole():
+    import inspect
+    source = inspect.getsource(K)
+    assert source.count("toPandas") == 1 and "limit(most)" in source and "broadcast" not in source.split("_nearest")[1]

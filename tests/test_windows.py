@@ -251,3 +251,20 @@ def test_quantile_with_nan_and_infinities(spark, direct):
         assert exact_quantile(frame, "v", rank / 6, direct_rows=direct) == expected
     assert exact_quantile(frame, "v", 2.5 / 6, direct_rows=direct) == pytest.approx(1.5)
     assert exact_quantile(frame.filter("isnan(v)"), "v", 0.5, direct_rows=direct) is None
+
+
+def test_logs_are_read_once(spark, logs):
+    """Anchors and windows start from columns that were written in one pass."""
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    counted = logs.mapInArrow(passed, logs.schema)
+    features = W.window_features(counted, 3600).toPandas()
+    assert read.value == logs.count()
+    assert int(features["total_requests"].sum()) == read.value
+    W.window_features(counted, 3600, align="epoch").toPandas()
+    assert read.value == 2 * logs.count()
