@@ -18,24 +18,13 @@ from ..operators.models import Model, score_batch
 from ..operators.similarity import with_vector
 from ..operators.windows import change_rates
 from ..sinks.outbox import alert_outbox
+from .late import LateWindows
+from .tables import batch_path, write_batch
 from .windows import closed_windows
 
 _STATE_COLUMNS = ("source", "window_id", "timestamp", *CHANGE_COLUMNS)
 
 
-def _batch_path(out: str, table: str, batch_id: int) -> str:
-    return f"{out}/{table}/batch_id={batch_id}"
-
-
-def _write(df: DataFrame, out: str, table: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(_batch_path(out, table, batch_id))
-
-
-def read_batches(spark: SparkSession, out: str, table: str) -> DataFrame:
-    """A table written by the pipeline, over all micro-batches."""
-    return spark.read.option("basePath", f"{out}/{table}").parquet(f"{out}/{table}")
-
-
 def _state_before(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
     """Last window of every source as of the batch before this one.
 
@@ -45,7 +34,7 @@ def _state_before(spark: SparkSession, out: str, batch_id: int) -> DataFrame | N
     if batch_id == 0:
         return None
     try:
-        return spark.read.parquet(_batch_path(out, "last_windows", batch_id - 1))
+        return spark.read.parquet(batch_path(out, "last_windows", batch_id - 1))
     except AnalysisException as error:
         raise RuntimeError(f"the state of batch {batch_id - 1} is missing in {out}") from error
 
@@ -64,48 +53,60 @@ def start_pipeline(logs: DataFrame, out: str, checkpoint: str,
                    rps_seconds: int = WINDOW_SECONDS, model: Model | None = None,
                    thresholds: Mapping[str, float] | None = None, channels=(),
                    trigger: Mapping | None = None,
-                   callbacks: tuple[Callable[[DataFrame, int], None], ...] = ()
-                   ) -> StreamingQuery:
+                   callbacks: tuple[Callable[[DataFrame, int], None], ...] = (),
+                   late: str = "drop") -> StreamingQuery:
     """Start the query that turns parsed log rows into stored features, scores and alerts.
 
     ``logs`` is a stream of parsed rows. With a ``model`` every closed window is scored;
     alerts are raised once per window. ``callbacks`` get the features of each micro-batch.
     ``trigger`` is passed to Spark, e.g. ``{'processingTime': '10 seconds'}``.
+
+    Rows later than the watermark are dropped and counted by default. With ``late='correct'``
+    they are merged into their windows, which are published again: ``late.newest`` of a
+    table has the last version of each window, ``late.current_rows`` the alerts that still hold.
     """
-    windows = closed_windows(logs, window_seconds, watermark, rps_seconds)
+    if late not in ("drop", "correct"):
+        raise ValueError(f"late must be 'drop' or 'correct', not {late!r}")
     limits = dict(thresholds or {})
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = _state_before(spark, out, batch_id)
-        features = with_change_rates(batch, before)
-        features = features.select("source", "window_id", "timestamp",
-                                   *[c for c in FEATURE_COLUMNS if c in features.columns])
-        # Written first and read back: everything below starts from the stored rows.
-        _write(features, out, "features", batch_id)
-        features = spark.read.schema(features.schema).parquet(
-            _batch_path(out, "features", batch_id))
-        state = features.select(*_STATE_COLUMNS)
-        if before is not None:
-            state = state.unionByName(before)
-        _write(latest_window(state, "window_id"), out, "last_windows", batch_id)
+    def stored(df: DataFrame, table: str, batch_id: int) -> DataFrame:
+        # Written first and read back: everything after it starts from the stored rows.
+        write_batch(df, out, table, batch_id)
+        return df.sparkSession.read.schema(df.schema).parquet(batch_path(out, table, batch_id))
+
+    def publish(features: DataFrame, batch_id: int) -> DataFrame:
+        """Store features and all that follows from them."""
+        features = stored(features.select("source", "window_id", "timestamp", *[
+            c for c in FEATURE_COLUMNS if c in features.columns]), "features", batch_id)
         scored = features
         if model is not None:
-            scored = score_batch(with_vector(features), model).drop("features")
-            _write(scored.select("source", "window_id", "timestamp", "anomaly_score",
-                                 "is_anomaly", "model_type"), out, "anomaly_results", batch_id)
-            scored = features.join(
-                spark.read.parquet(_batch_path(out, "anomaly_results", batch_id))
-                .select("source", "window_id", "anomaly_score", "is_anomaly"),
-                ["source", "window_id"], "left")
-        alerts = alerts_every_window(scored, **limits)
-        _write(alerts, out, "alerts", batch_id)
+            scores = score_batch(with_vector(features), model).drop("features").select(
+                "source", "window_id", "timestamp", "anomaly_score", "is_anomaly", "model_type")
+            scores = stored(scores, "anomaly_results", batch_id)
+            scored = features.join(scores.select("source", "window_id", "anomaly_score", "is_anomaly"),
+                                   ["source", "window_id"], "left")
+        alerts = stored(alerts_every_window(scored, **limits), "alerts", batch_id)
         if channels:
-            _write(alert_outbox(spark.read.schema(alerts.schema).parquet(
-                _batch_path(out, "alerts", batch_id)), channels), out, "outbox", batch_id)
+            write_batch(alert_outbox(alerts, channels), out, "outbox", batch_id)
         for callback in callbacks:
             callback(features, batch_id)
+        return features
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        before = _state_before(batch.sparkSession, out, batch_id)
+        features = publish(with_change_rates(batch, before), batch_id)
+        state = features.select(*_STATE_COLUMNS)
+        if before is not None:
+            state = state.unionByName(before)
+        write_batch(latest_window(state, "window_id"), out, "last_windows", batch_id)
+
+    corrected = LateWindows(out, window_seconds, watermark, rps_seconds)
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        due = stored(corrected.take(batch, batch_id), "due", batch_id)
+        publish(corrected.with_change_rates(due, batch_id), batch_id)
 
-    writer = (windows.writeStream.outputMode("append").foreachBatch(handle)
+    rows = logs if late == "correct" else closed_windows(logs, window_seconds, watermark, rps_seconds)
+    writer = (rows.writeStream.outputMode("append").foreachBatch(merge if late == "correct" else handle)
               .option("checkpointLocation", checkpoint))
     return writer.trigger(**(trigger or {"availableNow": True})).start()

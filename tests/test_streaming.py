@@ -10,7 +10,9 @@ from logtide.operators.similarity import with_vector
 from logtide.operators.windows import window_features
 from logtide.plans import access_log
 from logtide.sources import read_log_stream
-from logtide.streaming import closed_windows, observe_parse_stats, read_batches, start_pipeline
+from logtide.streaming import (
+    closed_windows, current_rows, newest, observe_parse_stats, read_batches, start_pipeline,
+)
 
 from samples import SF
 
@@ -123,9 +125,9 @@ def test_parse_stats_of_stream(spark, folder, tmp_path):
 
 
 def test_rerun_of_a_batch_replaces_it(spark, batch, tmp_path):
-    from logtide.streaming import pipeline
+    from logtide.streaming.tables import write_batch
     for _ in range(2):
-        pipeline._write(batch.limit(5), str(tmp_path), "features", 0)
+        write_batch(batch.limit(5), str(tmp_path), "features", 0)
     assert read_batches(spark, str(tmp_path), "features").count() == 5
 
 
@@ -139,3 +141,39 @@ def test_lost_state_is_an_error(spark, tmp_path):
     assert _state_before(spark, str(tmp_path), 0) is None
     with pytest.raises(RuntimeError, match="batch 4"):
         _state_before(spark, str(tmp_path), 5)
+
+
+@pytest.mark.parametrize("order", [(3, 0, 2, 1), (1, 0, 3, 2)])
+def test_late_rows_correct_their_windows(spark, folder, batch, logs, tmp_path, order):
+    """The log in an order in which most rows are late: the newest versions equal the batch."""
+    incoming, out, check = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "check")
+    incoming.mkdir()
+    lines = {i: open(f"{folder}/{i}.log").read().splitlines(True) for i in range(4)}
+    for n, i in enumerate(order):
+        # every file also has some lines of the next, so that windows are cut in two
+        mine = [x for j, x in enumerate(lines[i]) if j % 5] + [
+            x for j, x in enumerate(lines[order[n - 1]]) if j % 5 == 0]
+        (incoming / f"{n}.log").write_text("".join(mine))
+        os.utime(incoming / f"{n}.log", (1_700_000_000 + n, 1_700_000_000 + n))
+        start_pipeline(stream(spark, str(incoming)), out, check, 3600, "1 hour", late="correct",
+                       thresholds={"response_time": 60.0}, channels=("webhook",)).awaitTermination()
+    versions = read_batches(spark, out, "features")
+    got, expected = newest(versions), closed(batch, logs).cache()
+    assert versions.count() > got.count() == expected.count()
+    assert rounded(got).exceptAll(rounded(expected)).count() == 0
+    alerts = current_rows(read_batches(spark, out, "alerts"), versions)
+    assert alerts.filter("alert_type = 'error_rate'").count() == expected.filter("error_rate_5xx > 5").count()
+    assert alerts.groupBy("source", "window_id", "alert_type").count().filter("count > 1").count() == 0
+
+
+def test_repeated_batch_of_late_rows_counts_once(spark, logs, tmp_path):
+    from logtide.streaming.late import LateWindows
+    windows = LateWindows(str(tmp_path), 3600, "0 seconds")
+    one = logs.withColumn("source", F.lit("all"))
+    first = windows.take(one, 0).agg(F.sum("total_requests")).first()[0]
+    assert windows.take(one, 0).agg(F.sum("total_requests")).first()[0] == first > 0
+    assert windows.take(one.limit(0), 1).count() == 0
+    twice = windows.take(one, 2).agg(F.sum("total_requests")).first()[0]
+    assert twice == 2 * first
+    with pytest.raises(RuntimeError, match="batch 4"):
+        windows.take(one, 5)
