@@ -1,7 +1,7 @@
 """Isolation Forest (Liu, Ting, Zhou 2008): sampled, built and scored as Spark jobs.
 
 Each tree sees at most ``max_samples`` rows, drawn by hashing the row key, so the sample
-is the same however the data is partitioned. Trees are built one per group and come back
+is the same however the data is partitioned. Trees are built a few per group and come back
 as a node table whose size depends on the number of trees only.
 """
 
@@ -12,18 +12,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import FOREST_CONTAMINATION, FOREST_SUBSAMPLE, FOREST_TREES, MODEL_SEED
 from ..session import scratch_table
 from ..functions.vectors import of_width
-from .quantiles import exact_quantile
+from .quantiles import DIRECT_ROWS, exact_quantile
 
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
                "path_length double, size int")
 _HASH_RANGE = 1 << 40
 # Rows drawn per tree before the exact cut to ``max_samples``.
 _OVERSAMPLE = 2
+# Trees whose samples meet in one task.
+_TREES_TOGETHER = 10
 
 
 @dataclass
@@ -44,23 +46,38 @@ def average_path(n):
         n == 2, 1.0, 2 * (np.log(big - 1) + np.euler_gamma) - 2 * (big - 1) / big))
 
 
-def tree_samples(df: DataFrame, key_cols: Sequence[str], n: int, n_trees: int,
-                 sample_size: int, seed: int) -> DataFrame:
-    """``(tree, rank, ...)``: ``sample_size`` rows of ``df`` for each tree.
+def _drawn(df: DataFrame, key_cols: Sequence[str], n: int, n_trees: int, sample_size: int,
+           seed: int) -> DataFrame:
+    """Rows that may be in the sample of a tree: a few more than it needs, once for each ``tree``.
 
-    Every tree draws for itself, whatever the number of rows. Only keys are drawn from; the
-    chosen rows, at most ``sample_size`` per tree, are then looked up.
+    Every tree draws for itself, whatever the number of rows, by the hash of the keys. Rows are
+    dealt to trees and filtered within one generated stage, so little is shuffled.
     """
     wanted = _OVERSAMPLE * sample_size
     trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))
     draw = F.pmod(F.xxhash64(*key_cols, F.lit(seed), F.col("tree")), F.lit(_HASH_RANGE))
-    drawn = df.select(*key_cols).withColumn("tree", trees).withColumn("_draw", draw)
+    drawn = df.withColumn("tree", trees).withColumn("_draw", draw)
     if n > wanted:
         drawn = drawn.filter(F.col("_draw") < _HASH_RANGE * wanted // n)
-    order = Window.partitionBy("tree").orderBy("_draw", *key_cols)
-    chosen = (drawn.withColumn("rank", F.row_number().over(order))
-              .filter(F.col("rank") <= sample_size).drop("_draw"))
-    return df.join(F.broadcast(chosen), list(key_cols))
+    return drawn.withColumn("_group", F.expr(f"tree div {_TREES_TOGETHER}"))
+
+
+def _cut(group: pd.DataFrame, key_cols: Sequence[str], sample_size: int) -> pd.DataFrame:
+    """The exact samples of the trees of a group, with the ``rank`` of each row."""
+    ordered = group.sort_values(["tree", "_draw", *key_cols], ignore_index=True)
+    ordered["rank"] = ordered.groupby("tree").cumcount() + 1
+    return ordered[ordered["rank"] <= sample_size]
+
+
+def tree_samples(df: DataFrame, key_cols: Sequence[str], n: int, n_trees: int,
+                 sample_size: int, seed: int) -> DataFrame:
+    """``(tree, rank, ...)``: ``sample_size`` rows of ``df`` for each tree."""
+    drawn = _drawn(df, key_cols, n, n_trees, sample_size, seed)
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    names = ["tree", "rank", *df.columns]
+    return drawn.groupBy("_group").applyInPandas(
+        lambda group: _cut(group, key_cols, sample_size)[names],
+        f"tree int, rank int, {columns}")
 
 
 def grow_tree(rows: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple]:
@@ -100,33 +117,34 @@ def iforest_fit(df: DataFrame, key_cols: Sequence[str], vector_col: str = "featu
     ``stored`` says that it already is a table.
     """
     with scratch_table(df.select(*key_cols, vector_col), "forest-input", stored) as rows:
-        n = rows.count()
+        rows = rows.select(*key_cols, vector_col)
+        n, width = rows.agg(F.count(F.lit(1)), F.max(F.size(vector_col))).first()
         if n == 0:
             raise ValueError("no rows to train on")
         sample_size = min(max_samples, n)
         max_depth = int(np.ceil(np.log2(max(sample_size, 2))))
+        columns = [part.split()[0] for part in NODE_SCHEMA.split(", ")]
 
         def build(group: pd.DataFrame) -> pd.DataFrame:
-            tree = int(group["tree"].iloc[0])
-            ordered = group.sort_values("rank")[vector_col]
-            nodes = grow_tree(np.stack(ordered.to_list()).astype(float),
-                              np.random.default_rng([seed, tree]), max_depth)
-            out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left",
-                                               "right", "path_length", "size"])
-            out.insert(0, "tree", tree)
-            return out
-
-        samples = tree_samples(rows, key_cols, n, n_estimators, sample_size, seed)
-        nodes = (samples.select("tree", "rank", vector_col).groupBy("tree")
-                 .applyInPandas(build, NODE_SCHEMA).toPandas()
+            nodes = []
+            for tree, sample in _cut(group, key_cols, sample_size).groupby("tree"):
+                grown = grow_tree(np.stack(sample[vector_col].to_list()).astype(float),
+                                  np.random.default_rng([seed, int(tree)]), max_depth)
+                nodes += [(int(tree), *node) for node in grown]
+            return pd.DataFrame(nodes, columns=columns)
+
+        drawn = _drawn(rows, key_cols, n, n_estimators, sample_size, seed)
+        nodes = (drawn.groupBy("_group").applyInPandas(build, NODE_SCHEMA).toPandas()
                  .sort_values(["tree", "node"], ignore_index=True))
         model = IsolationForestModel(nodes, sample_size, 0.0, {
             "n_estimators": n_estimators, "contamination": contamination, "seed": seed,
-            "max_samples": max_samples},
-            rows.select(F.max(F.size(vector_col)).alias("w")).first()["w"])
-        with scratch_table(rows.select(_raw_score(rows, model, vector_col).alias("s")),
-                           "forest-scores") as scores:
-            model.offset = forest_threshold(scores, "s", contamination)
+            "max_samples": max_samples}, width)
+        scores = rows.select(_raw_score(rows, model, vector_col).alias("s"))
+        if n <= DIRECT_ROWS:  # one pass, so nothing need be kept
+            model.offset = exact_quantile(scores, "s", contamination, at_most=n)
+        else:
+            with scratch_table(scores, "forest-scores") as held:
+                model.offset = forest_threshold(held, "s", contamination)
     return model
 
 

@@ -14,9 +14,11 @@ LAST_BUCKET = 50_000
 
 
 def exact_quantile(df: DataFrame, column: str, q: float,
-                   direct_rows: int = DIRECT_ROWS) -> float | None:
+                   direct_rows: int = DIRECT_ROWS, at_most: int | None = None) -> float | None:
     """Quantile with linear interpolation between neighbours; nulls and NaN are left out.
 
+    ``at_most`` is a known bound of the number of rows; a small input then takes one pass.
+
     Infinite values take part in the order; between two different ones the lower is returned.
 
     Large inputs are narrowed down by counting into equal buckets between the current
@@ -25,16 +27,18 @@ def exact_quantile(df: DataFrame, column: str, q: float,
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null and not isnan(v)")
     infinite = F.abs("v") == float("inf")
+    direct = at_most is not None and at_most <= direct_rows
     total = values.agg(
+        F.percentile("v", F.lit(q)).alias("p") if direct else F.lit(None).cast("double").alias("p"),
         F.count("v").alias("n"), F.count_if(infinite & (F.col("v") < 0)).alias("under"),
         F.count_if(infinite & (F.col("v") > 0)).alias("over"),
         F.min(F.when(~infinite, F.col("v"))).alias("lo"),
         F.max(F.when(~infinite, F.col("v"))).alias("hi")).first()
-    n, under, over, lo, hi = total
+    found, n, under, over, lo, hi = total
     if n == 0:
         return None
     if n <= direct_rows and not under and not over:
-        return values.agg(F.percentile("v", F.lit(q)).alias("p")).first()["p"]
+        return found if direct else values.agg(F.percentile("v", F.lit(q)).alias("p")).first()["p"]
     position = q * (n - 1)
     rank = math.floor(position)
     if rank < under:

@@ -682,7 +682,7 @@ def tree_rows(nodes):
 @query("iforest_fit", TREE_ROWS)
 def _(spark, sf):
     """Rows in the leaves of each tree of a forest over all windows."""
-    model = IF.iforest_fit(vectors(spark, sf), KEYS)
+    model = IF.iforest_fit(vectors(spark, sf), KEYS, stored=True)
     return tree_rows(spark.createDataFrame(model.nodes, IF.NODE_SCHEMA))
 
 
