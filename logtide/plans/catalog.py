@@ -497,6 +497,16 @@ def _(spark, sf):
     return P.dead_letter(L.parsed(spark, sf))
 
 
+@query("dead_letter_table",
+       "SELECT source, raw_line, substr(raw_line, 1, 100) AS line_start FROM parsed WHERE NOT ok")
+def _(spark, sf):
+    """The rejects table, written and scanned."""
+    path = scratch_path(spark, "rejects")
+    sinks.write_rejects(L.parsed(spark, sf), path, ingested=AS_OF)
+    return sources.scan_rejects(stored(spark, path), AS_OF, AS_OF, 1_000_000).select(
+        "source", "raw_line", "line_start")
+
+
 # --- projections ------------------------------------------------------------------
 
 @query("numeric_feature_vector",
@@ -1258,3 +1268,25 @@ def _(spark, sf):
             spark, path, source=folder_source(), on_bad_time="reject"))
         start_pipeline(stream, out, check, L.HOUR, WATERMARK, late="correct").awaitTermination()
     return _doubles(newest(read_batches(spark, out, "features")).drop("batch_id"))
+
+
+STREAM_TABLE = ("rps", "error_rate_5xx", "avg_response_time", "max_response_time", "unique_ips")
+
+
+@query("stream_tables",
+       f"SELECT source, timestamp, {rounded(STREAM_TABLE)} FROM closed WHERE {RANGE} "
+       "ORDER BY timestamp DESC, source DESC LIMIT 1000", **EPOCH_BLOCKS)
+def _(spark, sf):
+    """Features that a stream appended in two runs, the first of them compacted, as scanned."""
+    path, tables = scratch_path(spark, "tables-log"), scratch_path(spark, "tables")
+    out, check = scratch_path(spark, "tables-out"), scratch_path(spark, "tables-check")
+    lines = L.lines(spark, sf)
+    half = lines.agg(F.expr("(min(log_id) + max(log_id)) div 2").alias("half")).first()["half"]
+    for some in (lines.filter(F.col("log_id") <= half), lines.filter(F.col("log_id") > half)):
+        some.select("source", "value").write.mode("append").partitionBy("source").text(path)
+        stream = P.parsed_only(sources.read_log_stream(
+            spark, path, source=folder_source(), on_bad_time="reject"))
+        sinks.compact(spark, f"{tables}/features")
+        start_pipeline(stream, out, check, L.HOUR, WATERMARK, tables=tables).awaitTermination()
+    found = sources.scan_features(sinks.streamed_table(spark, f"{tables}/features"), START, END)
+    return found.select("source", "timestamp", *[F.col(c).cast("double").alias(c) for c in STREAM_TABLE])

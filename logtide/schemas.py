@@ -79,3 +79,12 @@ ALERTS_TABLE = _schema(
     ("created_at", T.TimestampType()),
     ("event_date", T.DateType()),
 )
+
+REJECTS_TABLE = _schema(
+    ("source", T.StringType()),
+    ("timestamp", T.TimestampType()),
+    ("raw_line", T.StringType()),
+    ("line_start", T.StringType()),
+    ("created_at", T.TimestampType()),
+    ("event_date", T.DateType()),
+)

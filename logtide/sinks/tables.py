@@ -1,12 +1,15 @@
-"""The four stored tables: Parquet, one partition per day."""
+"""The stored tables: Parquet, one partition per day."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import ALERT_DEFAULTS
+from ..operators.parse import dead_letter
+from ..schemas import (
+    ALERTS_TABLE, ANOMALY_RESULTS_TABLE, FEATURES_TABLE, LOGS_TABLE, REJECTS_TABLE,
+)
 from ..sources.tables import utc_date
-from ..schemas import ALERTS_TABLE, ANOMALY_RESULTS_TABLE, FEATURES_TABLE, LOGS_TABLE
 
 
 def write_table(df: DataFrame, path: str, mode: str = "append", balanced: bool = True) -> None:
@@ -75,6 +78,12 @@ def alerts_table(alerts: DataFrame, as_of=None) -> DataFrame:
     return _conform(filled, ALERTS_TABLE)
 
 
+def rejects_table(parsed: DataFrame, ingested=None) -> DataFrame:
+    """Lines that did not parse, whole, under the time at which they came in (default: now)."""
+    now = F.current_timestamp() if ingested is None else F.lit(ingested).cast("timestamp")
+    return _conform(dead_letter(parsed).withColumn("timestamp", now), REJECTS_TABLE)
+
+
 def write_logs(logs: DataFrame, path: str, **options) -> None:
     write_table(logs_table(logs), path, **options)
 
@@ -89,3 +98,8 @@ def write_anomaly_results(results: DataFrame, path: str, **options) -> None:
 
 def write_alerts(alerts: DataFrame, path: str, as_of=None, **options) -> None:
     write_table(alerts_table(alerts, as_of), path, **options)
+
+
+def write_rejects(parsed: DataFrame, path: str, ingested=None, **options) -> None:
+    """Write the rejected lines of ``parsed``; its good ones are left out."""
+    write_table(rejects_table(parsed, ingested), path, **options)

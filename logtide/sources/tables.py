@@ -52,6 +52,10 @@ def scan_alerts(alerts: DataFrame, start=None, end=None, limit: int = ALERT_SCAN
     return top_recent(time_range(alerts, start, end), limit)
 
 
+def scan_rejects(rejects: DataFrame, start=None, end=None, limit: int = SCAN_LIMIT) -> DataFrame:
+    return top_recent(time_range(rejects, start, end), limit)
+
+
 def scan_recent_days(logs: DataFrame, as_of, days_back: int = TRAINING_DAYS,
                      limit: int | None = None) -> DataFrame:
     """Training input: all rows of the days up to ``as_of``, or the newest ``limit`` of them.

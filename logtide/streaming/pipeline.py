@@ -18,6 +18,8 @@ from ..operators.models import Model, score_batch
 from ..operators.similarity import with_vector
 from ..operators.windows import change_rates
 from ..sinks.outbox import alert_outbox
+from ..sinks.streamed import append_batch
+from ..sinks.tables import alerts_table, anomaly_results_table, features_table
 from .late import LateWindows
 from .tables import batch_path, write_batch
 from .windows import closed_windows
@@ -54,7 +56,7 @@ def start_pipeline(logs: DataFrame, out: str, checkpoint: str,
                    thresholds: Mapping[str, float] | None = None, channels=(),
                    trigger: Mapping | None = None,
                    callbacks: tuple[Callable[[DataFrame, int], None], ...] = (),
-                   late: str = "drop") -> StreamingQuery:
+                   late: str = "drop", tables: str | None = None) -> StreamingQuery:
     """Start the query that turns parsed log rows into stored features, scores and alerts.
 
     ``logs`` is a stream of parsed rows. With a ``model`` every closed window is scored;
@@ -64,7 +66,13 @@ def start_pipeline(logs: DataFrame, out: str, checkpoint: str,
     Rows later than the watermark are dropped and counted by default. With ``late='correct'``
     they are merged into their windows, which are published again: ``late.newest`` of a
     table has the last version of each window, ``late.current_rows`` the alerts that still hold.
+
+    ``tables`` is a folder with the day-partitioned tables ``features``, ``anomaly_results`` and
+    ``alerts`` to which everything is appended as well, for ``sinks.streamed_table``, scans and
+    compaction. Windows are published once there, so it goes with ``late='drop'``.
     """
+    if tables and late != "drop":
+        raise ValueError("tables hold every window once, so rows must not be corrected")
     if late not in ("drop", "correct"):
         raise ValueError(f"late must be 'drop' or 'correct', not {late!r}")
     limits = dict(thresholds or {})
@@ -86,6 +94,11 @@ def start_pipeline(logs: DataFrame, out: str, checkpoint: str,
             scored = features.join(scores.select("source", "window_id", "anomaly_score", "is_anomaly"),
                                    ["source", "window_id"], "left")
         alerts = stored(alerts_every_window(scored, **limits), "alerts", batch_id)
+        if tables:
+            append_batch(features_table(features), f"{tables}/features", batch_id)
+            append_batch(alerts_table(alerts), f"{tables}/alerts", batch_id)
+            if model is not None:
+                append_batch(anomaly_results_table(scores), f"{tables}/anomaly_results", batch_id)
         if channels:
             write_batch(alert_outbox(alerts, channels), out, "outbox", batch_id)
         for callback in callbacks:
