@@ -13,6 +13,17 @@ COMMON_LINE = (
     r'(\d++) (\d++)'
 )
 COMBINED_LINE = COMMON_LINE + r' "([^"]*+)" "([^"]*+)"'
+# The parts of a combined line in order, by which the cause of a rejection is told, and the
+# causes they count as; the first five make a common line.
+LINE_STAGES = (
+    ("address", r'\S++ - \S++ '), ("time", r'\[[^\]]++\] '), ("request", r'"\S++ \S++ \S+" '),
+    ("status", r'\d++ '), ("size", r'\d++'), ("agent", r' "[^"]*+" "[^"]*+"'),
+)
+PARSE_ERRORS = {
+    "address": "unexpected_characters", "time": "malformed_timestamp",
+    "request": "invalid_url_format", "status": "missing_status_code",
+    "size": "unexpected_characters", "agent": "unexpected_characters",
+}
 # Time inside the brackets: 12/Oct/2024:06:25:24 +0000 (offset with or without a colon).
 LOG_TIME_FORMATS = ("d/MMM/yyyy:H:m:s Z", "d/MMM/yyyy:H:m:s XXX")
 # A line needs more than this many blank-separated tokens to carry a response time.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..constants import LINE_FIELDS, REJECT_PREFIX
+from ..constants import LINE_FIELDS, LINE_STAGES, PARSE_ERRORS, REJECT_PREFIX
 from ..functions.log_line import (
     SPLIT_SIZE, log_time, null_dash, response_time_of_line, response_time_of_rest,
     split_line, url_path,
@@ -130,3 +130,31 @@ def dead_letter(parsed: DataFrame) -> DataFrame:
               if c not in PARSED_LOG.names and c != "parse_ok"]
     return parsed.filter(~F.col("parse_ok")).select(
         *others, "raw_line", F.substring("raw_line", 1, REJECT_PREFIX).alias("line_start"))
+
+
+def error_field(line: Column, is_common: bool = False) -> Column:
+    """The first part of a rejected line that does not look as it must; ``time``, ``status`` or
+    ``size`` also where it looks right but is no time or too large a number."""
+    prefix, out = r"(?U)^\s*+", None
+    for name, pattern in LINE_STAGES[:5 if is_common else 6]:
+        prefix += pattern
+        fails = ~line.rlike(prefix)
+        out = F.when(fails, name) if out is None else out.when(fails, name)
+    number = lambda n: F.regexp_extract(line, r'" (\d++) (\d++)', n)
+    bad_status = number(1).try_cast("int").isNull()
+    return (out.when(bad_status, "status").when(number(2).try_cast("bigint").isNull(), "size")
+            .otherwise("time"))
+
+
+def parse_error_breakdown(parsed: DataFrame, by: str | None = "source", is_common: bool = False
+                          ) -> DataFrame:
+    """Rejected lines by the part at which they fail and the cause that this is counted as.
+
+    Only lines that were rejected are looked at, part by part; good ones cost nothing.
+    """
+    field = error_field(F.col("raw_line"), is_common)
+    named = parsed.filter(~F.col("parse_ok")).withColumn("field", field)
+    kinds = F.create_map(*[F.lit(x) for pair in PARSE_ERRORS.items() for x in pair])
+    keys = ([by] if by else []) + ["field"]
+    return (named.groupBy(*keys).agg(F.count(F.lit(1)).alias("error_count"))
+            .select(*keys, F.element_at(kinds, F.col("field")).alias("category"), "error_count"))

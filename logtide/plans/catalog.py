@@ -15,7 +15,7 @@ from ..functions import (
     drop_undecodable, flatten_pattern, log_time, null_dash, response_time_of_line, url_path,
 )
 from ..operators import (
-    alerts as A, autoencoder as AE, history as H, isolation_forest as IF, models as M,
+    alerts as A, autoencoder as AE, evaluation as E, history as H, isolation_forest as IF, models as M,
     parse as P, quantiles as Q, reports as R, scaling as S, similarity as K, windows as W,
 )
 from ..schemas import PARSED_LOG
@@ -507,6 +507,35 @@ def _(spark, sf):
         "source", "raw_line", "line_start")
 
 
+# Lines broken at every part, by their number.
+BROKEN = ((1, "[", "("), (2, "/2024:", "/2024-"), (3, "HTTP/1.1", "HTTP 1 1"), (4, '1.1" ', '1.1" - '),
+          (5, " - - ", " -- "), (6, '"Mozilla', "Mozilla"), (7, '1.1" 2', '1.1" 999999999992'))
+
+
+@query("parse_error_breakdown", """
+SELECT source, field, CASE field WHEN 'time' THEN 'malformed_timestamp' WHEN 'request' THEN 'invalid_url_format'
+  WHEN 'status' THEN 'missing_status_code' ELSE 'unexpected_characters' END AS category, count(*) AS error_count
+FROM (SELECT source, CASE
+  WHEN NOT regexp_matches(raw_line, '^\\s*\\S+ - \\S+ ') THEN 'address'
+  WHEN NOT regexp_matches(raw_line, '^\\s*\\S+ - \\S+ \\[[^\\]]+\\] ') THEN 'time'
+  WHEN NOT regexp_matches(raw_line, '^\\s*\\S+ - \\S+ \\[[^\\]]+\\] "\\S+ \\S+ \\S+" ') THEN 'request'
+  WHEN NOT regexp_matches(raw_line, '" [0-9]+ ') THEN 'status'
+  WHEN NOT regexp_matches(raw_line, '" [0-9]+ [0-9]') THEN 'size'
+  WHEN NOT regexp_matches(raw_line, '" [0-9]+ [0-9]+ "[^"]*" "[^"]*"') THEN 'agent'
+  WHEN NOT regexp_matches(raw_line, '" [0-9]{1,9} ') THEN 'status'
+  ELSE 'time' END AS field FROM parsed WHERE NOT ok) GROUP BY ALL""",
+       raw_lines=BLOCKS["lines"], lines="SELECT log_id, source, CASE log_id % 13 " + " ".join(
+           f"WHEN {k} THEN replace(value, '{a}', '{b}')" for k, a, b in BROKEN)
+       + " ELSE value END AS value FROM raw_lines")
+def _(spark, sf):
+    value = F.col("value")
+    broken = F.when(F.lit(False), value)
+    for k, old, new in BROKEN:
+        broken = broken.when(F.col("log_id") % 13 == k, F.replace(value, F.lit(old), F.lit(new)))
+    lines = L.lines(spark, sf).withColumn("value", broken.otherwise(value))
+    return P.parse_error_breakdown(P.parse_access_log(lines, on_bad_time="reject"))
+
+
 # --- projections ------------------------------------------------------------------
 
 @query("numeric_feature_vector",
@@ -810,6 +839,44 @@ def _(spark, sf):
     return M.anomaly_recent(scored(spark, sf))
 
 
+CURVE_BLOCKS = {
+    "labelled": "SELECT round(anomaly_score, 2) AS score, avg_response_time > 240 AS label, is_anomaly FROM scored",
+    "curve": """
+      SELECT score AS threshold, sum(p) OVER w AS tp, sum(n) OVER w AS fp, p, n,
+        sum(p) OVER () AS positives, sum(n) OVER () AS negatives
+      FROM (SELECT score, count(*) FILTER (label) AS p, count(*) FILTER (NOT label) AS n FROM labelled GROUP BY score)
+      WINDOW w AS (ORDER BY score DESC)""",
+}
+
+
+def _labelled(spark, sf):
+    return scored(spark, sf).select(F.round("anomaly_score", 2).alias("anomaly_score"), "is_anomaly",
+                                    (F.col("avg_response_time") > 240).alias("label"))
+
+
+@query("threshold_curve",
+       "SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(positives - tp AS BIGINT) AS fn, "
+       "CAST(negatives - fp AS BIGINT) AS tn, round(tp / (tp + fp), 6) AS precision, "
+       "round(tp / positives, 6) AS recall, round(2 * tp / (tp + fp + positives), 6) AS f1 FROM curve",
+       **CURVE_BLOCKS)
+def _(spark, sf):
+    """Confusion counts at every threshold; many windows share a score."""
+    return E.threshold_curve(_labelled(spark, sf)).drop("area")
+
+
+@query("detector_evaluation",
+       "SELECT f.*, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, "
+       "round(2 * tp / (2 * tp + fp + fn), 6) AS f1, (SELECT round(sum(n * (2 * tp - p) / 2.0) / "
+       "max(positives * negatives), 6) FROM curve) AS auc, "
+       "(SELECT round(max(2 * tp / (tp + fp + positives)), 6) FROM curve) AS best_f1, "
+       "(SELECT threshold FROM curve ORDER BY round(2 * tp / (tp + fp + positives), 12) DESC, threshold LIMIT 1) "
+       "AS best_threshold FROM (SELECT count(*) FILTER (is_anomaly AND label) AS tp, "
+       "count(*) FILTER (is_anomaly AND NOT label) AS fp, count(*) FILTER (NOT is_anomaly AND label) AS fn, "
+       "count(*) FILTER (NOT is_anomaly AND NOT label) AS tn FROM labelled) f", **CURVE_BLOCKS)
+def _(spark, sf):
+    return E.detector_evaluation(_labelled(spark, sf))
+
+
 @query("join_scores",
        "SELECT r.source, r.window_start, r.anomaly_score, r.is_anomaly, "
        "round(f.rps, 6) AS rps, f.unique_ips FROM scored r JOIN features f "

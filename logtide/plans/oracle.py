@@ -10,8 +10,8 @@ import re
 
 from ..constants import FEATURE_COLUMNS
 
-_LINE = (r"^\s*(\S+) - (\S+) \[([^\]]+)\] \"(\S+) (\S+) (\S+)\" (\d+) (\d+) "
-         r"\"([^\"]*)\" \"([^\"]*)\"").replace('\\"', '"')
+_LINE = (r'^\s*(\S+) - (\S+) \[([^\]]+)\] "(\S+) (\S+) (\S+)" (\d+) (\d+) '
+         r'"([^"]*)" "([^"]*)"')
 _COMMON = r'^\s*(\S+) - (\S+) \[([^\]]+)\] "(\S+) (\S+) (\S+)" (\d+) (\d+)'
 _NAMES = ("ip", "remote_user", "time_local", "method", "url", "protocol", "status",
           "size", "referer", "agent")
