@@ -523,7 +523,7 @@ FROM (SELECT source, CASE
   WHEN NOT regexp_matches(raw_line, '" [0-9]+ [0-9]') THEN 'size'
   WHEN NOT regexp_matches(raw_line, '" [0-9]+ [0-9]+ "[^"]*" "[^"]*"') THEN 'agent'
   WHEN NOT regexp_matches(raw_line, '" [0-9]{1,9} ') THEN 'status'
-  ELSE 'time' END AS field FROM parsed WHERE NOT ok) GROUP BY ALL""",
+  ELSE 'time' END AS field FROM parsed WHERE status_code IS NULL OR body_bytes_sent IS NULL) GROUP BY ALL""",
        raw_lines=BLOCKS["lines"], lines="SELECT log_id, source, CASE log_id % 13 " + " ".join(
            f"WHEN {k} THEN replace(value, '{a}', '{b}')" for k, a, b in BROKEN)
        + " ELSE value END AS value FROM raw_lines")
