@@ -128,14 +128,15 @@ def ae_fit(df: DataFrame, key_cols: Sequence[str], vector_col: str = "features",
         packed = scaled.groupBy("shard").applyInPandas(pack, "shard bigint, x binary")
         with scratch_table(packed, "autoencoder-shards") as parts:
             parts = parts.repartition(shards) if shards > 1 else parts
-            # A single shard needs no averaging between epochs, so one job runs them all.
+            # A single shard needs no averaging between epochs, so one job runs them all. Shards
+            # that are not full go over their rows as often as makes about as many steps.
+            passes = max(1, round(shards * shard_rows / n)) if shards > 1 else epochs
             for _ in range(epochs if shards > 1 else 1):
                 result = _epoch(parts, (weights, m, v, steps), sizes, activation, batch_size,
-                                learning_rate, shards,
-                                1 if shards > 1 else epochs)
+                                learning_rate, shards, passes)
                 weights, m, v = (np.array(result[name]) for name in ("weights", "m", "v"))
                 steps = result["steps"]
-                losses += result["loss"]
+                losses += result["loss"][-1:] if shards > 1 else result["loss"]
         model = AutoencoderModel(sizes, activation, weights, low, high, losses=losses, params={
             "epochs": epochs, "batch_size": batch_size, "learning_rate": learning_rate,
             "seed": seed, "shard_rows": shard_rows})

@@ -186,3 +186,58 @@ def test_a_broken_save_leaves_no_mixture(spark, forest, tmp_path):
     # the next save got as far as its parameters
     spark.createDataFrame(forest.nodes.head(1), IF.NODE_SCHEMA).write.parquet(f"{path}/parameters-x")
     assert M.model_load(spark, path).nodes.equals(forest.nodes)
+
+
+def test_trees_split_their_own_samples(spark, table, forest):
+    """Every split and leaf of the trained forest, walked again from the sample of its tree."""
+    samples = {}
+    for r in IF.tree_samples(table, ["id"], 1515, 100, 256, 42).collect():
+        samples.setdefault(r.tree, []).append((r["rank"], r.features))
+    for tree, nodes in forest.nodes.groupby("tree"):
+        rows = np.array([v for _, v in sorted(samples[tree])])
+        held, depth = {0: np.arange(256)}, {0: 0}
+        for node in nodes.sort_values("node").itertuples():
+            part = rows[held[node.node]]
+            spread = part.max(axis=0) > part.min(axis=0)
+            if node.feature < 0:
+                assert node.size == len(part) and (len(part) <= 1 or depth[node.node] == 8 or not spread.any())
+                assert node.path_length == pytest.approx(depth[node.node] + float(IF.average_path(len(part))))
+                continue
+            values = part[:, node.feature]
+            assert values.min() <= node.threshold < values.max() and spread[node.feature]
+            for child, goes in ((node.left, values <= node.threshold), (node.right, values > node.threshold)):
+                held[child], depth[child] = held[node.node][goes], depth[node.node] + 1
+
+
+def test_trained_models_score_as_plain_code_does(spark, table, forest):
+    network = AE.ae_fit(table, ["id"], epochs=2)
+    rows = table.filter("id % 50 = 0 or id > 1500").collect()
+    frame = table.filter("id % 50 = 0 or id > 1500")
+    by_forest = {r.id: (r.anomaly_score, r.is_anomaly) for r in M.score_batch(frame, forest).collect()}
+    by_network = {r.id: (r.anomaly_score, r.is_anomaly) for r in M.score_batch(frame, network).collect()}
+    trees = [{n.node: n for n in nodes.itertuples()} for _, nodes in forest.nodes.groupby("tree")]
+    for r in rows:
+        paths = []
+        for nodes in trees:
+            node = nodes[0]
+            while node.feature >= 0:
+                node = nodes[node.left if r.features[node.feature] <= node.threshold else node.right]
+            paths.append(node.path_length)
+        score = -2 ** (-np.mean(paths) / (2 * (np.log(255) + np.euler_gamma) - 2 * 255 / 256)) - forest.offset
+        assert by_forest[r.id] == (pytest.approx(score), bool(score < 0))
+        x = (np.array(r.features) - network.low) / (np.array(network.high) - network.low + 1e-8)
+        y, at = x, 0
+        for i, (a, b) in enumerate(zip(network.sizes, network.sizes[1:])):
+            y = y @ network.weights[at:at + a * b].reshape(a, b) + network.weights[at + a * b:at + a * b + b]
+            at += a * b + b
+            y = 1 / (1 + np.exp(-y)) if i == len(network.sizes) - 2 else np.maximum(y, 0)
+        error = float(np.mean((x - y) ** 2))
+        assert by_network[r.id] == (pytest.approx(error), error > network.threshold)
+
+
+def test_one_row_more_than_a_shard_changes_little(spark, table):
+    """At the border between one shard and two, losses and thresholds agree within a tenth."""
+    fits = [AE.ae_fit(table.filter(f"id < {n}"), ["id"], epochs=12, shard_rows=600) for n in (600, 601)]
+    assert len(fits[0].losses) == len(fits[1].losses) == 12
+    assert fits[1].losses[-1] == pytest.approx(fits[0].losses[-1], rel=0.1)
+    assert fits[1].threshold == pytest.approx(fits[0].threshold, rel=0.1)
