@@ -11,6 +11,7 @@ sketch of the smallest hashes of the names from level ``LOWEST`` up.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -126,65 +127,99 @@ def fingerprint(docs: DataFrame) -> DataFrame:
                       "doc_id long, fingerprint string")
 
 
-# Rows that are sorted together, and most stretches of ids.
-_STRETCH_ROWS, _STRETCHES = 4096, 1 << 14
+# Rows that are sorted together, and most stretches of ids (a row of the driver's for each).
+_STRETCH_ROWS, _STRETCHES = 4096, 1 << 20
 _SMALLEST = -(1 << 63)
 
 
-def _stretch(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Number of the stretch of each id, counted from the largest ids."""
-    return (len(bounds) - np.searchsorted(bounds, ids, side="right")).astype(np.int64)
+class _Cuts:
+    """Where the rows, in order of id and then hash of their text, are cut into stretches.
+
+    ``quantiles`` are about equally many rows apart. An id that fills several of them is cut by
+    the hash, into as many parts of equal range.
+    """
+
+    def __init__(self, quantiles: list[float]):
+        cuts = []
+        for value, times in sorted(Counter(quantiles).items()):
+            one = max(_SMALLEST, min(int(value), -_SMALLEST - 1))
+            cuts += [(one, _SMALLEST + (j << 64) // times) for j in range(times)]
+        self.ids, self.hashes = (np.array(x, np.int64) for x in
+                                 (zip(*sorted(cuts), strict=True) if cuts else ([], [])))
+
+    def stretch(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Number of the stretch of each row, counted from the largest ids."""
+        low = np.searchsorted(self.ids, ids, side="left")
+        high = np.searchsorted(self.ids, ids, side="right")
+        before = high.copy()
+        for cut in np.unique(low[high > low]):
+            rows = np.flatnonzero((low == cut) & (high > low))
+            before[rows] = cut + np.searchsorted(self.hashes[cut:high[rows[0]]], hashes[rows], side="right")
+        return (len(self.ids) - before).astype(np.int64)
 
 
 def with_next(docs: DataFrame, task, schema: str) -> DataFrame:
     """Run ``task`` over pairs of neighbouring texts by descending ``doc_id``.
 
     ``task`` takes an iterator of ``(doc_id, text, is_guest)``, in which every row but a guest
-    is followed by its next, and yields dicts. The ids are cut into stretches of
-    about equal numbers of rows; each text is shuffled once, to its stretch, and the largest
-    id of a stretch goes as a guest to the one before as well (that of the first to the last).
-    Rows with a null id come last; equal ids follow the order of their texts.
+    is followed by its next, and yields dicts. The rows are cut into stretches of about equal
+    numbers, also within one id; each text is shuffled once, to the task of its stretch, and the
+    first of a stretch goes as a guest to the one before as well (that of the first to the last).
+    Rows with a null id come last; equal ids follow the falling hash of their texts.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")
+                       ).withColumn("hash", F.xxhash64("text"))
     count = rows.count()
     n = max(1, min(_STRETCHES, count // _STRETCH_ROWS))
     # cut points are a matter of balance only, so approximate ones do
-    bounds = np.unique(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n)
-                       if n > 1 else []).astype(np.int64)
+    by_id = rows.select(F.coalesce("doc_id", F.lit(_SMALLEST)).alias("id"))
+    cuts = _Cuts(by_id.approxQuantile("id", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else [])
+
+    def keys(batch):
+        ids = batch.column(0).fill_null(_SMALLEST).to_numpy()
+        hashes = batch.column(batch.num_columns - 1).to_numpy()
+        return ids, hashes, cuts.stretch(ids, hashes)
 
     def heads(batches):
-        best: dict[int, int] = {}
+        best: dict[int, tuple[int, int]] = {}
         for batch in batches:
-            ids = batch.column(0).fill_null(_SMALLEST).to_numpy()
-            stretch = _stretch(ids, bounds)
-            for s in np.unique(stretch):
-                best[int(s)] = max(best.get(int(s), _SMALLEST), int(ids[stretch == s].max()))
-        yield {"stretch": list(best), "head": list(best.values())}
-
-    top = {r["stretch"]: r["head"] for r in
-           arrow_pass(rows.select("doc_id"), heads, "stretch long, head long")
-           .groupBy("stretch").agg(F.max("head").alias("head")).collect()}
+            ids, hashes, stretch = keys(batch)
+            order = np.lexsort((hashes, ids, stretch))
+            last = order[np.append(np.flatnonzero(np.diff(stretch[order])), len(order) - 1)] if len(order) else order
+            for i in last:
+                s = int(stretch[i])
+                best[s] = max(best.get(s, (_SMALLEST, _SMALLEST)), (int(ids[i]), int(hashes[i])))
+        yield {"stretch": list(best), "id": [v[0] for v in best.values()],
+               "hash": [v[1] for v in best.values()]}
+
+    top = {r["stretch"]: tuple(r["head"]) for r in
+           arrow_pass(rows.select("doc_id", "hash"), heads, "stretch long, id long, hash long")
+           .groupBy("stretch").agg(F.max(F.struct("id", "hash")).alias("head")).collect()}
     order = sorted(top)
     before = {s: order[i - 1] for i, s in enumerate(order)}
-    leaders = {top[s]: (s, before[s]) for s in order}
+    leaders = {top[s]: before[s] for s in order}
+    leading = np.unique(np.array([head[1] for head in leaders], np.int64))
+    part = {s: i for i, s in enumerate(order)}
+    number = np.zeros((order[-1] if order else 0) + 1, np.int64)
+    number[order] = range(len(order))
 
     def deal(batches):
         for batch in batches:
-            ids = batch.column(0).fill_null(_SMALLEST).to_numpy()
-            stretch = _stretch(ids, bounds)
-            take, to, guest = np.arange(len(ids)), stretch, np.zeros(len(ids), np.int64)
-            lead = np.flatnonzero(np.isin(ids, list(leaders)))
-            if len(lead):
+            ids, hashes, stretch = keys(batch)
+            take, to, guest = np.arange(len(ids)), number[stretch], np.zeros(len(ids), np.int64)
+            lead = [i for i in np.flatnonzero(np.isin(hashes, leading))
+                    if (int(ids[i]), int(hashes[i])) in leaders]
+            if lead:
                 take = np.concatenate([take, lead])
-                to = np.concatenate([to, [leaders[int(ids[i])][1] for i in lead]])
+                to = np.concatenate([to, [part[leaders[int(ids[i]), int(hashes[i])]] for i in lead]])
                 guest = np.concatenate([guest, np.ones(len(lead), np.int64)])
             picked = batch.take(pa.array(take))
-            yield {"doc_id": picked.column(0), "text": picked.column(1),
-                   "stretch": pa.array(to), "guest": pa.array(guest)}
+            yield {"doc_id": picked.column(0), "text": picked.column(1), "stretch": pa.array(to.astype(np.int32)),
+                   "guest": pa.array(guest), "hash": picked.column(2)}
 
-    dealt = (arrow_pass(rows, deal, "doc_id long, text string, stretch long, guest long")
-             .repartition(max(1, len(order)), "stretch")
-             .sortWithinPartitions("stretch", "guest", F.desc_nulls_last("doc_id"), "text"))
+    dealt = (arrow_pass(rows, deal, "doc_id long, text string, stretch int, guest long, hash long")
+             .repartitionById(max(1, len(order)), "stretch")
+             .sortWithinPartitions("stretch", "guest", F.desc_nulls_last("doc_id"), F.desc("hash"), "text"))
 
     def run(batches):
         def flat():

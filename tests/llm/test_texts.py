@@ -228,6 +228,29 @@ def test_edits_over_many_stretches(spark, monkeypatch):
         assert got[i] == hashlib.sha256(edited.encode()).hexdigest()
 
 
+def test_one_id_with_most_rows_is_cut_by_hash(spark, monkeypatch):
+    """A thousand rows of one id and some null ones: spread over stretches, and still in one circle."""
+    monkeypatch.setattr(phrases, "_STRETCH_ROWS", 50)
+    rows = [(7, f"repeated {i} " * (1 + i % 3)) for i in range(1000)]
+    rows += [(i * 3, f"other {i}") for i in range(200)] + [(None, f"none {i}") for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    cuts = phrases._Cuts([1.0, 7.0, 7.0, 7.0, 7.0, 9.0])
+    hashes = np.linspace(-(1 << 63), (1 << 63) - 1025, 400).astype(np.int64)
+    parts = cuts.stretch(np.full(400, 7), hashes)
+    assert len(set(parts)) == 4 and (np.diff(parts) <= 0).all()
+    order = [(r.doc_id, r.text) for r in frame.orderBy(
+        F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text")), "text").collect()]
+    got = sorted((str(r.doc_id), r.edited) for r in phrases.with_edits(frame).collect())
+    expected = []
+    for (i, t), (_, x) in zip(order, order[1:] + order[:1], strict=True):
+        edited = t[:len(t) - len(t) // 2] + x[:len(t) // 2]
+        expected.append((str(i), hashlib.sha256(edited.encode()).hexdigest()))
+    assert got == sorted(expected)
+    counts = [r.n for r in phrases.with_next(
+        frame, lambda flat: iter([{"n": [sum(not g for _, _, g in flat)]}]), "n long").collect()]
+    assert sum(counts) == len(rows) and max(counts) < 300
+
+
 # --- toxicity ---------------------------------------------------------------------
 
 def test_toxicity_learns_words(spark, texts, docs, none):
