@@ -21,7 +21,7 @@ from ..operators import (
 from ..schemas import PARSED_LOG
 from ..session import materialize, scratch_path
 from ..streaming import (
-    closed_windows, newest, observe_parse_stats, read_batches, start_pipeline,
+    closed_windows, newest, read_batches, start_pipeline, store_parse_stats, stored_parse_stats,
 )
 from . import access_log as L, training as T
 from .oracle import BLOCKS, COMMON, logs_select, rounded, sql
@@ -1286,18 +1286,12 @@ def _(spark, sf):
        "SELECT count(*) FILTER (ok) AS parsed_count, count(*) FILTER (NOT ok) AS error_count, "
        "count(*) AS total_count FROM parsed")
 def _(spark, sf):
-    stream = observe_parse_stats(sources.read_log_stream(
-        spark, log_files(spark, sf), source=folder_source(), on_bad_time="reject"))
-    query = (stream.writeStream.format("noop")
-             .option("checkpointLocation", scratch_path(spark, "stats-check"))
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    seen = [p.observedMetrics["parse_stats"].asDict() for p in query.recentProgress
-            if "parse_stats" in p.observedMetrics]
-    totals = [sum(int(s[n] or 0) for s in seen)
-              for n in ("parsed_count", "error_count", "total_count")]
-    return spark.createDataFrame(
-        [totals], "parsed_count bigint, error_count bigint, total_count bigint")
+    out = scratch_path(spark, "stats")
+    stream = sources.read_log_stream(
+        spark, log_files(spark, sf), source=folder_source(), on_bad_time="reject")
+    store_parse_stats(stream, out, scratch_path(spark, "stats-check")).awaitTermination()
+    return stored_parse_stats(spark, out).agg(*[
+        F.sum(n).alias(n) for n in ("parsed_count", "error_count", "total_count")])
 
 
 @query("late_data",

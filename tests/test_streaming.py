@@ -124,6 +124,17 @@ def test_parse_stats_of_stream(spark, folder, tmp_path):
     assert sum(s.error_count for s in seen) > 0
 
 
+def test_stored_parse_stats_count_every_batch(spark, folder, tmp_path):
+    from logtide.streaming import store_parse_stats, stored_parse_stats
+    rows = read_log_stream(spark, folder, source=F.lit("all"), max_files_per_trigger=1)
+    store_parse_stats(rows, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    total = stored_parse_stats(spark, str(tmp_path / "out")).first()
+    lines = sum(len(open(f"{folder}/{i}.log").read().splitlines()) for i in range(4))
+    assert total.total_count == lines == total.parsed_count + total.error_count
+    assert total.success_rate == pytest.approx(100 * total.parsed_count / lines)
+    assert read_batches(spark, str(tmp_path / "out"), "parse_stats").select("batch_id").distinct().count() == 4
+
+
 def test_rerun_of_a_batch_replaces_it(spark, batch, tmp_path):
     from logtide.streaming.tables import write_batch
     for _ in range(2):
