@@ -298,6 +298,22 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in before}
 
 
+def test_stages_keep_columns_of_any_names(spark):
+    """Rows of the table with clashing columns, nulls and repeats: columns stay, rows only go."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()
+    extra = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, 1, "f", 2.5, [3]) for r in rows]
+    extra += [(None, None, None, None, None, 4, None, None, None), (rows[0].doc_id, rows[0].text, "x", "y", 1, 5, "g", 0.0, []),
+              (10 ** 6, "", None, None, 0, 6, "", None, None)]
+    docs = spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long, "
+                                        "row0 int, fp string, score double, key array<int>")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.schema == docs.schema, name
+        kept = {(r.doc_id, r.row0) for r in out.collect()}
+        assert kept <= {(r[0], r[5]) for r in extra} and (None, 4) in kept or name == "quality", name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == 62
+
+
 def test_pipeline_of_nothing_and_nulls(spark):
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema
     for rows in ([], [(None, None, None, None, None), (1, "", None, None, 0)]):
