@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..constants import PATTERN_MINUTES, PATTERN_NEIGHBOURS, PATTERN_SIMILARITY
 from ..functions.vectors import feature_vector, flatten_pattern
 from ..session import BROADCAST_BYTES, materialize
-from .ranking import top_k, unit_rows
+from .ranking import DIGITS, top_k, unit_rows
 
 PATTERN_COLUMNS = ("pattern_id", "source", "failure_time", "minutes_before", "pattern")
 
@@ -98,6 +104,11 @@ def rolling_pattern(features: DataFrame, seconds: int = PATTERN_MINUTES * 60,
 CENTRES, CENTRE_BYTES = 256, 16 << 20
 _SLACK = 1e-7
 _BLOCK_ROWS = 256  # queries that are worth a task of their own
+_PART_ROWS = 2048  # patterns that are
+_BLOCK_BYTES = 32 << 20  # of queries that a task holds
+_HOME_BYTES = 1 << 20  # of patterns from which a first bound is taken
+_PIECE_ROWS = 1024  # patterns compared at a time, at least, where centres change
+_CELLS = 2_000_000  # similarities held at a time
 _TILED = ("_row bigint, _size int, _centre int, _part bigint, _block int, _query boolean, "
           "_own {id}, _id {id}, _vec array<double>")
 
@@ -135,6 +146,16 @@ class _Clusters:
         count, _ = self.found.get((size, centre), (0, 0.0))
         return max(1, -(-count * (8 * size + 64) // self.tile_bytes))
 
+    def reach(self, units: np.ndarray, least: np.ndarray, some: list[int]) -> np.ndarray:
+        """Rows of ``units`` that can reach their ``least`` with a pattern of one of the centres ``some``."""
+        size = units.shape[1]
+        if size not in self.centres or min(some) < 0:
+            return np.arange(len(units))
+        radius = np.array([self.found[size, c][1] for c in some])
+        far = np.maximum(0.0, _angles(units, self.centres[size][some]) - radius).min(axis=1)
+        far[~units.any(axis=1)] = 0.0
+        return np.flatnonzero(np.cos(far) + _SLACK >= least)
+
     def allowed(self, units: np.ndarray, least: np.ndarray) -> list[list[int]]:
         """Centres whose patterns can reach the similarity ``least`` with each vector."""
         size = units.shape[1]
@@ -180,8 +201,8 @@ def _clusters(patterns: DataFrame, tile_bytes: int) -> _Clusters:
     return clusters
 
 
-def _dealt(patterns: DataFrame, clusters: _Clusters, blocks: int, id_type: str) -> DataFrame:
-    """Every pattern in its tile, once for each block of queries."""
+def _dealt(patterns: DataFrame, clusters: _Clusters, id_type: str) -> DataFrame:
+    """Every pattern in its tile."""
     def task(frames):
         for frame in frames:
             for size, part in frame.groupby(frame["pattern"].map(len)):
@@ -193,13 +214,20 @@ def _dealt(patterns: DataFrame, clusters: _Clusters, blocks: int, id_type: str)
                     "_id": part["pattern_id"], "_vec": part["pattern"]})
 
     kinds = _TILED.format(id=id_type).replace("_block int, ", "")
-    return (patterns.withColumn("_h", F.xxhash64("pattern_id") % (1 << 40)).mapInPandas(task, kinds)
-            .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+    hashed = patterns.withColumn("_h", F.xxhash64("pattern_id") % (1 << 40))
+    if clusters.centres:
+        return hashed.mapInPandas(task, kinds)
+    return hashed.select(
+        F.lit(-1).cast("bigint").alias("_row"), F.size("pattern").alias("_size"), F.lit(-1).alias("_centre"),
+        F.lit(0).cast("bigint").alias("_part"), F.lit(False).alias("_query"),
+        F.lit(None).cast(id_type).alias("_own"), F.col("pattern_id").alias("_id"), F.col("pattern").alias("_vec"))
 
 
 def _asked(queries: DataFrame, clusters: _Clusters, blocks: int, id_type: str, home: bool) -> DataFrame:
     """Every query in the tiles it has to meet; with ``home`` in one tile near it only.
 
+    The search itself takes the home tiles from here; how many tiles queries meet tells what the
+    bounds are worth.
     ``queries`` has ``_row``, ``_own``, ``_vec`` and ``_least``, a similarity that its last
     result will reach at least, or null.
     """
@@ -258,30 +286,178 @@ def _compared(asked: DataFrame, dealt: DataFrame, k: int, id_type: str) -> DataF
             .select("_row", "pattern_id", "similarity", "rank", "_order"))
 
 
+class _Best:
+    """Queries of one length and the best ``k`` patterns that they met so far."""
+
+    def __init__(self, batches: list[tuple], k: int):
+        rows, own, least, units = zip(*batches, strict=True)
+        self.rows, self.own, self.units = np.concatenate(rows), np.concatenate(own), np.concatenate(units)
+        self.least, self.k = np.concatenate(least), k
+        self.skip = any(name is not None for name in self.own)
+        self.found: list[list[tuple]] = [[] for _ in self.rows]  # (-order, has id, id, similarity)
+
+    def meet(self, names: np.ndarray, units: np.ndarray, able: np.ndarray) -> None:
+        """Compare the queries ``able`` with patterns, which are in order of their ids."""
+        step = max(1, _CELLS // len(units))
+        for lo in range(0, len(able), step):
+            some = able[lo:lo + step]
+            sims = self.units[some] @ units.T
+            near = sims >= (self.least[some] - _SLACK)[:, None]
+            for i in np.flatnonzero(near.any(axis=1)):
+                self._take(int(some[i]), np.flatnonzero(near[i]), sims[i], names)
+
+    def _take(self, row: int, at: np.ndarray, sims: np.ndarray, names: np.ndarray) -> None:
+        if self.skip and self.own[row] is not None:
+            at = at[names[at] != self.own[row]]
+        order = np.round(sims[at], DIGITS) + 0.0  # no -0.0, so that both zeros count as equal
+        if len(at) > 4 * self.k:  # equal ones stay, to be told apart by their ids
+            high = order >= np.partition(order, len(at) - self.k)[len(at) - self.k]
+            at, order = at[high], order[high]
+        best = np.argsort(-order, kind="stable")[:self.k]
+        new = [(-o, name is not None, name, s) for o, name, s in zip(
+            order[best].tolist(), names[at[best]].tolist(), sims[at[best]].tolist(), strict=True)]
+        found = sorted([*self.found[row], *new], key=lambda x: x[:3])[:self.k]
+        self.found[row] = found
+        if len(found) == self.k:
+            self.least[row] = max(self.least[row], -found[-1][0])
+
+    def columns(self) -> list[list]:
+        flat = [(r, name, sim, -o) for r, found in zip(self.rows.tolist(), self.found, strict=True)
+                for o, _, name, sim in found]
+        return [list(c) for c in zip(*flat, strict=True)] or [[], [], [], []]
+
+
+def _units(column: pa.ListArray, size: int) -> np.ndarray:
+    return unit_rows(column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size))
+
+
+def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of equal keys."""
+    changed = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), len(keys[0])]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def _pieces(centres: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of whole centres, of ``_PIECE_ROWS`` at least but for the last."""
+    out, start = [], 0
+    for _, hi in _runs(centres):
+        if hi - start >= _PIECE_ROWS or hi == len(centres):
+            out.append((start, hi))
+            start = hi
+    return out
+
+
+def _streamed(cells: DataFrame, clusters: _Clusters, k: int, id_type: str) -> DataFrame:
+    """``(_row, pattern_id, similarity, _order)``: the best ``k`` of each part for every query.
+
+    Partitions hold cells one after the other, each with its queries first. These are held;
+    the patterns pass by in batches, so that a task never has a part of them at once.
+    """
+    result = to_arrow_schema(StructType.fromDDL(
+        f"_row bigint, pattern_id {id_type}, similarity double, _order double"))
+
+    def task(batches):
+        def done():
+            for best in held.values():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v, f.type) for v, f in zip(best.columns(), result, strict=True)],
+                    schema=result)
+
+        cell, asked, held = None, {}, {}
+        for batch in batches:
+            key, size, query = (batch.column(n).to_numpy(zero_copy_only=False)
+                                for n in ("_cell", "_size", "_query"))
+            for lo, hi in _runs(key, size, query):
+                part, width = batch.slice(lo, hi - lo), int(size[lo])
+                if key[lo] != cell:
+                    yield from done()
+                    cell, asked, held = key[lo], {}, {}
+                if query[lo]:
+                    least = part.column("_least").fill_null(-2.0).to_numpy()
+                    own = np.array([*part.column("_own").to_pylist(), None], object)[:-1]
+                    asked.setdefault(width, []).append((
+                        part.column("_row").to_numpy(), own, least, _units(part.column("_vec"), width)))
+                    continue
+                if width in asked:
+                    held[width] = _Best(asked.pop(width), k)
+                if width in held:
+                    compare(held[width], part, width)
+        yield from done()
+
+    def compare(best: _Best, part: pa.RecordBatch, width: int) -> None:
+        centres = part.column("_centre").to_numpy()
+        for lo, hi in _pieces(centres):
+            piece = part.slice(lo, hi - lo)
+            piece = piece.take(pc.sort_indices(piece.column("_id"), null_placement="at_start"))
+            able = clusters.reach(best.units, best.least, np.unique(centres[lo:hi]).tolist())
+            if len(able):
+                names = piece.column("_id").to_numpy(zero_copy_only=False)
+                if piece.column("_id").null_count:  # numbers would become floats
+                    names = np.array([*piece.column("_id").to_pylist(), None], object)[:-1]
+                best.meet(names, _units(piece.column("_vec"), width), able)
+
+    return cells.mapInArrow(task, f"_row bigint, pattern_id {id_type}, similarity double, _order double")
+
+
+def _bounded(queries: DataFrame, dealt: DataFrame, clusters: _Clusters, blocks: int, k: int,
+             id_type: str) -> DataFrame:
+    """``queries`` with ``_least``: the ``k``-th similarity in a small tile near them, if it has so many."""
+    unknown = queries.withColumn("_least", F.lit(None).cast("double"))
+    if not clusters.centres:
+        return unknown
+    home = dealt.filter("_part = 0").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    first = _compared(_asked(unknown, clusters, blocks, id_type, True), home, k, id_type)
+    bound = first.filter(F.col("rank") == k).select("_row", F.col("_order").alias("_least"))
+    return queries.join(bound, "_row", "left")
+
+
+def _grid(cores: int, queries: int, query_bytes: int, patterns: int) -> tuple[int, int]:
+    """Blocks of queries and parts of patterns: about two cells to a core.
+
+    Queries are sent once to each part and patterns to each block, so the numbers do not grow with
+    the rows, but where a block would be more than a task is to hold.
+    """
+    parts = min(math.isqrt(2 * cores) or 1, max(1, patterns // _PART_ROWS))
+    blocks = min(-(-2 * cores // parts), max(1, queries // _BLOCK_ROWS))
+    return max(blocks, -(-query_bytes // _BLOCK_BYTES)), parts
+
+
 def _nearest(queries: DataFrame, patterns: DataFrame, id_type: str, k: int, tile_bytes: int) -> DataFrame:
     """The best ``k`` patterns of equal length for every row of ``queries``.
 
     Both sides are stored tables: ``queries`` with ``_row``, ``_own`` and ``_vec``, ``patterns``
-    with ``pattern_id`` and ``pattern``. Patterns are dealt into tiles around centres. Each
-    query first meets one tile near it, whose ``k``-th similarity is a lower bound; then all tiles
-    whose centre and radius do not put them below it. No table passes the driver whole.
+    with ``pattern_id`` and ``pattern``. Where patterns are many, they are ordered by centres, and each
+    query first meets a small tile near it, whose ``k``-th similarity is a lower bound. Then blocks of
+    queries meet parts of the patterns, centre by centre, and leave out those whose centre and
+    radius put them below the bound, which rises as they go. No table passes the driver whole.
     """
     patterns = patterns.filter(F.size("pattern") > 0)
     clusters = _clusters(patterns, tile_bytes)
+    clusters.tile_bytes = min(tile_bytes, _HOME_BYTES)
     count, size = queries.agg(F.count("*"), F.sum(F.size("_vec").cast("bigint") * 8 + 64)).first()
-    cores = queries.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, -(-(size or 0) // tile_bytes), min(cores, count // _BLOCK_ROWS))
-    dealt = _dealt(patterns, clusters, blocks, id_type)
-    least = F.lit(None).cast("double")
-    if clusters.centres:
-        first = _compared(_asked(queries.withColumn("_least", least), clusters, blocks, id_type, True),
-                          dealt, k, id_type)
-        bound = first.filter(F.col("rank") == k).select("_row", F.col("_order").alias("_least"))
-        queries = queries.join(bound, "_row", "left")
-    else:
-        queries = queries.withColumn("_least", least)
-    asked = _asked(queries, clusters, blocks, id_type, False)
-    return _compared(asked, dealt, k, id_type).drop("_order")
+    blocks, parts = _grid(queries.sparkSession.sparkContext.defaultParallelism, count, size or 0,
+                          sum(n for n, _ in clusters.found.values()))
+    dealt = _dealt(patterns, clusters, id_type)
+    asked = _bounded(queries, dealt, clusters, blocks, k, id_type).filter(F.size("_vec") > 0)
+    columns = ["_cell", "_query", "_size", "_centre", "_row", "_own", "_least", "_id", "_vec"]
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    asks = (asked.withColumns({"_query": F.lit(True), "_size": F.size("_vec"), "_centre": F.lit(-1),
+                               "_id": F.lit(None).cast(id_type), "_part": every(parts)})
+            .withColumn("_cell", F.col("_row") % blocks * parts + F.col("_part")).select(*columns))
+    held = (dealt.withColumns({"_least": F.lit(None).cast("double"), "_block": every(blocks)})
+            .withColumn("_cell", F.col("_block") * parts + F.pmod(F.xxhash64("_id", "_vec"), F.lit(parts)))
+            .select(*columns))
+    cells = (asks.unionByName(held).withColumn("_cell", F.col("_cell").cast("int"))
+             .repartitionById(blocks * parts, F.col("_cell"))
+             .sortWithinPartitions("_cell", F.desc("_query"), "_size", "_centre"))
+    found = _streamed(cells, clusters, k, id_type)
+    place = F.row_number().over(Window.partitionBy("_row").orderBy(F.desc("_order"), "pattern_id"))
+    return (found.withColumn("rank", place).filter(F.col("rank") <= k)
+            .select("_row", "pattern_id", "similarity", "rank"))
 
 
 def pattern_bytes(patterns: DataFrame, vector_col: str = "pattern") -> int:
@@ -299,7 +475,8 @@ def knn_topk(queries: DataFrame, patterns: DataFrame, k: int = PATTERN_NEIGHBOUR
 
     Returns ``query_id, pattern_id, similarity, rank``; equal similarities (to nine
     decimals) go to the smaller pattern id. Every row of ``queries`` is answered for itself,
-    also if its id is repeated. Tasks hold ``slice_bytes`` of patterns and of queries at a time.
+    also if its id is repeated. Patterns of more than ``slice_bytes`` are ordered by centres; tasks hold
+    a block of queries (32 MB) and a batch of patterns at a time, whatever the number of rows.
     ``stored`` says that the patterns are read from a table, and need not be written to one first.
     """
     table = patterns.select(F.col(pattern_id).alias("pattern_id"),
@@ -321,7 +498,7 @@ def failure_similarity(queries: DataFrame, patterns: DataFrame,
     """Add ``similarity`` to the nearest failure pattern, ``pattern_id`` and ``is_risk``.
 
     A query without a pattern of its length has similarity 0 and no risk. Queries
-    need no key; tasks hold ``slice_bytes`` of patterns and of queries at a time.
+    need no key; tasks hold a block of them and a batch of patterns at a time.
     """
     table = patterns.select("pattern_id",
                             F.col("pattern").cast("array<double>").alias("pattern"))

@@ -161,3 +161,30 @@ def test_nothing_is_taken_to_the_driver_whole():
     import inspect
     source = inspect.getsource(K)
     assert source.count("toPandas") == 1 and "limit(most)" in source and "broadcast" not in source.split("_nearest")[1]
+
+
+def test_copies_sent_do_not_grow_with_the_rows(spark):
+    """Blocks and parts go by the cores; only beyond what a task may hold are there more blocks."""
+    assert K._grid(12, 100_000, 100_000 * 576, 100_000) == K._grid(12, 1_600_000, 100_000 * 576, 1_600_000)
+    blocks, parts = K._grid(12, 10_000_000, 10_000_000 * 576, 10_000_000)
+    assert blocks * K._BLOCK_BYTES >= 10_000_000 * 576 and parts == K._grid(12, 100_000, 1, 100_000)[1]
+
+
+def test_a_task_streams_patterns(spark):
+    """A part of several batches, with ids that repeat and are null, in small slices and one."""
+    rng = np.random.default_rng(8)
+    rows = [(None if i % 400 == 3 else i // 2, rng.normal(size=4).round(1).tolist()) for i in range(25_000)]
+    p = spark.createDataFrame(rows, "pattern_id bigint, pattern array<double>").repartition(3).cache()
+    q = spark.createDataFrame([(i, rows[i][1]) for i in range(0, 25_000, 500)],
+                              "query_id bigint, vector array<double>")
+    units = np.array([v for _, v in rows])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    expected = []
+    for i, v in q.collect():
+        sims = np.round(units @ (np.array(v) / np.linalg.norm(v)), 9) + 0.0
+        best = sorted((-s, j is not None, j or 0) for (j, _), s in zip(rows, sims) if j is None or j != i)[:4]
+        expected += [(i, n + 1, j if named else None, -s) for n, (s, named, j) in enumerate(best)]
+    for size in (1 << 26, 20_000):
+        got = K.knn_topk(q, p, 4, exclude_self=True, slice_bytes=size).collect()
+        got = [(r.query_id, r["rank"], r.pattern_id, round(r.similarity, 9)) for r in got]
+        assert [x[:3] for x in sorted(got, key=lambda x: x[:2])] == [x[:3] for x in sorted(expected, key=lambda x: x[:2])]
