@@ -98,6 +98,8 @@ def grow_tree(rows: np.ndarray, rng: np.random.Generator, max_depth: int) -> lis
             continue
         feature = int(rng.choice(splittable))
         threshold = float(rng.uniform(low[feature], high[feature]))
+        if threshold >= high[feature]:  # rounded up between neighbouring values: one side would be empty
+            threshold = float(low[feature])
         goes_left = part[:, feature] <= threshold
         left, right = next_node, next_node + 1
         next_node += 2

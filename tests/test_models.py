@@ -241,3 +241,11 @@ def test_one_row_more_than_a_shard_changes_little(spark, table):
     assert len(fits[0].losses) == len(fits[1].losses) == 12
     assert fits[1].losses[-1] == pytest.approx(fits[0].losses[-1], rel=0.1)
     assert fits[1].threshold == pytest.approx(fits[0].threshold, rel=0.1)
+
+
+def test_neighbouring_values_are_split():
+    """Means of repeated rows differ in their last bit; a threshold drawn between is one of them."""
+    rows = np.array([[1.0], [np.nextafter(1.0, 2.0)], [1.0]])
+    for seed in range(40):
+        nodes = IF.grow_tree(rows, np.random.default_rng(seed), 8)
+        assert sorted(n[-1] for n in nodes if n[1] < 0) == [1, 2]
