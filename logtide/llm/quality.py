@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtide.llm.common import arrow_pass, utf8
+from logtide.llm.common import arrow_pass, releasing, utf8
 
 #: Texts on which the linear scorer is trained, in the mean (chosen by the hash of their id).
 SAMPLE = 4000
@@ -258,4 +258,4 @@ def keep_good(docs: DataFrame, model: Model | None = None) -> DataFrame:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([model.score(t) >= 0.5 for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

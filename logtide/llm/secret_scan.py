@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtide.llm.common import arrow_pass, utf8
+from logtide.llm.common import arrow_pass, releasing, utf8
 
 #: The patterns, and the shortest match or group that counts.
 ASSIGN = re.compile(
@@ -200,4 +200,4 @@ def redact(docs: DataFrame, ratio: np.ndarray | None = None) -> DataFrame:
                 batch = batch.set_column(i, field, pa.array(values, field.type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

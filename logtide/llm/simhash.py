@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from logtide.llm.common import arrow_pass, stored, utf8
+from logtide.llm.common import arrow_pass, releasing, stored, utf8
 from logtide.llm.components import connected_components
 
 #: Fixed values of the fingerprint: words to a shingle, seed of the hash, bits that may differ.
@@ -215,4 +215,4 @@ def _with_fingerprint(rows: DataFrame, row: str, fp: str) -> DataFrame:
             fps = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64)
             yield batch.append_column(fp, pa.array(fps.view(np.int64)))
 
-    return rows.mapInArrow(task, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.mapInArrow(releasing(task), schema).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtide.llm.common import arrow_pass, utf8
+from logtide.llm.common import arrow_pass, releasing, utf8
 
 #: Labelled rows used for training, at most, with and without the label; the rows are those of
 #: the lowest id hashes, and texts that occur twice count once.
@@ -231,4 +231,4 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([scorer.score(t) < 0.5 for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
