@@ -6,8 +6,14 @@ from pyspark.sql import Column, functions as F
 
 
 def strip_blanks(text: Column) -> Column:
-    """Strip leading and trailing blanks of any kind, not only spaces."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    """Strip leading and trailing blanks of any kind, not only spaces.
+
+    A text between two visible ASCII characters, nearly every line, is passed through: the pattern
+    would be tried at each of its characters. Bytes are looked at, as characters would be counted.
+    """
+    octets = text.cast("binary")
+    bare = [F.substring(octets, at, 1).between(F.lit(b"!"), F.lit(b"~")) for at in (1, -1)]
+    return F.when(bare[0] & bare[1], text).otherwise(F.regexp_replace(text, r"(?U)^\s+|\s+\z", ""))
 
 
 def drop_undecodable(text: Column) -> Column:

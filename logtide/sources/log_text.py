@@ -26,24 +26,29 @@ def source_of_path(by: str | Mapping[str, str] = "folder", path: Column | None =
         return F.coalesce(*[F.when(path.contains(part), F.lit(name))
                             for part, name in by.items()], F.lit(None).cast("string"))
     if by == "file":
-        return F.element_at(F.split(path, "/"), -1)
+        return F.substring_index(path, "/", -1)
     if by == "folder":
-        return F.element_at(F.split(path, "/"), -2)
+        return F.substring_index(F.substring_index(path, "/", -2), "/", 1)
     raise ValueError(f"source must come from 'file' or 'folder', not {by!r}")
 
 
 def clean_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
     """Strip blanks around lines and drop those with nothing else."""
-    return (lines.withColumn(value_col, strip_blanks(F.col(value_col)))
+    return (lines.withColumn(value_col, _once(strip_blanks(F.col(value_col))))
             .filter(F.length(value_col) > 0))
 
 
+def _once(value: Column) -> Column:
+    """``value`` worked out once for each line, not again in each filter and column above it."""
+    return F.explode(F.array(value))
+
+
 def _with_source(raw: DataFrame, source: str | Mapping[str, str] | Column, modified_since=None) -> DataFrame:
     if modified_since is not None:
         raw = raw.filter(F.col("_metadata.file_modification_time")
                          >= F.lit(modified_since).cast("timestamp"))
     name = source if isinstance(source, Column) else source_of_path(source)
-    return raw.select(name.alias("source"), drop_undecodable(F.col("value")).alias("value"))
+    return raw.select(name.alias("source"), _once(drop_undecodable(F.col("value"))).alias("value"))
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str],

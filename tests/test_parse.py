@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 
 from logtide.functions import (
     cosine_similarity, drop_undecodable, fixed_decimals, response_time_of_line, status_class,
+    strip_blanks,
 )
 from logtide.operators.parse import (
     dead_letter, ingest_summary, parse_access_log, parse_stats, parsed_only,
 )
-from logtide.sources import clean_lines, read_log_batch
+from logtide.sources import clean_lines, read_lines, read_log_batch
 
 GOOD = ('1.2.3.4 - bob [12/Oct/2024:06:25:24 +0900] "GET /a/b?x=1?y=2 HTTP/1.1" 200 234 '
         '"http://r/" "Mozilla/5.0 (X11)"')
@@ -216,3 +217,22 @@ def test_line_pattern_runs_once(spark):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     # Once for usual lines, and once in the other branch for lines with a separator.
     assert plan.count("regexp_replace(") == 2 and plan.count("*(1)") == plan.count("+- ") + 1
+
+
+def test_blanks_are_stripped_as_by_the_pattern_alone(spark):
+    ends = ["", " ", "\t", "\xa0", "\u3000", "\u2028", "\x1c", "\x00", "!", "~", "\x7f", "\xe9", "\u8a9e", "a b"]
+    texts = [(a + b + c,) for a in ends for b in ("", "x", " y ", "é語") for c in ends] + [(None,)]
+    df = spark.createDataFrame(texts, "t string")
+    pattern = F.regexp_replace("t", r"(?U)^\s+|\s+\z", "")
+    assert df.select(strip_blanks(F.col("t")).alias("a"), pattern.alias("b")).filter(
+        "not a <=> b").count() == 0
+
+
+def test_strip_pattern_is_for_lines_with_blanks_only(spark, tmp_path):
+    """It stands in one place of the plan, behind a look at the first and last byte."""
+    (tmp_path / "site").mkdir()
+    (tmp_path / "site" / "a.log").write_text("x y\n \t\n  z \n")
+    lines = read_lines(spark, str(tmp_path / "site"))
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and "CASE WHEN" in plan.split("regexp_replace")[0].splitlines()[-1]
+    assert sorted(map(tuple, lines.collect())) == [("site", "x y"), ("site", "z")]
