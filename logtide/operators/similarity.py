@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from ..constants import PATTERN_MINUTES, PATTERN_NEIGHBOURS, PATTERN_SIMILARITY
 from ..functions.vectors import feature_vector, flatten_pattern
-from ..session import BROADCAST_BYTES, materialize
+from ..session import BROADCAST_BYTES, BROADCAST_ROWS, materialize
 from .ranking import DIGITS, top_k, unit_rows
 
 PATTERN_COLUMNS = ("pattern_id", "source", "failure_time", "minutes_before", "pattern")
@@ -110,7 +110,7 @@ _HOME_BYTES = 1 << 20  # of patterns from which a first bound is taken
 _PIECE_ROWS = 1024  # patterns compared at a time, at least, where centres change
 _CELLS = 2_000_000  # similarities held at a time
 _TILED = ("_row bigint, _size int, _centre int, _part bigint, _block int, _query boolean, "
-          "_own {id}, _id {id}, _vec array<double>")
+          "_own {id}, _id {id}, _vec {vec}")
 
 
 def _stacked(vectors: pd.Series) -> np.ndarray:
@@ -121,6 +121,10 @@ def _angles(units: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(units @ centres.T, -1.0, 1.0))
 
 
+def _kind(df: DataFrame, column: str) -> str:
+    return df.select(column).schema[0].dataType.simpleString()
+
+
 class _Clusters:
     """Patterns by length and nearest centre: how many, and the widest angle to the centre.
 
@@ -213,7 +217,7 @@ def _dealt(patterns: DataFrame, clusters: _Clusters, id_type: str) -> DataFrame:
                     "_part": part["_h"].to_numpy() % parts, "_query": False, "_own": None,
                     "_id": part["pattern_id"], "_vec": part["pattern"]})
 
-    kinds = _TILED.format(id=id_type).replace("_block int, ", "")
+    kinds = _TILED.format(id=id_type, vec=_kind(patterns, "pattern")).replace("_block int, ", "")
     hashed = patterns.withColumn("_h", F.xxhash64("pattern_id") % (1 << 40))
     if clusters.centres:
         return hashed.mapInPandas(task, kinds)
@@ -253,11 +257,14 @@ def _asked(queries: DataFrame, clusters: _Clusters, blocks: int, id_type: str, h
                     "_block": own["_row"].to_numpy() % blocks, "_query": True,
                     "_own": own["_own"].to_numpy(), "_id": None, "_vec": own["_vec"].to_numpy()})
 
-    return queries.mapInPandas(task, _TILED.format(id=id_type))
+    return queries.mapInPandas(task, _TILED.format(id=id_type, vec=_kind(queries, "_vec")))
 
 
-def _compared(asked: DataFrame, dealt: DataFrame, k: int, id_type: str) -> DataFrame:
-    """``(_row, pattern_id, similarity, rank)``: the best ``k`` of the tiles that a query met."""
+def _compared(asked: DataFrame, dealt: DataFrame, k: int, id_type: str, tiles: int | None = None) -> DataFrame:
+    """``(_row, pattern_id, similarity, rank)``: the best ``k`` of the tiles that a query met.
+
+    ``tiles`` is how many there can be at most, where known; the names of a few go to all tasks.
+    """
     tile = ["_size", "_centre", "_part", "_block"]
 
     def best(group: pd.DataFrame) -> pd.DataFrame:
@@ -277,6 +284,8 @@ def _compared(asked: DataFrame, dealt: DataFrame, k: int, id_type: str) -> DataF
 
     # Tiles that no query has to meet are not compared, nor sent to where they would be.
     needed = asked.select(*tile).distinct()
+    if tiles is not None and tiles <= BROADCAST_ROWS:
+        needed = F.broadcast(needed)  # else the patterns are shuffled once more for the join alone
     columns = [f.split()[0] for f in _TILED.split(", ")]
     both = asked.select(*columns).unionByName(dealt.join(needed, tile, "left_semi").select(*columns))
     found = both.groupBy(*tile).applyInPandas(
@@ -407,7 +416,8 @@ def _bounded(queries: DataFrame, dealt: DataFrame, clusters: _Clusters, blocks:
     if not clusters.centres:
         return unknown
     home = dealt.filter("_part = 0").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    first = _compared(_asked(unknown, clusters, blocks, id_type, True), home, k, id_type)
+    first = _compared(_asked(unknown, clusters, blocks, id_type, True), home, k, id_type,
+                      (len(clusters.found) + len(clusters.centres)) * blocks)
     bound = first.filter(F.col("rank") == k).select("_row", F.col("_order").alias("_least"))
     return queries.join(bound, "_row", "left")
 
@@ -479,12 +489,15 @@ def knn_topk(queries: DataFrame, patterns: DataFrame, k: int = PATTERN_NEIGHBOUR
     a block of queries (32 MB) and a batch of patterns at a time, whatever the number of rows.
     ``stored`` says that the patterns are read from a table, and need not be written to one first.
     """
+    # Floats are stored and sent as they are, at half the bytes; tasks compute with doubles.
+    floats = {_kind(queries, query_vector), _kind(patterns, pattern_vector)} == {"array<float>"}
+    kind = "array<float>" if floats else "array<double>"
     table = patterns.select(F.col(pattern_id).alias("pattern_id"),
-                            F.col(pattern_vector).cast("array<double>").alias("pattern"))
+                            F.col(pattern_vector).cast(kind).alias("pattern"))
     id_type = table.schema["pattern_id"].dataType.simpleString()
     asked = materialize(queries.select(
         F.monotonically_increasing_id().alias("_row"), F.col(query_id).alias("query_id"),
-        F.col(query_vector).cast("array<double>").alias("_vec")), "queries")[0]
+        F.col(query_vector).cast(kind).alias("_vec")), "queries")[0]
     held = table if stored else materialize(table, "patterns")[0]
     own = F.col("query_id").cast(id_type) if exclude_self else F.lit(None).cast(id_type)
     near = _nearest(asked.select("_row", own.alias("_own"), "_vec"), held, id_type, k, slice_bytes)

@@ -188,3 +188,31 @@ def test_a_task_streams_patterns(spark):
         got = K.knn_topk(q, p, 4, exclude_self=True, slice_bytes=size).collect()
         got = [(r.query_id, r["rank"], r.pattern_id, round(r.similarity, 9)) for r in got]
         assert [x[:3] for x in sorted(got, key=lambda x: x[:2])] == [x[:3] for x in sorted(expected, key=lambda x: x[:2])]
+
+
+def test_floats_are_sent_as_floats(spark, monkeypatch):
+    """Half the bytes of doubles in tables and shuffles, the same answer; mixed kinds become doubles."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=8).astype("float32").tolist()) for i in range(900)]
+    single = spark.createDataFrame(rows, "pattern_id bigint, pattern array<float>").cache()
+    double = single.select("pattern_id", F.col("pattern").cast("array<double>").alias("pattern"))
+    kinds, sent = [], K._streamed
+    monkeypatch.setattr(K, "_streamed", lambda cells, *a: kinds.append(dict(cells.dtypes)["_vec"]) or sent(cells, *a))
+    for size in (1 << 26, 5_000):
+        found = []
+        for q, p in ((single, single), (double, double), (single, double)):
+            got = K.knn_topk(q, p, 3, "pattern_id", "pattern", exclude_self=True, slice_bytes=size)
+            found.append(sorted(map(tuple, got.collect())))
+        assert len(found[0]) == 2_700 and found[0] == found[1] == found[2]
+    assert kinds == ["array<float>", "array<double>", "array<double>"] * 2
+
+
+def test_home_tiles_are_not_shuffled_to_leave_some_out(spark):
+    rows = [(i, [float(i % 7), float(i % 11), 1.0]) for i in range(300)]
+    p = spark.createDataFrame(rows, "pattern_id bigint, pattern array<double>")
+    q = p.select(F.col("pattern_id").alias("_row"), F.lit(None).cast("bigint").alias("_own"),
+                 F.col("pattern").alias("_vec"))
+    clusters = K._clusters(p, 2_000)
+    plan = K._bounded(q, K._dealt(p, clusters, "bigint"), clusters, 2, 3, "bigint")
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in text and "strategy=broadcast" in text.split("LeftSemi")[1].splitlines()[0]
