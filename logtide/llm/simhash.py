@@ -8,10 +8,16 @@ that half the one lies within ``RADIUS`` of its own anchor and the other within
 1 of the same anchor. Each fingerprint is therefore copied to the (at most 17) anchors within
 that distance in each half, and every anchor compares the fingerprints that have it as their
 own anchor with all that were copied to it.
+
+Most anchors get one copy, and those that get a few by chance grow with the square of the
+table. So copies are sorted by anchor and a task compares all anchors of a batch at once;
+nothing is counted or joined before, and no anchor costs a call of its own unless it has many.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -30,6 +36,9 @@ MAX_BITS = 3
 
 # Fingerprints of one anchor that a task compares with others at a time.
 _TILE = 2048
+# Fingerprints of one anchor up to which all pairs are made, and rows that a task takes at a time.
+_FEW = 64
+_ROWS = 1 << 14
 _HASHES = 1 << 16
 
 
@@ -90,13 +99,15 @@ def _anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _replicas(fps: DataFrame) -> DataFrame:
+    """``(key, fp)`` for all anchors of ``fps``: the key is twice the anchor, and one more where the
+    anchor is not the fingerprint's own, so that own ones come first."""
     def task(batches):
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False)
             anchor, row, own = _anchors(values.view(np.uint64))
-            yield {"anchor": pa.array(anchor), "fp": pa.array(values[row]), "own": pa.array(own)}
+            yield {"key": pa.array(anchor << 1 | ~own), "fp": pa.array(values[row])}
 
-    return arrow_pass(fps.select("fp"), task, "anchor long, fp long, own boolean")
+    return arrow_pass(fps.select("fp"), task, "key long, fp long")
 
 
 def _span(own: np.ndarray, copies: np.ndarray) -> list[tuple[int, int]]:
@@ -119,23 +130,102 @@ def _span(own: np.ndarray, copies: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first of ``n`` nodes that links ``a`` to ``b`` tie each node to."""
+    label = np.arange(n)
+    while (label[a] != label[b]).any():
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label != label[label]).any():
+            label = label[label]
+    return label
+
+
+def _links(fps: np.ndarray, own: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Links within groups of ``size`` rows, own ones first: a forest for each group."""
+    start = np.cumsum(size) - size
+    few = size <= _FEW
+    left = np.flatnonzero(own & np.repeat(few, size))
+    first, n = np.repeat(start, size)[left], np.repeat(size, size)[left]
+    a = np.repeat(left, n)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n - first, n)
+    near = (a != b) & (np.bitwise_count(fps[a] ^ fps[b]) <= MAX_BITS)
+    root = _roots(len(fps), a[near], b[near])
+    tied = np.flatnonzero(root != np.arange(len(fps)))
+    found = [np.stack([fps[tied], fps[root[tied]]], axis=1)]
+    for lo, n in zip(start[~few], size[~few], strict=True):
+        rows = fps[lo:lo + n]
+        found.append(np.array(_span(rows[own[lo:lo + n]], rows), np.uint64).reshape(-1, 2))
+    return np.concatenate(found)
+
+
+def _compared(tile: int):
+    """A pass over rows of ``_replicas`` sorted by key: the links of every anchor.
+
+    Rows of an anchor with more than ``tile`` of them, and its own among them, are numbered by
+    tiles and handed on as they come.
+    """
+    def task(batches):
+        held = [np.empty(0, np.int64)] * 2  # rows of the anchor whose end has not come yet
+        crowd, passed = -1, 0  # the last crowded anchor and how many of its rows were handed on
+        for batch in chain((x.slice(lo, _ROWS) for x in batches
+                            for lo in range(0, x.num_rows, _ROWS)), [None]):
+            key, fp = held if batch is None else [
+                np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            if not len(key):
+                continue
+            anchor, own = key >> 1, key & 1 == 0
+            start = np.flatnonzero(np.diff(anchor, prepend=-1))
+            size = np.diff(start, append=len(key))
+            before = np.where(anchor[start] == crowd, passed, 0)
+            wanted = own[start] | (before > 0)
+            crowded = wanted & (size + before > tile)
+            if crowded.any():
+                rows = np.repeat(crowded, size)
+                place = (np.arange(len(key)) - np.repeat(start - before, size))[rows]
+                yield {"a": fp[rows], "b": pa.nulls(len(place), pa.int64()), "anchor": anchor[rows],
+                       "tile": place // tile, "own": own[rows]}
+            if crowded[-1]:
+                crowd, passed = anchor[-1], size[-1] + before[-1]
+            open_ = np.zeros(len(start), bool)
+            open_[-1] = batch is not None
+            ready = wanted & ~crowded & ~open_ & (size > 1)
+            rows = np.repeat(ready, size)
+            found = _links(fp[rows].view(np.uint64), own[rows], size[ready]).view(np.int64)
+            if len(found):
+                nothing = pa.nulls(len(found), pa.int64())
+                yield {"a": found[:, 0], "b": found[:, 1], "anchor": nothing, "tile": nothing,
+                       "own": pa.nulls(len(found), pa.bool_())}
+            rows = np.repeat(wanted & ~crowded & open_, size)
+            held = [key[rows], fp[rows]]
+
+    return task
+
+
 def near_links(fps: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints that join all within ``MAX_BITS``.
 
-    An anchor with many fingerprints is cut into tiles of about ``_TILE`` by ``_TILE``, each
-    compared in a task of its own, and a tile returns only the links that join its parts.
+    Copies are dealt and sorted by anchor. An anchor with many fingerprints is cut into tiles of
+    ``_TILE`` by ``_TILE``, each compared in a task of its own. An anchor or a tile returns
+    only the links that join its parts. No row count is left to Spark's estimates, which do not
+    know how many copies there are: only crowded anchors, read from a table, are joined.
     """
-    copies = _replicas(fps)
-    shared = (copies.groupBy("anchor").agg(F.count("*").alias("n"), F.max("own").alias("any"))
-              .where("n > 1 and any").select("anchor", F.ceil(F.col("n") / _TILE).alias("tiles")))
-    copies = copies.join(shared, "anchor").withColumn(
-        "tile", F.pmod(F.xxhash64("fp"), F.col("tiles")))
-    others = F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)
-    rows = (copies.where("own")
-            .select("anchor", F.col("tile").alias("i"), F.explode(others).alias("j"), "fp",
+    dealt = _replicas(fps).repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
+    found = stored(arrow_pass(dealt, _compared(_TILE), "a long, b long, anchor long, tile long, "
+                                                       "own boolean"), "near")
+    links, crowded = found.where("anchor is null").select("a", "b"), found.where("anchor is not null")
+    if crowded.isEmpty():
+        return links
+    tiles = crowded.groupBy("anchor").agg(F.max("tile").alias("tiles"),
+                                          F.max(F.when(F.col("own"), F.col("tile"))).alias("lefts"))
+    crowded = crowded.withColumnRenamed("a", "fp").join(tiles, "anchor")
+    upto = lambda last: F.explode(F.sequence(F.lit(0).cast("long"), last))
+    rows = (crowded.where("own")
+            .select("anchor", F.col("tile").alias("i"), upto(F.col("tiles")).alias("j"), "fp",
                     F.lit(True).alias("left"))
-            .union(copies.select("anchor", F.explode(others).alias("i"),
-                                 F.col("tile").alias("j"), "fp", F.lit(False))))
+            .union(crowded.select("anchor", upto(F.col("lefts")).alias("i"),
+                                  F.col("tile").alias("j"), "fp", F.lit(False))))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         fps, left = group["fp"].to_numpy().view(np.uint64), group["left"].to_numpy(bool)
@@ -144,7 +234,8 @@ def near_links(fps: DataFrame) -> DataFrame:
                              "b": found[:, 1].view(np.int64) if len(found) else []},
                             dtype="int64")
 
-    return rows.groupBy("anchor", "i", "j").applyInPandas(compare, "a long, b long")
+    return links.union(stored(rows.groupBy("anchor", "i", "j")
+                              .applyInPandas(compare, "a long, b long"), "crowded"))
 
 
 def _grouped(docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 from datetime import date, datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,48 @@ def test_links_join_what_is_near(spark, monkeypatch, tile):
     assert sorted(map(sorted, groups.values())) == plain_components(points)
 
 
+@pytest.mark.parametrize("tile, rows", [(2048, 1 << 14), (100, 50), (5, 7), (1, 1)])
+def test_batches_of_anchors_are_compared_at_once(monkeypatch, tile, rows):
+    """Anchors of few, many and too many rows, which end anywhere in a batch; those without an own row say nothing."""
+    monkeypatch.setattr(simhash, "_ROWS", rows)
+    rng = np.random.default_rng(5)
+    key, fp, near = [], [], set()
+    for anchor, size in enumerate([1, 2, 3, 64, 65, 150, 1, 2, 12, 5, 6, 4, 1]):
+        at = int(rng.integers(0, 1 << 63))
+        points = list({at ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False))
+                       for _ in range(size)})
+        own = 0 if anchor in (2, 8) else 1 + size // 3
+        key += [anchor << 1 | (i >= own) for i in range(len(points))]
+        fp += points
+        label = {p: p for p in points}
+        for _ in range(8):
+            for a in points[:own]:
+                for b in points:
+                    if bin(a ^ b).count("1") <= 3:
+                        label[a] = label[b] = min(label[a], label[b])
+        near |= {(anchor, p, label[p]) for p in points if tile >= len(points)}
+    key, fp = np.array(key, np.int64), np.array(fp, np.uint64).view(np.int64)
+    batches = [pa.record_batch({"key": key[lo:lo + 90], "fp": fp[lo:lo + 90]}) for lo in range(0, len(key), 90)]
+    found = [pa.table({k: pa.array(v) for k, v in x.items()}) for x in simhash._compared(tile)(iter(batches))]
+    links = [r for t in found for r in t.to_pylist() if r["anchor"] is None]
+    label = {p: p for _, p, _ in near}
+    for _ in range(200):
+        for r in links:
+            a, b = (r[k] % (1 << 64) for k in "ab")
+            label[a] = label[b] = min(label[a], label[b])
+    assert {(g, p, label[p]) for g, p, _ in near} == near
+    assert len(links) <= len(near)
+    handed = [(r["anchor"], r["tile"], r["own"], r["a"]) for t in found for r in t.to_pylist() if r["anchor"] is not None]
+    size = np.bincount(key >> 1)
+    wanted = [(k >> 1, k & 1 == 0, f) for k, f in zip(key.tolist(), fp.tolist(), strict=True)
+              if size[k >> 1] > tile and k >> 1 not in (2, 8)]
+    assert [(g, o, f) for g, _, o, f in handed] == wanted
+    place = {}
+    for g, t, _, _ in handed:
+        place[g] = place.get(g, -1) + 1
+        assert t == place[g] // tile
+
+
 def test_anchors_cover():
     rng = np.random.default_rng(9)
     a = rng.integers(0, 1 << 63, 200).astype(np.uint64)
