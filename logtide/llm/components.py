@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtide.llm.common import stored
+from logtide.llm.common import counted, stored
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -23,15 +23,16 @@ def connected_components(links: DataFrame) -> DataFrame:
     labels = stored(links.groupBy(F.col("a").alias("node"))
                     .agg(F.least(F.min("b"), F.first("a")).alias("label"))
                     .withColumn("moved", F.lit(True)), "labels")
+    nodes = labels.count()
     while not labels.where("moved").isEmpty():
-        near = (links.join(labels.select(F.col("node").alias("b"), "label"), "b")
+        near = (links.join(counted(labels, nodes).select(F.col("node").alias("b"), "label"), "b")
                 .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near")))
-        low = (labels.join(near, "node")
+        low = (counted(labels, nodes).join(near, "node")
                .select("node", F.col("label").alias("was"),
                        F.least("label", "near").alias("label")))
         low = stored(low, "labels")
-        jump = low.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        jump = counted(low, nodes).select(F.col("node").alias("label"), F.col("label").alias("next"))
         labels = stored(low.join(jump, "label")
                         .select("node", F.col("next").alias("label"),
                                 (F.col("next") != F.col("was")).alias("moved")), "labels")
-    return labels.select("node", F.col("label").alias("component"))
+    return counted(labels, nodes).select("node", F.col("label").alias("component"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from logtide.llm.common import arrow_pass, releasing, stored, utf8
+from logtide.llm.common import arrow_pass, counted, releasing, stored, utf8
 from logtide.llm.components import connected_components
 
 #: Fixed values of the fingerprint: words to a shingle, seed of the hash, bits that may differ.
@@ -244,12 +244,14 @@ def _grouped(docs: DataFrame) -> DataFrame:
     points = stored(by_doc.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
     parts = connected_components(near_links(points)).withColumnRenamed("node", "fp")
     linked = stored(points.join(parts, "fp"), "linked")
+    rows = linked.count()
     lowest = linked.groupBy("component").agg(F.min("first").alias("lowest"))
-    named = points.join(linked.join(lowest, "component").select("fp", "component", "lowest"),
-                        "fp", "left")
+    linked = counted(linked, rows).join(lowest, "component").select("fp", "component", "lowest")
+    named = points.join(counted(linked, rows), "fp", "left")
     named = named.select("fp", F.coalesce("component", "fp").alias("group"),
                          F.coalesce("lowest", "first").alias("component_id"))
-    return by_doc.join(named, "fp").select("doc_id", "fp", "group", "component_id")
+    return (counted(by_doc, by_doc.count()).join(named, "fp")
+            .select("doc_id", "fp", "group", "component_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

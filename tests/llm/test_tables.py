@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logtide.llm import queries, simhash, toolcalls, topk, urls
+from logtide.llm import common, components, queries, simhash, toolcalls, topk, urls
 from logtide.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -95,6 +95,45 @@ def test_batches_of_anchors_are_compared_at_once(monkeypatch, tile, rows):
         assert t == place[g] // tile
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """Plans of what the SimHash operators store."""
+    found = []
+
+    def kept(df, label):
+        found.append(plan_of(df))
+        return common.stored(df, label)
+
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "stored", kept)
+    return found
+
+
+def test_copies_at_anchors_are_not_joined(spark, plans):
+    """Spark sizes them as the fingerprints, of which they are 34 times as many, and broadcast them."""
+    links = simhash.near_links(spark.range(3000).select(F.xxhash64("id").alias("fp")))
+    plans.append(plan_of(links))
+    assert any("MapInArrow" in x for x in plans)
+    assert not any("Join" in x or "Broadcast" in x for x in plans)
+
+
+def test_large_tables_are_not_broadcast_by_their_bytes(docs, plans, monkeypatch):
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    small = simhash.near_duplicates(docs)
+    assert "BroadcastHashJoin" in plan_of(small)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    plans.clear()
+    large = simhash.near_duplicates(docs)
+    assert rows(large) == rows(small)
+    plans.append(plan_of(large))
+    assert any("SortMergeJoin" in x for x in plans)
+    assert not any("BroadcastHashJoin" in x for x in plans)
+
+
 def test_anchors_cover():
     rng = np.random.default_rng(9)
     a = rng.integers(0, 1 << 63, 200).astype(np.uint64)
