@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logtide.llm.common import arrow_pass, stored
+from logtide.llm.common import arrow_pass, counted, stored
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY = 2048
@@ -265,7 +265,7 @@ def pack(docs: DataFrame, definition: str, capacity: int = CAPACITY, end: int =
         Window.unboundedPreceding, -1)
     shift = by_part.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0))
                            .alias("shift"))
-    numbered = items.join(shift, ["length", "part"]).select(
+    numbered = items.join(counted(shift, by_part.count()), ["length", "part"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         (F.col("shift") + F.col("place")).alias("number"))
 

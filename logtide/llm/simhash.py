@@ -279,10 +279,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
     groups = stored(_grouped(docs), "groups").where("doc_id is not null")
     id_type = docs.schema["doc_id"].dataType
     later = groups.where("doc_id <> component_id").select(F.col("doc_id").cast(id_type))
+    later = counted(later, later.count())
     repeated = stored(groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
                       .select(F.col("doc_id").cast(id_type)), "repeated")
-    if repeated.isEmpty():
+    twice = repeated.count()
+    if not twice:
         return docs.join(later, "doc_id", "left_anti").select(docs.columns)
+    repeated = counted(repeated, twice)
     once = (docs.join(later, "doc_id", "left_anti").join(repeated, "doc_id", "left_anti")
             .select(docs.columns))
     names = {c.lower() for c in docs.columns}
@@ -291,9 +294,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     again = docs.join(repeated, "doc_id", "left_semi").select(docs.columns)
     again = _with_fingerprint(again.select(F.struct(*again.columns).alias(row), "doc_id", "text"),
                               row, fp)
-    again = (again.join(groups.where("doc_id = component_id").select("doc_id", F.col("fp").alias(fp),
-                                                                     "group").distinct(),
-                        ["doc_id", fp])
+    firsts = (groups.where("doc_id = component_id").join(repeated.withColumn(
+        "doc_id", F.col("doc_id").cast("long")), "doc_id", "left_semi")
+              .select("doc_id", F.col("fp").alias(fp), "group").distinct())
+    again = (again.join(counted(firsts, firsts.count()), ["doc_id", fp])
              .groupBy("group").agg(F.min_by(row, F.struct(fp, "text")).alias(row))
              .select(f"{row}.*"))
     return once.unionByName(again.select(docs.columns))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logtide.llm import common, components, queries, simhash, toolcalls, topk, urls
+from logtide.llm import common, components, packing, queries, simhash, toolcalls, topk, urls
 from logtide.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -125,7 +125,7 @@ def test_large_tables_are_not_broadcast_by_their_bytes(docs, plans, monkeypatch)
     rows = lambda df: sorted(map(tuple, df.collect()), key=str)
     small = simhash.near_duplicates(docs)
     assert "BroadcastHashJoin" in plan_of(small)
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
     plans.clear()
     large = simhash.near_duplicates(docs)
     assert rows(large) == rows(small)
@@ -134,6 +134,21 @@ def test_large_tables_are_not_broadcast_by_their_bytes(docs, plans, monkeypatch)
     assert not any("BroadcastHashJoin" in x for x in plans)
 
 
+def test_a_stage_of_the_pipeline_broadcasts_no_large_table(docs, plans, monkeypatch):
+    """Neither the documents that go, nor those of repeated ids, nor the places of packed lengths."""
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    pack = lambda: packing.pack(docs, packing.definition("word_bpe_49k.json"))
+    small = simhash.keep_first(docs), pack()
+    assert all("BroadcastHashJoin" in plan_of(x) for x in small)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    plans.clear()
+    large = simhash.keep_first(docs), pack()
+    assert list(map(rows, large)) == list(map(rows, small))
+    plans += map(plan_of, large)
+    assert any("SortMergeJoin" in x for x in plans)
+    assert not any("BroadcastHashJoin" in x for x in plans)
+
+
 def test_anchors_cover():
     rng = np.random.default_rng(9)
     a = rng.integers(0, 1 << 63, 200).astype(np.uint64)
